@@ -42,25 +42,3 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterat
                 yield f(batch)
 
     return run
-
-
-def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column that are usable vectors, and their values in float64.
-
-    A vector takes part if neither it nor a component is null, all components
-    are finite and it has as many components as the first usable one of the
-    batch is checked against by the caller. Returns (row numbers, matrix); the
-    rows all have the most frequent length of the batch.
-    """
-    rows, values = [], []
-    for i, x in enumerate(column.to_pylist()):
-        if x and all(v is not None for v in x):
-            v = np.asarray(x, dtype=np.float64)
-            if np.isfinite(v).all():
-                rows.append(i)
-                values.append(v)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    lengths = np.array([len(v) for v in values])
-    keep = lengths == np.bincount(lengths).argmax()
-    return np.array(rows)[keep], np.stack([v for v, k in zip(values, keep, strict=True) if k])
