@@ -1,19 +1,23 @@
 """Registered queries of the corpus operators and, where SQL can express one, the same in DuckDB SQL."""
 
 from .ann import op5_ann
+from .extraction import op2_extraction
 from .langid import op1_langid
 from .lines import OP8_SQL, op8_line_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .sentencepieces import op7_sentencepiece
 from .simhash import op10_simhash
+from .suffixes import op6_suffixes
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_extraction": op2_extraction,
     "op3_toxicity": op3_toxicity,
     "op4_topk": op4_topk,
     "op5_ann": op5_ann,
+    "op6_suffixes": op6_suffixes,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_batch, table, texts
+from .common import cut, per_batch, table, texts
 from .langid import fold, sample_labelled
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -154,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = 6000, voters: int = 30
         return None
     chosen = sample_labelled(labelled, "toxic", each, 2 * each + 1000)
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sample = cut(sample)
     sums = sample.mapInArrow(counted, "sign string, toxic long, clean long").groupBy("sign").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     totals = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("a"), F.count(F.lit(1)).alias("n")).first()
     n_toxic, n_clean = totals.a, totals.n - totals.a
