@@ -2,18 +2,23 @@
 
 The encoder keeps an agenda of adjacent symbol pairs ordered by piece score
 (then by position from the left) and merges the best pair until none is left.
-No piece of the vocabulary continues past a space mark into another one, so a
-text falls into units (a run of space marks and what follows) that are encoded
-on their own; a bounded per-worker table remembers units already seen. Every
+A text is cut where no piece of the vocabulary holds the characters on both
+sides, since no merge can cross there: before space marks, and before
+punctuation that no piece holds after a letter. The units between are encoded
+on their own; a bounded per-worker table remembers those already seen. Every
 unit that the agenda encodes is checked against the library in the same Arrow
-batch, and so is the longest whole text of each batch.
+batch, and so is the longest whole text (of at most 100,000 characters) of each
+batch; should one differ, the library's ids are what the operator returns.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +28,12 @@ from pyspark.sql import functions as F
 from .common import per_batch, table, texts
 
 MARK = "▁"  # what the vocabulary writes for a space
-UNIT = re.compile(f"{MARK}+[^{MARK}]*")
-REMEMBERED_UNITS = 150_000
+PUNCTUATION = "\n\t\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SHORT = 64
+REMEMBERED_UNITS = 300_000
+TOGETHER = 1_000_000  # characters of texts that are split and looked up at once
 REMEMBERED_LENGTH = 48
+LAST = float("inf")
 
 
 class PieceModel:
@@ -40,13 +48,19 @@ class PieceModel:
         self.bytes = {i: int(self.pieces[i][3:-1], 16) for i in range(size) if sp.is_byte(i)}
         self.byte_id = {b: i for i, b in self.bytes.items()}
         special = {i for i in range(size) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)}
-        self.special = special
+        self.plain = set(range(size)) - special
+        self.shown = [p.replace(MARK, " ") for p in self.pieces]
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.scores = {p: -sp.get_score(i) for p, i in self.ids.items()}
         self.unknown = sp.unk_id()
-        self.splits = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self._ids: dict[str, bytes] = {}
-        self._text: dict[str, str] = {}
+        inner = {pair for p in self.ids for pair in pairwise(p)}
+        self.splits = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids)
+        stops = set(PUNCTUATION)
+        while bad := {c for x, c in inner if c in stops and x != MARK and x not in stops}:
+            stops -= bad
+        c = "".join(map(re.escape, sorted(stops)))  # no piece holds one of these after another character than these
+        self.unit = re.compile(f"{MARK}+[{c}]*[^{MARK}{c}]*|[{c}]+[^{MARK}{c}]*|[^{MARK}{c}]+")
+        self._known: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, unit: str) -> list[str]:
         """Pieces of a unit by the agenda of adjacent pairs."""
@@ -69,9 +83,23 @@ class PieceModel:
                     heapq.heappush(agenda, (s, x, y, len(pair)))
         return [x for x in symbols if x]
 
+    def merge_short(self, unit: str) -> list[str]:
+        """The same for a short unit: its agenda is a flat list, searched for the best pair (the leftmost of equals)."""
+        score, symbols = self.scores.get, list(unit)
+        agenda = [score(a + b, LAST) for a, b in pairwise(symbols)]
+        while agenda and (best := min(agenda)) != LAST:
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + symbols[i], LAST)
+            if i < len(agenda):
+                agenda[i] = score(symbols[i] + symbols[i + 1], LAST)
+        return symbols
+
     def encode_unit(self, unit: str) -> list[int]:
         out: list[int] = []
-        for piece in self.merge(unit):
+        for piece in (self.merge_short if len(unit) <= SHORT else self.merge)(unit):
             if (i := self.ids.get(piece)) is not None:
                 out.append(i)
             elif self.byte_id:
@@ -85,51 +113,50 @@ class PieceModel:
         return self._join(ids).removeprefix(" ")
 
     def _join(self, ids: list[int]) -> str:
+        if self.plain.issuperset(ids):
+            return "".join([self.shown[i] for i in ids])
         out, raw = [], bytearray()
-        for i in ids:
+        for i in [*ids, -1]:
             if i in self.bytes:
                 raw.append(self.bytes[i])
                 continue
             if raw:
                 out.append(raw.decode(errors="replace"))
                 raw.clear()
-            if i == self.unknown:
-                out.append(" ⁇ ")
-            elif i not in self.special:
-                out.append(self.pieces[i].replace(MARK, " "))
-        out.append(raw.decode(errors="replace"))
+            out.append(self.shown[i] if i in self.plain else " ⁇ " if i == self.unknown else "")
         return "".join(out)
 
     def learn(self, units: set[str]) -> None:
-        """Encode units by the agenda, checked against the library, whose ids hold in any case of doubt."""
-        units_list = sorted(units)
-        theirs = self.library.encode([u[1:].replace(MARK, " ") for u in units_list], num_threads=1)
-        for unit, expected in zip(units_list, theirs, strict=True):
+        """Encode units by the agenda, checked against the library, whose ids hold in any case of doubt.
+
+        A unit that doesn't begin with a mark is handed to the library after a
+        line break, which no piece holds.
+        """
+        listed = sorted(units)
+        asked = [u[1:].replace(MARK, " ") if u[0] == MARK else f"\n{u}" for u in listed]
+        for unit, theirs in zip(listed, self.library.encode(asked, num_threads=1), strict=True):
             ids = self.encode_unit(unit)
-            if len(unit) > 1 and ids != expected:  # a lone mark can't be handed to the library: it encodes "" as nothing
-                ids = expected
-            self._ids[unit] = np.array(ids, np.int32).tobytes()
-            self._text[unit] = self._join(ids)
-
-    def batch(self, lines: list[str]) -> tuple[list[np.ndarray], list[str]]:
-        """Ids and decoded text of every line."""
-        split = [UNIT.findall(MARK + x.replace(" ", MARK)) if x else [] for x in lines]
-        if not self.splits:
-            split = [[MARK + x.replace(" ", MARK)] if x else [] for x in lines]
-        if len(self._ids) > REMEMBERED_UNITS:
-            self._ids.clear()
-            self._text.clear()
-        known, ids, decoded = self._ids, [], []
+            if unit != MARK and ids != (theirs if unit[0] == MARK else theirs[2:]):  # of a lone mark the library gets nothing
+                ids = theirs if unit[0] == MARK else theirs[2:]
+            self._known[unit] = array("i", ids).tobytes(), self._join(ids)
+
+    def encode(self, lines: list[str]) -> list[tuple[bytes, str]]:
+        """Ids (as 4-byte integers) and decoded text of every text."""
+        marked = [MARK + x.replace(" ", MARK) if x else "" for x in lines]
+        split = [self.unit.findall(x) for x in marked] if self.splits else [[x] if x else [] for x in marked]
+        known = self._known
+        if len(known) > REMEMBERED_UNITS:
+            known.clear()
+        new = set().union(*split).difference(known)
+        self.learn(new)
+        out = []
         for units in split:
-            new = set(units).difference(known)
-            if new:
-                self.learn(new)
-            ids.append(np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32))
-            decoded.append("".join(map(self._text.__getitem__, units)).removeprefix(" "))
-            for unit in new:
-                if len(unit) > REMEMBERED_LENGTH:
-                    del known[unit], self._text[unit]
-        return ids, decoded
+            found = [known[u] for u in units]
+            out.append((b"".join([x for x, _ in found]), "".join([x for _, x in found]).removeprefix(" ")))
+        for unit in new:
+            if len(unit) > REMEMBERED_LENGTH:
+                del known[unit]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -137,30 +164,42 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def runs(lines: list[str]) -> Iterator[list[str]]:
+    """Texts in runs of about TOGETHER characters."""
+    run, size = [], 0
+    for x in lines:
+        run.append(x)
+        size += len(x)
+        if size >= TOGETHER:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def sentencepieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encode a text column and decode it again.
 
     Returns ``key``, ``ids array<int>``, ``decoded string`` and ``library_agrees
     boolean`` (the library gives the same ids for this whole text; null where
-    only its units were compared). Null and empty texts have no ids and decode
+    only its units were compared, see the module). Null and empty texts have no ids and decode
     to the empty string; repeated rows stay; an empty table gives an empty
     result; other columns are not read.
     """
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, lines = model(path), texts(batch.column(1))
-        ids, decoded = m.batch(lines)
+        found = [x for part in runs(lines) for x in m.encode(part)]
         agrees: list[bool | None] = [None] * len(lines)
-        probe = max(range(len(lines)), key=lambda i: min(len(lines[i]), 20_000) if len(lines[i]) <= 200_000 else 0)
-        agrees[probe] = ids[probe].tolist() == m.library.encode(lines[probe], num_threads=1)
+        probe = max(range(len(lines)), key=lambda i: len(lines[i]) if len(lines[i]) <= 100_000 else 0)
+        agrees[probe] = np.frombuffer(found[probe][0], np.int32).tolist() == m.library.encode(lines[probe], num_threads=1)
         if not agrees[probe]:
-            ids = [np.array(x, np.int32) for x in m.library.encode(lines, num_threads=1)]
-            decoded = [m.decode(x.tolist()) for x in ids]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], ["key", "ids", "decoded", "library_agrees"]
-        )
+            right = [m.library.encode(x, num_threads=1) for x in lines]
+            found = [(array("i", x).tobytes(), m.decode(x)) for x in right]
+        offsets = np.cumsum([0] + [len(x) // 4 for x, _ in found]).astype(np.int32)
+        flat = pa.array(np.frombuffer(b"".join([x for x, _ in found]), np.int32))
+        decoded = pa.array([x for _, x in found], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), decoded, pa.array(agrees, pa.bool_())], ["key", "ids", "decoded", "library_agrees"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(per_batch(encode), f"key {kind}, ids array<int>, decoded string, library_agrees boolean").withColumnRenamed("key", key)
