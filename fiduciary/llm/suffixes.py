@@ -20,13 +20,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import table
 
 GRAM = 16
-CHUNK = 3 << 20  # bytes of text that a task hashes at once
+STRETCH = 1 << 19
+CHUNK = 5 << 20  # bytes of text that a task hashes at once
 BUCKET_BYTES = 48 << 20  # bytes of segments that meet in a bucket
 GROUP_BYTES = 12 << 20  # bytes of text that are put together again at once
-SORT_BYTES = 2 << 20  # bytes whose suffixes are sorted at once
+SORT_BYTES = 1 << 20  # bytes whose suffixes are sorted at once
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -63,8 +64,16 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums, back = prefix_hash(data)
-    return mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    """Hashes of slices with ascending starts, a stretch of the bytes at a time."""
+    out, a = np.zeros(len(starts), np.uint64), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + STRETCH)))
+        low = int(starts[a])
+        sums, back = prefix_hash(data[low : int(ends[a:b].max())])
+        s, e = starts[a:b] - low, ends[a:b] - low
+        out[a:b] = mixed((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
+        a = b
+    return out
 
 
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
@@ -164,7 +173,7 @@ def covered_windows(texts: list[bytes], windows: np.ndarray, ids: np.ndarray, le
 
 
 def compress(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=6).compress(raw)
 
 
 def pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
@@ -181,7 +190,7 @@ def unpack(blob: bytes, kinds: tuple) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-SEGMENT = (np.uint64, np.int64, np.int64, np.int32, np.int32)  # key, id, hash of the text, first window, windows
+SEGMENT = (np.uint32, np.int64, np.int64, np.int32, np.int32)  # 32 bits of the key, id, hash of the text, first window, windows
 SPAN = (np.int64, np.int64, np.int32, np.int32)  # id, hash of the text, first window, windows
 
 
@@ -226,14 +235,14 @@ def segments(docs: DataFrame, length: int, buckets: int, groups: int) -> DataFra
         yield from span_rows(own_id[late], own_hash[late], begin[late], windows[late], groups)
         keep = order[own_id[order] == least]
         bucket = (mixed(key[keep]) % np.uint64(buckets)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
+        by = np.lexsort((keep, bucket))  # in page order, so that ids and places compress
         keep, bucket = keep[by], bucket[by]
         cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
         blobs = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             rows = keep[a:b]
             tail = b"".join([buffer[s : s + w] for s, w in zip(starts[rows].tolist(), (windows[rows] + length - 1).tolist(), strict=True)])
-            blobs.append(pack(key[rows], own_id[rows], own_hash[rows], begin[rows], windows[rows], tail=tail))
+            blobs.append(pack((key[rows] >> np.uint64(32)).astype(np.uint32), own_id[rows], own_hash[rows], begin[rows], windows[rows], tail=tail))
             if len(blobs) == 64 or b == len(bucket):
                 names = bucket[cuts[:-1]][np.searchsorted(cuts, b) - len(blobs) : np.searchsorted(cuts, b)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
@@ -313,9 +322,11 @@ def repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(24, -(-total * 4 // BUCKET_BYTES))
     groups = max(24, -(-total // GROUP_BYTES))
-    dealt = cut(segments(docs, length, buckets, groups))
+    dealt = segments(docs, length, buckets, groups)
 
     def meet(part: pa.Table) -> pa.Table:
+        if part["bucket"][0].as_py() < 0:  # covered already
+            return part
         found = [unpack(x, SEGMENT) for x in part["blob"].to_pylist()]
         keys, ids, hashes, begin, windows = (np.concatenate([f[0][i] for f in found]) for i in range(5))
         text = b"".join([f[1] for f in found])
@@ -325,8 +336,8 @@ def repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
             out += span_rows(ids[rows], hashes[rows], (begin[rows] + first).astype(np.int32), n.astype(np.int32), groups)
         return pa.Table.from_batches(out, pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
 
-    settled = dealt.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "bucket int, blob binary")
-    spans = dealt.where("bucket < 0").unionByName(settled).select((-1 - F.col("bucket")).alias("group"), "blob")
+    settled = dealt.repartition(buckets + groups, "bucket").groupBy("bucket").applyInArrow(meet, "bucket int, blob binary")
+    spans = settled.select((-1 - F.col("bucket")).alias("group"), "blob")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
