@@ -40,13 +40,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def window_keys(data: np.ndarray, length: int) -> np.ndarray:
-    """Smallest hash of a 16-gram in the window of ``length`` bytes from each position (as far as one fits)."""
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of the 16-gram at each position (as far as one fits)."""
     code, span = BYTE_CODES[data], 1
     while span < GRAM:
         code = code[:-span] * MULTIPLIER + (code[span:] ^ (code[span:] >> np.uint64(32)))
         span *= 2
-    code, width, span = mixed(code), length - GRAM + 1, 1
+    return mixed(code)
+
+
+def window_keys(data: np.ndarray, length: int) -> np.ndarray:
+    """Smallest hash of a 16-gram in the window of ``length`` bytes from each position (as far as one fits)."""
+    code, width, span = gram_hashes(data), length - GRAM + 1, 1
     while span * 2 <= width:
         code = np.minimum(code[:-span], code[span:])
         span *= 2
@@ -76,6 +81,19 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+def segment_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Smallest hash of a 16-gram in each of the adjoining segments, a stretch of the bytes at a time."""
+    out, a = np.zeros(len(starts), np.uint64), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + STRETCH)))
+        low = int(starts[a])
+        codes = gram_hashes(data[low : int(ends[b - 1])])
+        bounds = np.stack([starts[a:b] - low, ends[a:b] - low - GRAM + 1], 1).ravel()
+        out[a:b] = np.minimum.reduceat(codes, bounds[:-1])[::2]
+        a = b
+    return out
+
+
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
     """Positions of ``t`` (symbols 0 to 256) in the order of their suffixes' first ``depth`` symbols at least.
 
@@ -177,21 +195,29 @@ def compress(raw: bytes) -> bytes:
 
 
 def pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
+    """Arrays by planes of bytes, which compress better, and a tail."""
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return compress(head + b"".join([a.tobytes() for a in arrays]) + tail)
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return compress(head + b"".join(planes) + tail)
 
 
 def unpack(blob: bytes, kinds: tuple) -> tuple[list[np.ndarray], bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     counts, at, out = np.frombuffer(raw, np.int64, len(kinds)), 8 * len(kinds), []
     for kind, n in zip(kinds, counts.tolist(), strict=True):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * width
     return out, raw[at:]
 
 
-SEGMENT = (np.uint32, np.int64, np.int64, np.int32, np.int32)  # 32 bits of the key, id, hash of the text, first window, windows
-SPAN = (np.int64, np.int64, np.int32, np.int32)  # id, hash of the text, first window, windows
+SPAN = (np.int64, np.int64, np.int32, np.int32)  # id, mark, first window, windows (of a segment, or of what is covered)
+
+
+def row_mark(i: int | None, text_hash: int) -> int:
+    """Tells texts of one id apart: 32 bits of the hash, or all where the id is null and many rows may share it."""
+    return text_hash if i is None else text_hash & 0xFFFFFFFF
 
 
 def span_rows(ids, hashes, starts, windows, groups: int) -> Iterator[pa.RecordBatch]:
@@ -242,7 +268,7 @@ def segments(docs: DataFrame, length: int, buckets: int, groups: int) -> DataFra
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             rows = keep[a:b]
             tail = b"".join([buffer[s : s + w] for s, w in zip(starts[rows].tolist(), (windows[rows] + length - 1).tolist(), strict=True)])
-            blobs.append(pack((key[rows] >> np.uint64(32)).astype(np.uint32), own_id[rows], own_hash[rows], begin[rows], windows[rows], tail=tail))
+            blobs.append(pack(own_id[rows], own_hash[rows], begin[rows], windows[rows], tail=tail))
             if len(blobs) == 64 or b == len(bucket):
                 names = bucket[cuts[:-1]][np.searchsorted(cuts, b) - len(blobs) : np.searchsorted(cuts, b)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
@@ -254,7 +280,7 @@ def segments(docs: DataFrame, length: int, buckets: int, groups: int) -> DataFra
             for i, h, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if x is not None and len(x) >= length:
                     ids.append(LAST_ID if i is None else i)
-                    hashes.append(h)
+                    hashes.append(row_mark(i, h))
                     raw.append(x)
                     size += len(x)
                     if size >= CHUNK:
@@ -266,11 +292,12 @@ def segments(docs: DataFrame, length: int, buckets: int, groups: int) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("binary")).mapInArrow(run, "bucket int, blob binary")
 
 
-def settle(keys: np.ndarray, ids: np.ndarray, windows: np.ndarray, text: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def settle(ids: np.ndarray, windows: np.ndarray, text: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(segment, first window, windows) of what is covered among the segments of a bucket."""
     data = np.frombuffer(text, np.uint8)
     ends = np.cumsum(windows + length - 1)
     starts = ends - windows - length + 1
+    keys = segment_keys(data, starts, ends)
     order = np.lexsort((ids, keys))
     new = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
     sizes = np.diff(np.r_[new, len(order)])
@@ -327,12 +354,12 @@ def repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
     def meet(part: pa.Table) -> pa.Table:
         if part["bucket"][0].as_py() < 0:  # covered already
             return part
-        found = [unpack(x, SEGMENT) for x in part["blob"].to_pylist()]
-        keys, ids, hashes, begin, windows = (np.concatenate([f[0][i] for f in found]) for i in range(5))
+        found = [unpack(x, SPAN) for x in part["blob"].to_pylist()]
+        ids, hashes, begin, windows = (np.concatenate([f[0][i] for f in found]) for i in range(4))
         text = b"".join([f[1] for f in found])
         del found
         out = []
-        for rows, first, n in settle(keys, ids, windows.astype(np.int64), text, length):
+        for rows, first, n in settle(ids, windows.astype(np.int64), text, length):
             out += span_rows(ids[rows], hashes[rows], (begin[rows] + first).astype(np.int32), n.astype(np.int32), groups)
         return pa.Table.from_batches(out, pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
 
@@ -341,10 +368,10 @@ def repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = np.array(batch.column(1).to_pylist(), np.int64)
+            hashes = np.array([row_mark(i, h) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
             group = (mixed(hashes.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
             blobs = [compress(x or b"") for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(group), batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["group", "id", "hash", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(group), batch.column(0), pa.array(hashes), pa.array(blobs, pa.binary())], ["group", "id", "hash", "text"])
 
     packed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("binary")).mapInArrow(squeeze, "group int, id long, hash long, text binary")
 
