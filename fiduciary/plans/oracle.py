@@ -91,6 +91,11 @@ HEALTH_INPUTS = """SELECT plan_id, plan_period, funded_ratio AS funded, change A
       round(100 * (employer_contributions_usd - benefit_payments_usd) / total_usd, 4) AS cash, round(0.06 + funded_ratio / 25, 6) AS gasb, CAST(1995 + n_orders % 25 AS INTEGER) AS mortality FROM funding_changes"""
 
 ORACLES = {
+    "r1_sla_windows": """SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type AS metric, count(*) AS n, min(value) AS min_value, max(value) AS max_value, round(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(*), 6) AS avg_value FROM events GROUP BY 1, 2""",
+    "r2_streamed_versions": """SELECT artifact, artifact_seq, status, CAST(sum(CASE WHEN status <> 'unchanged' THEN 1 ELSE 0 END) OVER (PARTITION BY artifact ORDER BY artifact_seq) AS BIGINT) AS version FROM (
+      SELECT doc_id % 500 AS artifact, doc_id AS artifact_seq, CASE WHEN row_number() OVER w = 1 THEN 'new' WHEN lag(sha256(text)) OVER w IS NOT DISTINCT FROM sha256(text) THEN 'unchanged' ELSE 'superseding' END AS status FROM documents WHERE doc_id IS NOT NULL WINDOW w AS (PARTITION BY doc_id % 500 ORDER BY doc_id))""",
+    "s6_latest_filings": "SELECT o_custkey AS filer, CAST(o_orderdate AS DATE) AS filing_date, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS accession FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') DESC) = 1",
+    "k7_peer_store": "SELECT o_custkey AS ppd_id, CAST(year(o_orderdate) AS INTEGER) AS fy, o_orderkey, o_totalprice AS value FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey DESC) = 1",
     "w1_funding_trend": sql("""SELECT plan_id, plan_period, round(funded_ratio, 6) AS funded_ratio, change AS funded_ratio_change,
       CASE WHEN coalesce(employer_contributions_usd, employee_contributions_usd, benefit_payments_usd) IS NOT NULL THEN round(coalesce(employer_contributions_usd, 0) + coalesce(employee_contributions_usd, 0) + coalesce(-benefit_payments_usd, 0), 6) END AS net_external_cash_flow_usd FROM funding_changes"""),
     "w6_trend_change": sql("SELECT plan_id, CASE WHEN count(*) >= 2 THEN round(max_by(funded_ratio, plan_period) - min_by(funded_ratio, plan_period), 6) END AS trend_change, count(*) AS n_points FROM plan_funding GROUP BY plan_id"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import funding, history, holdings, quality
+from ..sources import scans
+from ..streaming import jobs
 from . import domain as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,7 +181,31 @@ def ambiguous_names(s: SparkSession, d: str) -> DataFrame:
     return rows.distinct().groupBy("norm").agg(F.count(F.lit(1)).alias("n_spellings")).where("n_spellings > 1")
 
 
+def streamed_windows(s: SparkSession, d: str) -> DataFrame:
+    rows = jobs.follow(s, d, "events").select(F.col("event_type").alias("metric"), "value", F.col("ts").cast("timestamp").alias("observed_at"))
+    return jobs.drain(jobs.sla_windows(rows, "1 hour"), "update", ["window_start", "metric"])
+
+
+def streamed_versions(s: SparkSession, d: str) -> DataFrame:
+    docs = jobs.follow(s, d, "documents").where("doc_id IS NOT NULL").select((F.col("doc_id") % 500).alias("artifact"), F.col("doc_id").alias("artifact_seq"), F.sha2("text", 256).alias("fingerprint"))
+    return jobs.drain(jobs.changes(docs, ["artifact"], ["artifact_seq"]), "append").select("artifact", "artifact_seq", "status", "version")
+
+
+def latest_filings(s: SparkSession, d: str) -> DataFrame:
+    rows = D.table(s, d, "orders").select(F.col("o_custkey").alias("filer"), F.col("o_orderdate").cast("date").alias("filing_date"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("accession"))
+    return scans.latest_filing(rows, ["filer"])
+
+
+def peer_store(s: SparkSession, d: str) -> DataFrame:
+    rows = D.table(s, d, "orders").select(F.col("o_custkey").alias("ppd_id"), F.year("o_orderdate").alias("fy"), "o_orderkey", F.col("o_totalprice").alias("value"))
+    return scans.last_wins(rows, ["ppd_id", "fy"], ["o_orderkey"])
+
+
 QUERIES: dict[str, Query] = {
+    "r1_sla_windows": streamed_windows,
+    "r2_streamed_versions": streamed_versions,
+    "s6_latest_filings": latest_filings,
+    "k7_peer_store": peer_store,
     "w1_funding_trend": lambda s, d: funding.funding_trend(D.plan_funding(s, d)),
     "w2_benchmark_panel": benchmark_panel,
     "w3_anomalies": anomalies,
