@@ -21,7 +21,7 @@ def entity_token(c: Column) -> Column:
 
 
 def ordered_refs(refs: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(refs, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(refs, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def period_digits(c: Column) -> Column:

@@ -144,7 +144,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
 
 def label_values(lines: DataFrame) -> DataFrame:
     """Label and rightmost value of lines in columns (bars) or of the form "label: value"."""
-    columns = F.filter(F.transform(F.split("line", r"\|"), F.trim), lambda x: x != "")
+    columns = F.filter(F.transform(F.split("line", r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     figures = F.filter(F.slice(columns, F.lit(2), F.greatest(F.size(columns) - 1, F.lit(0))), lambda x: x.rlike(r"^[-+$(]*[0-9][0-9,.]*[%)]*$") & ~x.rlike(r"^(19|20)[0-9]{2}$"))
     label = F.when(F.size(columns) > 1, F.get(columns, F.lit(0))).otherwise(F.regexp_extract("line", r"^([^:|]{1,80}): *\S", 1))
     value = F.when(F.size(columns) > 1, F.try_element_at(figures, F.lit(-1))).otherwise(F.regexp_extract("line", r"^[^:|]{1,80}: *([-+$(]*[0-9][0-9,.]*[%)]*)$", 1))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from fiduciary.functions import scalars as S
-from fiduciary.operators import funding, history, holdings
+from fiduciary.operators import funding, history, holdings, metrics, quality, stress
 
 
 def values(df, *cols):
@@ -47,3 +47,34 @@ def test_supersede_closes_only_active_rows(spark):
     facts = spark.createDataFrame([("k", 1, None), ("k", 2, "2001-01-01"), ("x", 3, None)], "key string, v int, superseded_at string").withColumn("superseded_at", F.col("superseded_at").cast("timestamp"))
     out = history.supersede(facts, facts.where("v = 1").withColumn("v", F.lit(9)), ["key"], "2005-01-01")
     assert {r.v: (r.superseded_at and r.superseded_at.year, r.restated) for r in out.collect()} == {1: (2005, False), 2: (2001, False), 3: (None, False), 9: (None, True)}
+
+
+def test_references_keep_their_digits(spark):
+    row = spark.range(1).select(
+        S.ordered_refs(F.array(F.lit(" p.10 "), F.lit("t 1"), F.lit(""), F.lit("p.10"))), *[metrics.evidence_ref(F.lit(x)) for x in ("Page 007 : Net  assets", "p.0", "TEXT: ", " Table  A ", None)]
+    ).first()
+    assert tuple(row) == (["p.10", "t 1"], "p.7#Net assets", "p.0", "text:unknown", "Table A", "")
+
+
+def test_label_values_keep_their_digits(spark):
+    lines = spark.createDataFrame([(1, 1, 0, "Total | 101 | 1,110 | 2024"), (1, 1, 1, "Ratio: 81.0%")], "doc_id long, page int, line_no int, line string")
+    assert sorted(values(quality.label_values(lines), "label", "value")) == [("Ratio", "81.0%"), ("Total", "1,110")]
+
+
+def test_derived_metrics_take_the_last_fact_and_skip_what_is_not_finite(spark):
+    facts = spark.createDataFrame(
+        [("P", "1", "aal_usd", 10.0, 0.9, "a", [" r "]), ("P", "1", "aal_usd", 20.0, None, "b", ["s"]), ("P", "1", "ava_usd", 15.0, 0.5, "c", None), ("P", "1", "ava_usd", float("inf"), 0.1, "d", []), (" ", "1", "ava_usd", 1.0, 0.1, "e", [])],
+        "plan_id string, plan_period string, metric_name string, normalized_value double, confidence double, fact_id string, evidence_refs array<string>",
+    )
+    flows = spark.createDataFrame([("P", "1", "f", 3.0, 1.0, 0.0, None, None, None)], "plan_id string, plan_period string, cash_flow_id string, " + ", ".join(f"{c} double" for c in metrics.FLOWS) + ", confidence double, evidence_refs array<string>")
+    out = {r.metric_name: r for r in metrics.derived_metrics(facts, flows).collect()}
+    assert {k: (v.value, v.confidence, v.source_fact_ids) for k, v in out.items()} == {"funded_gap_usd": (5.0, 0.5, ["b", "c"]), "unfunded_ratio": (0.25, 0.5, ["b", "c"])}
+
+
+def test_best_allocation_equals_a_full_search(spark):
+    returns, penalties, low, high = [0.08, 0.05, 0.02], [0.2, 0.1, 0.01], [0, 1, 2], [6, 8, 10]
+    rows = spark.createDataFrame([("P", f"b{i}", returns[i], penalties[i], low[i], high[i]) for i in range(3)] + [("Q", "b0", 0.1, 0.0, 0, 10)], "plan_id string, bucket string, expected_return double, risk_penalty double, min_units int, max_units int")
+    full = max((sum(x / 10 * r - 0.5 * (x / 10) ** 2 * p for x, r, p in zip(w, returns, penalties)), w) for w in ((a, b, 10 - a - b) for a in range(7) for b in range(1, 9)) if 2 <= w[2] <= 10)
+    out = {r.plan_id: r for r in stress.best_allocations(rows, 3, 10, 0.5).collect()}
+    assert abs(out["P"].objective - full[0]) < 1e-9 and [round(x * 10) for x in out["P"].weights] == list(full[1])
+    assert (out["Q"].objective, out["Q"].weights) == (0.1, [1.0])
