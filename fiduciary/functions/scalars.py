@@ -12,7 +12,9 @@ def finite(c: Column) -> Column:
 
 
 def clamp_confidence(c: Column) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), finite(c.cast("double")))), 6)
+    """Between 0 and 1, round 6; null where the value is null or not finite (greatest and least skip nulls)."""
+    known = finite(c.cast("double"))
+    return F.when(known.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), known)), 6))
 
 
 def entity_token(c: Column) -> Column:

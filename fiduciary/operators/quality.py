@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import entity_token, period_year
+from ..functions.scalars import clamp_confidence, entity_token, period_year
 
 
 def shifts(points: DataFrame, key: list[str], value: str, metric: Column, warning: float, critical: float, medium: float = 0.75) -> DataFrame:
-    """Points that moved by ``warning`` or more from the one before, with severity, score and review priority."""
+    """Points that moved by ``warning`` or more from the one before, with severity, score and review priority; an unknown confidence counts as 0."""
     w = Window.partitionBy("plan_id", *key).orderBy(period_year(F.col("period")).asc_nulls_last(), "period")
     shift = F.round(F.abs(F.col(value) - F.lag(value).over(w)), 6)
     span = max(critical - warning, 1e-9) if critical != warning else 1.0
     rows = points.withColumn("shift", shift).where(F.col("shift") >= warning)
     severe = F.col("shift") >= critical
     excess = F.when(severe, 1 + (F.col("shift") - critical) / span).otherwise((F.col("shift") - warning) / span)
-    score = F.round(excess * (0.5 + 0.5 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))), 6)
-    sure = F.col("confidence") >= medium
+    score = F.round(excess * (0.5 + 0.5 * F.coalesce(clamp_confidence(F.col("confidence")), F.lit(0.0))), 6)
+    sure = F.coalesce(F.col("confidence") >= medium, F.lit(False))
     return rows.select(
         "plan_id", "period", metric.alias("metric"), "shift", score.alias("score"), F.when(severe, "critical").otherwise("warning").alias("severity"),
         F.when(severe & sure, "high").when(severe | sure, "medium").otherwise("low").alias("priority"),

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from fiduciary.functions import scalars as S
-from fiduciary.operators import funding, history, holdings, metrics, quality, stress
+from fiduciary.operators import funding, history, holdings, integrity, lineage, metrics, quality, readiness, stress
 
 
 def values(df, *cols):
@@ -78,3 +78,37 @@ def test_best_allocation_equals_a_full_search(spark):
     out = {r.plan_id: r for r in stress.best_allocations(rows, 3, 10, 0.5).collect()}
     assert abs(out["P"].objective - full[0]) < 1e-9 and [round(x * 10) for x in out["P"].weights] == list(full[1])
     assert (out["Q"].objective, out["Q"].weights) == (0.1, [1.0])
+
+
+def test_unknown_confidence_is_never_sure(spark):
+    rows = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (1.7,), (-1.0,), (0.8,)], "c double")
+    out = rows.select(S.clamp_confidence(F.col("c")).alias("clamped"), S.routing(F.col("c")).alias("r")).select("clamped", "r.*").collect()
+    assert [r.clamped for r in out] == [None, None, None, 1.0, 0.0, 0.8]
+    assert [(r.routing_outcome, r.publish_blocked) for r in out[:4]] == [("high_priority_review", True)] * 3 + [("auto_accept", False)]
+
+
+def test_upsert_skips_conflicts_and_supersedes(spark):
+    schema = "fact_id string, value double, source_document_id string, asserted_at string"
+    store = spark.createDataFrame([("a@2000:x", 1.0, "d", "2001"), ("b", 1.0, "d", "2001"), ("c", None, "d", "2001")], schema).withColumn("superseded_at", F.lit(None).cast("string"))
+    batch = spark.createDataFrame([("a", 2.0, "d", "2002"), ("b", 2.0, "d", "2001"), ("c", None, "d", "2001"), ("n", 1.0, "d", "2001")], schema)
+    out = {r.fact_id: r for r in integrity.upsert(store, batch, ["value"]).collect()}
+    assert {k: v.decision for k, v in out.items()} == {"a": "supersede", "b": "conflict", "c": "skip", "n": "insert"}
+    assert out["a"].stored_id == "a@2000:x" and out["a"].new_id.startswith("a@2002:") and out["a"].closes_at == "2002" and out["n"].new_id == "n"
+
+
+def test_reachable_ends_on_cycles_and_keeps_the_shortest_way(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (7, 8), (8, 7)], "source long, target long")
+    got = sorted(values(lineage.reachable(e), "root", "node", "depth"))
+    assert got == [(1, 2, 1), (1, 3, 1), (1, 4, 2), (2, 3, 1), (2, 4, 2), (3, 4, 1), (7, 7, 2), (7, 8, 1), (8, 7, 1), (8, 8, 2)]
+    assert sorted(values(lineage.terminals(lineage.reachable(e), e), "root", "node")) == [(1, 4), (2, 4), (3, 4)]
+    assert lineage.reachable(e.limit(0)).count() == 0
+
+
+def test_accuracy_of_nothing_is_one(spark):
+    none = spark.createDataFrame([], "document_id string, field string, value string")
+    assert values(integrity.accuracy(integrity.compared(none, none)), "exact", "field_precision", "document_pass_rate") == [(0, 1.0, 1.0)]
+
+
+def test_document_types_take_the_first_hint(spark):
+    row = spark.range(1).select(*[readiness.document_type(F.lit(t), F.lit(u)) for t, u in (("Consultant annual report", "x"), ("Board meeting", "x"), (None, "http://h/ACFR.pdf"), ("News", "x"))]).first()
+    assert tuple(row) == ("annual_report", "board_packet", "annual_report", "other")
