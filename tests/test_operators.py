@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from fiduciary.functions import scalars as S
-from fiduciary.operators import funding, history, holdings, integrity, lineage, metrics, quality, readiness, stress
+from fiduciary.operators import disclosures, funding, history, holdings, integrity, lineage, metrics, quality, readiness, stress
 
 
 def values(df, *cols):
@@ -112,3 +112,19 @@ def test_accuracy_of_nothing_is_one(spark):
 def test_document_types_take_the_first_hint(spark):
     row = spark.range(1).select(*[readiness.document_type(F.lit(t), F.lit(u)) for t, u in (("Consultant annual report", "x"), ("Board meeting", "x"), (None, "http://h/ACFR.pdf"), ("News", "x"))]).first()
     assert tuple(row) == ("annual_report", "board_packet", "annual_report", "other")
+
+
+def test_flows_say_what_is_missing(spark):
+    rows = [("P", "1", "Beginning AUM", 100.0), ("P", "1", "ending_aum", 105.0), ("P", "1", "Benefit  Payments", 5.0), ("P", "1", "Refunds", float("nan")), ("Q", "1", "other", 1.0)]
+    labels = spark.createDataFrame([(*r, "million_usd") for r in rows], "plan_id string, plan_period string, label string, value double, unit string")
+    out = {r.plan_id: r for r in disclosures.financial_flows(labels).collect()}
+    assert (out["P"].net_external_cash_flow_usd, out["P"].consistency_gap_usd, out["P"].net_external_cash_flow_rate_pct, out["P"].warnings) == (-5e6, 1e7, -5.0, "partial_disclosure,consistency_gap")
+    assert (out["Q"].net_external_cash_flow_usd, out["Q"].disclosure_level, out["Q"].warnings) == (None, "not_disclosed", "not_disclosed")
+
+
+def test_cells_and_ids(spark):
+    row = spark.range(1).select(
+        *[disclosures.cell_number(F.lit(x)) for x in (" 1,234.5 ", "n/a", "inf", ".", None)], disclosures.whole(F.lit("123.0")), disclosures.whole(F.lit("1.5")), disclosures.funded_fraction(F.lit(81.0), F.lit(None), F.lit(None)),
+        disclosures.security_id(F.lit(" - "), F.lit(" ab "), F.lit("x")), disclosures.security_id(F.lit(None), F.lit(""), F.lit("Big  Co")),
+    ).first()
+    assert tuple(row) == (1234.5, None, None, None, None, 123, None, 0.81, "ticker:AB", "name:big co")
