@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import disclosures, history
+from ..operators import disclosures, history, validation
 from . import domain as D
 from . import registry
 from .oracle import sql
@@ -72,7 +72,45 @@ def refresh(s: SparkSession, d: str) -> DataFrame:
     return disclosures.refresh_windows(history.cadence_profiles(registry.publications(s, d)), latest(s, d), "2024-05-20")
 
 
+METRICS = ["funded_ratio", "aal_usd", "discount_rate", "participant_count"]
+
+
+def parsed(s: SparkSession, d: str) -> DataFrame:
+    """Four orders as the parsed rows of a document, one a metric; every 29th is missing and some break a rule."""
+    k = F.col("o_orderkey")
+    value = F.when(k % 4 == 0, (k % 11) / 4).when(k % 4 == 1, F.when(k % 33 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))).when(k % 4 == 2, (k % 23) / 20).when(k % 37 > 0, F.lit(5.0))
+    ref = F.when(k % 6 == 0, "p.3#Table").when(k % 6 == 1, "text:4").when(k % 6 == 2, "table:x").when(k % 31 == 0, "Page 3").otherwise("p.1")
+    rows = D.table(s, d, "orders").where("o_orderkey % 29 > 0").select(
+        F.floor(k / 4).alias("document_id"), F.when(k % 41 == 0, " ").otherwise(F.concat(F.lit("P"), F.floor(k / 4).cast("string"))).alias("plan_id"), F.lit("FY2020").alias("plan_period"), F.element_at(F.array(*map(F.lit, METRICS)), (k % 4 + 1).cast("int")).alias("metric_name"), value.alias("normalized_value"),
+        F.when(k % 43 == 0, F.lit(None)).otherwise(F.lit("usd")).alias("normalized_unit"), ((k % 53) / 51).alias("confidence"), F.when(k % 47 == 0, F.array().cast("array<string>")).otherwise(F.array(ref)).alias("evidence_refs"),
+    )
+    return rows.withColumns({c: F.lit("x") for c in validation.REQUIRED_FIELDS if c not in rows.columns})
+
+
+def promotable(s: SparkSession, d: str) -> DataFrame:
+    rows = parsed(s, d)
+    return validation.promotable(rows, validation.findings(rows, METRICS)).select("document_id", "metric_name")
+
+
+def system_types(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = D.table(s, d, "customer")
+    registry_rows = c.where("c_custkey % 3 > 0").select(F.concat(F.when(k % 2 == 0, "PS-").otherwise("x-"), k.cast("string")).alias("stable_id"), F.col("c_mktsegment").alias("system_type"), k.alias("seq"))
+    plans = c.select(F.concat(F.when(k % 4 == 0, "").when(k % 4 == 2, "ps-").otherwise(" X-"), k.cast("string")).alias("plan_id"), F.lit("cohort").alias("cohort"))
+    return validation.system_types(plans, registry_rows)
+
+
+def manifest_changes(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = D.table(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    return validation.key_changes(rows.where(k % 5 > 0), rows.where(k % 7 > 0).withColumn("o_orderstatus", F.when(k % 11 == 0, "X").otherwise(F.col("o_orderstatus"))), ["o_orderkey"], "o_orderstatus")
+
+
 QUERIES: dict[str, Query] = {
+    "d4_findings": lambda s, d: validation.findings(parsed(s, d), METRICS),
+    "d4_promotable": promotable,
+    "j17_system_types": system_types,
+    "u8_key_changes": manifest_changes,
     "e5_financial_flows": financial_flows,
     "e6_allocations": allocations,
     "e8_manager_positions": positions,
@@ -89,7 +127,17 @@ PROFILES = """SELECT system_id, source_id, m AS f, months, l, CASE WHEN g IS NUL
 NEXT_MONTH = "(SELECT min(make_date(year({b}) + CASE WHEN x < month({b}) THEN 1 ELSE 0 END, x, 1)) FROM (SELECT unnest(months) AS x))::TIMESTAMP"
 NOW = "TIMESTAMP '2024-05-20'"
 
+PARSED = """SELECT k // 4 AS document_id, k, CASE WHEN k % 41 = 0 THEN ' ' ELSE 'P' || (k // 4) END AS plan_id, ['funded_ratio', 'aal_usd', 'discount_rate', 'participant_count'][k % 4 + 1] AS metric_name, CASE k % 4 WHEN 0 THEN (k % 11) / 4 WHEN 1 THEN CASE WHEN k % 33 = 0 THEN -o_totalprice ELSE o_totalprice END WHEN 2 THEN (k % 23) / 20 ELSE CASE WHEN k % 37 > 0 THEN 5 END END AS v
+    FROM (SELECT *, o_orderkey AS k FROM orders) WHERE k % 29 > 0"""
+FOUND = f"""SELECT DISTINCT document_id, plan_id, 'FY2020' AS plan_period, metric_name, code, detail FROM ({PARSED}) CROSS JOIN (VALUES ('schema_invalid', 'plan_id'), ('schema_invalid', 'normalized_unit'), ('confidence_out_of_range', ''), ('normalized_value_missing', ''), ('numeric_out_of_range', ''), ('provenance_missing', ''), ('provenance_invalid', '')) r(code, detail)
+    WHERE CASE WHEN detail = 'plan_id' THEN k % 41 = 0 WHEN detail = 'normalized_unit' THEN k % 43 = 0 WHEN code = 'confidence_out_of_range' THEN k % 53 > 51 WHEN code = 'normalized_value_missing' THEN v IS NULL WHEN code = 'numeric_out_of_range' THEN (k % 4 = 0 AND v > 2) OR (k % 4 = 1 AND v < 0) OR (k % 4 = 2 AND v > 1) WHEN code = 'provenance_missing' THEN k % 47 = 0 ELSE k % 47 > 0 AND k % 31 = 0 AND k % 6 > 2 END
+    UNION ALL SELECT document_id, p, 'FY2020', m, 'required_metric_missing', '' FROM (SELECT document_id, min(plan_id) AS p, list(metric_name) AS have FROM ({PARSED}) GROUP BY document_id) CROSS JOIN (VALUES ('funded_ratio'), ('aal_usd'), ('discount_rate'), ('participant_count')) q(m) WHERE NOT list_contains(have, m)"""
+
 ORACLES = {
+    "d4_findings": FOUND,
+    "d4_promotable": f"SELECT document_id, metric_name FROM ({PARSED}) WHERE document_id NOT IN (SELECT document_id FROM ({FOUND}))",
+    "j17_system_types": "SELECT CASE c_custkey % 4 WHEN 0 THEN '' WHEN 2 THEN 'ps-' ELSE ' X-' END || c_custkey AS plan_id, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE 'cohort' END AS system_type FROM customer",
+    "u8_key_changes": """SELECT k AS o_orderkey, CASE WHEN k % 5 > 0 THEN o_orderstatus END AS before, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN 'X' ELSE o_orderstatus END AS after, CASE WHEN k % 7 = 0 THEN 'removed' WHEN k % 5 = 0 THEN 'added' ELSE 'changed' END AS change FROM (SELECT *, o_orderkey AS k FROM orders) WHERE CASE WHEN k % 5 = 0 THEN k % 7 > 0 ELSE k % 7 = 0 OR k % 11 = 0 END""",
     "e5_financial_flows": sql("""SELECT plan_id, plan_period, CASE WHEN n_orders % 2 = 0 AND c = 3 THEN 'complete' ELSE 'partial' END AS disclosure_level, CASE WHEN n_orders % 2 = 0 AND c = 3 THEN '' ELSE 'partial_disclosure' || CASE WHEN abs(g) > 1 THEN ',' ELSE '' END END || CASE WHEN abs(g) > 1 THEN 'consistency_gap' ELSE '' END AS warnings,
         round(-b * 1000, 2) AS benefit_payments, CASE WHEN n_orders % 2 = 0 THEN -10000.0::DOUBLE END AS refunds, round(net * 1000, 2) AS net_external_cash_flow_usd, round(g, 2) AS consistency_gap_usd, round(round(net * 1000, 6) / (total_usd * 1000) * 100, 6) AS net_external_cash_flow_rate_pct FROM (SELECT *, 50000 - net * 1000 AS g FROM (
         SELECT *, benefit_payments_usd AS b, coalesce(employer_contributions_usd, 0) + coalesce(employee_contributions_usd, 0) - coalesce(benefit_payments_usd, 0) - CASE WHEN n_orders % 2 = 0 THEN 10 ELSE 0 END AS net,
