@@ -11,7 +11,8 @@ Repetition alone can't tell an article from what surrounds it: copies of an
 article and passages that articles share are repeated, and adverts or menus can
 be unique. So blocks inside an article are not judged by it, and blocks inside
 elements that are menus, footers, adverts and so on by name, class or role are
-left out whether repeated or not.
+left out whether repeated or not. A class, an id or a form says so only as long
+as the element doesn't hold the article.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ PAGES = 3  # different pages of a host that have to repeat them
 BROADCAST_WINDOWS = 500_000
 
 # Fixed values of HTML: elements whose content is no text, that start a block, and that surround an article.
-RAW = "script style noscript template textarea select svg iframe title object math canvas button datalist".split()
+RAW = set("script style noscript template textarea select svg iframe title object math canvas button datalist".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 AROUND = set("aside dialog footer form head header menu nav search".split())
@@ -47,12 +48,12 @@ HINTS = set(
 )
 ROLES = set("banner navigation contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
-TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*|[^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-NAME = re.compile(r"[a-z0-9]+")
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*|[^>]*)>|<[!?/][^>]*>", re.S)
+#: One attribute after the other: name, and value in quotes (to the end, where the closing one lacks) or without.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
+#: A slash at the end that belongs to a value without quotes.
+VALUE_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")
+RAW_TAGS = {name: re.compile(rf"<(/?){name}(?=[\s/>])([^>]*)>", re.I) for name in RAW}
 
 
 @dataclass
@@ -63,81 +64,142 @@ class Block:
     main: bool
 
 
-def surrounds(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds what surrounds an article. A header inside an article is its heading."""
-    if name in AROUND and not (name == "header" and inside):
-        return True
-    if not attributes:
-        return False
-    for key, *values in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), "".join(values).lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-            words = set(NAME.findall(value))
-            if words & HINTS and not (inside and words & {"header", "form"} and name in ("header", "h1", "h2", "h3")):
-                return True
-    return False
+@dataclass(eq=False)
+class Wrapper:
+    """An element that holds what surrounds an article, by its class, id or role of a form, unless the article is in it."""
+
+    article: bool = False
+    main: bool = False
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by name, both in small letters; of equal names the first one counts."""
+    out: dict[str, str] = {}
+    for key, *values in ATTRIBUTE.findall(text):
+        out.setdefault(key.lower(), "".join(values).lower())
+    return out
+
+
+def self_closed(text: str) -> bool:
+    return text.endswith("/") and not VALUE_SLASH.search(text)
+
+
+def hinted(value: str) -> set[str]:
+    """Names of a class or id that are hints, or made of nothing but hints as nav-menu is."""
+    return {n for n in value.split() if n in HINTS or (words := re.split("[-_]+", n.strip("-_")))[0] and HINTS.issuperset(words)}
+
+
+def surrounds(name: str, attributes: dict[str, str], inside: bool) -> tuple[bool, bool]:
+    """Whether an element holds what surrounds an article: for sure, and as long as no article is in it.
+
+    A header inside an article is its heading.
+    """
+    sure = name in AROUND and name != "form" and not (name == "header" and inside)
+    maybe = name == "form"
+    if attributes:
+        role = attributes.get("role", "")
+        sure = sure or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", ""))) or (role in ROLES and role != "form")
+        maybe = maybe or role == "form"
+        if not (sure or maybe) and name not in ("html", "body", "article", "main"):
+            for key in ("class", "id"):
+                names = hinted(attributes.get(key, ""))
+                if names and not (inside and names & {"header", "form"} and name in ("header", "h1", "h2", "h3")):
+                    maybe = True
+    return sure, maybe
+
+
+def raw_ends(page: str, name: str) -> dict[int, int]:
+    """Where the content of elements ``name`` ends, end tag included, by where it starts; those that are never closed have none."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for m in RAW_TAGS[name].finditer(page):
+        if not m.group(1):
+            if not self_closed(m.group(2)):
+                opened.append(m.end())
+        elif opened:
+            out[opened.pop()] = m.end()
+            if name in ("script", "style", "textarea", "title", "iframe"):  # hold no elements: the first end tag ends them
+                out.update(dict.fromkeys(opened, m.end()))
+                opened.clear()
+    if name in ("script", "style"):  # code of a page that was cut off
+        out.update(dict.fromkeys(opened, len(page)))
+    return out
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, character references decoded and white space made single."""
-    out: list[Block] = []
+    out: list[tuple[str, bool, tuple[Wrapper, ...], bool, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, around, article, main
-    around = article = main = False
+    stack: list[tuple[str, bool, tuple[Wrapper, ...], bool, bool]] = []  # name, around, wrappers, article, main
+    outside: tuple[bool, tuple[Wrapper, ...], bool, bool] = (False, (), False, False)
+    around, wrappers, article, main = outside
+    ends: dict[str, dict[int, int]] = {}
     at = 0
 
     def close() -> None:
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append(Block(text, around, article, main))
+                out.append((text, around, wrappers, article, main))
             parts.clear()
 
-    for m in TAG.finditer(page):
+    while m := TAG.search(page, at):
         if m.start() > at:
             raw = page[at : m.start()]
             parts.append(html.unescape(raw) if "&" in raw else raw)
         at = m.end()
-        name = m.group(3)
+        name = m.group(2)
         if name is None:
             continue
         name = name.lower()
-        if m.group(2):
+        if name in RAW:
+            if not m.group(1) and not self_closed(m.group(3)):
+                if name not in ends:
+                    ends[name] = raw_ends(page, name)
+                at = ends[name].get(at, at)
+        elif m.group(1):
             if name in BLOCK:
                 close()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     close()
                     del stack[i:]
-                    _, around, article, main = stack[-1] if stack else ("", False, False, False)
+                    around, wrappers, article, main = stack[-1][1:] if stack else outside
                     break
         elif name in ("br", "td", "th"):
             parts.append(" ")
         elif name not in VOID or name == "hr":
-            attributes = m.group(4)
             block = name in BLOCK
             if block:
                 close()
                 if stack and stack[-1][0] in ("p", "li", "dt", "dd") and stack[-1][0] == name:
                     stack.pop()
-                    _, around, article, main = stack[-1] if stack else ("", False, False, False)
-            hidden = surrounds(name, attributes, article or main)
-            if hidden or (block and name not in ("p", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr")):
-                if hidden:
+                    around, wrappers, article, main = stack[-1][1:] if stack else outside
+            attributes = attributes_of(m.group(3)) if m.group(3) else {}
+            sure, maybe = surrounds(name, attributes, article or main)
+            if sure or maybe or (block and name not in ("p", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr")):
+                if sure or maybe:
                     close()
-                if not attributes.endswith("/"):
-                    around = around or hidden
+                if not self_closed(m.group(3)) and name not in VOID:
+                    around = around or sure
+                    is_main = name == "main" or attributes.get("role") == "main"
+                    if not around:
+                        for w in wrappers:
+                            w.main = w.main or is_main
+                            w.article = w.article or (name == "article" and not article)
+                    if maybe and not sure:
+                        wrappers = (*wrappers, Wrapper())
                     article = article or name == "article"
-                    main = main or name == "main" or "role=\"main\"" in attributes
-                    stack.append((name, around, article, main))
+                    main = main or is_main
+                    stack.append((name, around, wrappers, article, main))
     if at < len(page):
         raw = page[at:]
         parts.append(html.unescape(raw) if "&" in raw else raw)
     close()
-    return out
+    # a wrapper of the main part is none; one of articles is, where another article stands outside (comments, related pages)
+    seen = [(a, m) for _, x, ws, a, m in out if not x and all(w.main for w in ws)]
+    plain, rest = any(a for a, _ in seen), any(m for _, m in seen)
+    # where text of the main part stands beside articles in wrappers, the main part is the text and holds them
+    return [Block(t, x or any(not (w.main or (w.article and not plain)) for w in ws), a and (plain or not rest), m) for t, x, ws, a, m in out]
 
 
 def zone(blocks: list[Block]) -> str | None:

@@ -164,6 +164,31 @@ def test_extraction(spark):
     assert out[2] == "Own text number 2 & more\n\nSecond part" and out[9] == "T\n\nBody" and out[10] == "" and out[11] == "no markup & more"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        *[(f"<body><div class='{c}'><article><p>Body</p></article></div><footer>f</footer>", "Body") for c in ("page has-sidebar", "no-sidebar", "with-header", "widget", "nav-menu")],
+        *[(f"<article><p>Body</p><div class='{c}'>more</div></article>", "Body\n\nmore") for c in ("elementor-widget-text-editor", "related-work", "section-header")],
+        ("<div id='sidebar'><main>Body</main></div><div class='sidebar'>x</div>", "Body"),
+        ("<main>Body<div class='widget'><article>more</article></div></main>", "Body\n\nmore"),
+        ("<form id='aspnetForm'><input><main>Body</main></form>", "Body"),
+        ("<div role='main'>Body</div><div>x</div>", "Body"),
+        ("<main><article>Body</article><div id=comments><article class=comment>me too</article></div></main>", "Body"),
+        ("<article>Body<div class='comments'><article>me too</article></div></article>", "Body"),
+        ("<article><p title='The hidden river' data-role=menu data-style='display:none'>Body</article>", "Body"),
+        ("<article><p title='class=ad'>Body</p><p hidden>x</p><p class=AD>y</p><p class='nav-menu'>z</p></article>", "Body"),
+        *[(f"<body><{t}/><article>Body</article>", "Body") for t in ("svg class='x' ", "iframe src='a'", "script src='a' ", "canvas", "object data='a'")],
+        *[(f"<body><{t}>a</{t}><article>Body</article>", "Body") for t in ("title-bar", "button-group", "select-box")],
+        ("<body><button>Menu<article>Body <button>x</button>end</article>", "Body end"),
+        ("<body><object>a<object>b</object>c</object><article>Body</article><script>var a = '<p>x'", "Body"),
+        ("<article>Body<hr class='ad'>more<hr hidden>end</article>", "Body\n\nmore\n\nend"),
+        ("<article>Body<img class='ad' hidden>more<div class=ad data-u=a/>x</div>end</article>", "Bodymore\n\nend"),
+    ],
+)
+def test_extraction_of_ordinary_markup(page, text):
+    assert extraction.main_text(page, None, "") == text
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
