@@ -38,15 +38,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id (one row, if it is repeated).
+    """One row of each group of near copies: that with the smallest id, of equal ids that with the smallest hashes.
 
-    Documents without words are alike and one of them stays; rows with a null
-    id stay only if their whole group has none.
+    Documents without words are alike and one of them stays; a row with a null
+    id stays only if its whole group has none. A row is told by the hashes of
+    its text and of all its columns, so an id that holds several texts can stay
+    once in each of their groups.
     """
-    groups = simhash_groups(docs)
-    kept = groups.where(F.col("_id").eqNullSafe(F.col("_component"))).groupBy("_id").agg(F.min("_print").alias("_print"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    whole = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    rows = docs.withColumns({"_text": F.xxhash64("text"), "_row": whole})
+    groups = simhash_groups(rows, keep=("_text", "_row"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_text", "_row")).alias("first")
+    kept = groups.groupBy("_root").agg(first).select("first._text", "first._row")
+    return rows.join(kept, ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,14 +53,15 @@ def fingerprint(text: str, size: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (_id, _print); null texts count as empty."""
+def fingerprints(docs: DataFrame, size: int = 4, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (_id, _print) with the columns ``keep``; null texts count as empty."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([fingerprint(x, size) for x in texts(batch.column(1))], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["_id", "_print"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["_id", "_print", *keep])
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(per_batch(run), "_id long, _print long")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(key).cast("long"), text, *keep).mapInArrow(per_batch(run), "_id long, _print long" + kinds)
 
 
 @dataclass
@@ -234,22 +235,23 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     return dealt.select("part", "key", "_print", "x", "y").repartition(*by).sortWithinPartitions(*by, "_print").mapInArrow(compare, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, distance: int = 4, size: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (_id, _print, _component) for every row of ``docs``.
+def simhash_groups(docs: DataFrame, distance: int = 4, size: int = 4, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (_id, _print, _root, _component) with the columns ``keep`` for every row of ``docs``.
 
     The component is the smallest id that can be reached over links of at most
     ``distance`` bits, itself included. Null texts and texts without words have
     fingerprint 0, linked like any other; a null id belongs to its fingerprint's
     component but can't name it; repeated rows stay; an empty table gives an
-    empty result; only the two columns are read.
+    empty result; only the two columns and ``keep`` are read. The root is a
+    fingerprint that tells components apart, also those without any id.
     """
-    marked = cut(fingerprints(docs, size, key, text))
+    marked = cut(fingerprints(docs, size, key, text, keep))
     distinct = cut(marked.groupBy("_print").agg(F.min("_id").alias("_least")))
     roots = components(links(distinct, distance))
     rooted = distinct.join(roots, distinct["_print"] == roots["node"], "left").select("_print", "_least", F.coalesce("root", "_print").alias("_root"))
     names = rooted.groupBy("_root").agg(F.min("_least").alias("_component"))
-    named = rooted.join(names, "_root").select("_print", "_component")
-    return marked.join(named, "_print").select("_id", "_print", "_component")
+    named = rooted.join(names, "_root").select("_print", "_root", "_component")
+    return marked.join(named, "_print").select("_id", "_print", "_root", "_component", *keep)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

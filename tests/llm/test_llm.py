@@ -189,6 +189,20 @@ def test_extraction_of_ordinary_markup(page, text):
     assert extraction.main_text(page, None, "") == text
 
 
+def test_near_copies_keep_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(None, words[0], "x"), (None, words[0], "y"), (None, words[1], "x"), (None, words[2], "x"), (4, words[2], "x"), (7, words[3], "x"), (7, words[4], "x"), (7, words[4], "y"), (7, words[4], "y"), (2, words[5], None), (3, words[5], "x")]
+    kept = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        kept.append(sorted(map(str, corpus_pipeline.drop_near_copies(spark, docs, "").collect())))
+        out = corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id", "text").collect()
+        assert sorted((r.doc_id or 0, r.text[0]) for r in out) == [(0, "a"), (0, "b"), (2, "f"), (4, "c"), (7, "d"), (7, "e")]
+    assert kept[0] == kept[1]
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
