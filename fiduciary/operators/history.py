@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stable_id
+from .lineage import cut
 
 
 def as_of(facts: DataFrame, valid: str, known: str) -> DataFrame:
@@ -46,20 +47,25 @@ def artifact_versions(artifacts: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("artifact_id", stable_id("artifact", *[F.col(k) for k in key], F.col("version"), F.col("checksum"))).drop("_before", "content")
 
 
-def canonical_ids(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def canonical_ids(edges: DataFrame) -> DataFrame:
     """Follow successors (source, target) to their end by pointer jumping.
 
-    Every round doubles the length of the paths that are known; sources with
-    several successors are ambiguous, and so is what leads to them.
+    Every round doubles the length of the paths that are known, until all have
+    ended or are longer than there are links: those are cycles or lead to one,
+    and have no canonical id. Sources with several successors are ambiguous, and
+    so is what leads to them. Rounds are checkpointed, so the plan doesn't grow.
     """
     out = edges.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target"))
     forks = out.where("n > 1").select(F.col("source").alias("node"))
-    at = out.where("n = 1").select("source", "target")
-    for _ in range(max(1, rounds.bit_length())):
-        ahead = at.select(F.col("source").alias("target"), F.col("target").alias("_next"))
-        at = at.join(ahead, "target", "left").select("source", F.coalesce("_next", "target").alias("target"))
+    at = cut(out.where("n = 1").select("source", "target", F.lit(True).alias("_open")))
+    for _ in range(at.count().bit_length() + 1):  # the last one sees that the longest path has ended
+        ahead = at.select(F.col("source").alias("target"), F.col("target").alias("_next"), F.col("_open").alias("_more"))
+        jumped = at.where("_open").join(ahead, "target", "left").select("source", F.coalesce("_next", "target").alias("target"), F.coalesce("_more", F.lit(False)).alias("_open"))
+        at = cut(at.where("NOT _open").unionByName(jumped))
+        if at.where("_open").isEmpty():
+            break
     fork = forks.withColumn("_fork", F.lit(True))
-    ends = at.join(fork, at["target"] == fork["node"], "left").select("source", F.when(F.col("_fork"), None).otherwise(F.col("target")).alias("canonical_id"), F.when(F.col("_fork"), "ambiguous").otherwise("resolved").alias("status"))
+    ends = at.join(fork, at["target"] == fork["node"], "left").select("source", F.when(F.col("_fork") | F.col("_open"), None).otherwise(F.col("target")).alias("canonical_id"), F.when(F.col("_open"), "cycle").when(F.col("_fork"), "ambiguous").otherwise("resolved").alias("status"))
     return ends.unionByName(forks.select(F.col("node").alias("source"), F.lit(None).cast(dict(edges.dtypes)["target"]).alias("canonical_id"), F.lit("ambiguous").alias("status")))
 
 

@@ -35,6 +35,16 @@ def test_canonical_ids_follow_successors_and_mark_forks(spark):
     assert out[1] == (4, "resolved") and out[3] == (4, "resolved") and out[5][1] == out[6][1] == "ambiguous"
 
 
+def test_canonical_ids_of_long_chains_and_cycles(spark):
+    links = [(i, i + 1) for i in range(100)] + [(i, i + 1) for i in range(200, 300)] + [(300, 301), (300, 302)]
+    links += [(401, 402), (402, 403), (403, 401), (400, 401), (500, 501), (501, 500), (600, 600)]
+    out = {r.source: (r.canonical_id, r.status) for r in history.canonical_ids(spark.createDataFrame(links, "source long, target long")).collect()}
+    assert all(out[i] == (100, "resolved") for i in range(100)) and all(out[i] == (None, "ambiguous") for i in range(200, 301))
+    assert all(out[i] == (None, "cycle") for i in (400, 401, 402, 403, 500, 501, 600)) and len(out) == 208
+    one = spark.createDataFrame([(1, 1)], "source long, target long")
+    assert history.canonical_ids(one).first().status == "cycle" and history.canonical_ids(one.limit(0)).count() == 0
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         S.first_number(F.lit("in 2024 about 1.234,5 or 7")), S.first_number(F.lit("81,2 %")), S.first_number(F.lit("325.000")), S.report_year(F.lit("Report 2023-24")), S.report_year(F.lit("1999-00")),
