@@ -74,11 +74,11 @@ def packed(rows: DataFrame, most: int, group: str) -> DataFrame:
 
 
 def candidate_blocks(rows: DataFrame) -> DataFrame:
-    """All rows in blocks by descending length; a block is a row (dim, norm, ids, data)."""
+    """All rows in blocks by descending length; a block is a row (dim, norm, ids, data, number)."""
     rows = cut(rows)
     n = max(1, rows.count() // CANDIDATES)
     placed = rows.repartitionByRange(n, F.desc("_norm"), "_id").sortWithinPartitions("_dim", F.desc("_norm"), "_id").withColumn("_group", F.lit(0))
-    return cut(packed(placed, CANDIDATES, "_group").drop("group"))
+    return cut(packed(placed, CANDIDATES, "_group").drop("group").withColumn("number", F.monotonically_increasing_id()))
 
 
 def query_blocks(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -105,8 +105,9 @@ def nearest(candidates: DataFrame, queries: DataFrame, numbers: int, k: int, sea
     (row of the query, candidate id, score) of what a block has to offer;
     bounds are scores that k candidates of the query are known to reach.
     """
-    best = candidates.groupBy("dim").agg(F.max_by(F.struct("ids", "data"), "norm").alias("head"), F.max("norm").alias("head_norm"))
-    head = best.select("dim", "head.*", "head_norm")
+    # chosen once: of blocks of equal norm, every use has to take the same one
+    best = cut(candidates.groupBy("dim").agg(F.max(F.struct("norm", "number")).alias("best")).select("dim", "best.number"))
+    head = candidates.join(F.broadcast(best), ["dim", "number"], "left_semi")
     arrow = {"long": pa.int64(), "double": pa.float64()}[score_type]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +145,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, numbers: int, k: int, sea
     asked = cut(queries.join(lows, "qb", "left").select("qb", "q_dim", "q_norm", "q_ids", "q_data", "lows").mapInArrow(bounded, "qb int, q_dim int, q_norm double, q_ids binary, q_data binary, bound binary, least double"))
     if (asked.agg(F.sum(F.length("q_data"))).first()[0] or 0) <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
-    rest = candidates.join(F.broadcast(best.select("dim", "head_norm", F.md5("head.ids").alias("head_ids"))), "dim").where(F.md5("ids") != F.col("head_ids"))
+    rest = candidates.join(F.broadcast(best), ["dim", "number"], "left_anti")
     rest = rest.select("dim", "norm", "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))).alias("qb"))
     pairs = rest.join(asked, (rest["qb"] == asked["qb"]) & (rest["dim"] == asked["q_dim"])).where(F.col("norm") * F.col("q_norm") * (1 + 1e-9) >= F.col("least"))
     found = first.unionByName(pairs.select(*needed).mapInArrow(meet, kinds))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fiduciary.llm import ann, components, extraction, langid, lines, mixing, sentencepieces, simhash, suffixes, topk, toxicity
+from fiduciary.llm import ann, components, extraction, langid, lines, mixing, sentencepieces, simhash, suffixes, topk, toxicity, vectorblocks
 
 DOCS = "doc_id long, text string, lang string, source string, score string"
 ODD = [(1, None, None, None, "x"), (2, "", "en", "a", "x"), (2, "", "en", "a", "x"), (3, "One two three four five.\nOne", "en", "a", None), (None, "no id 漢字 🙂", "fr", "b", None), (4, "word " * 5000, "en", "a", None), (5, "12 %%", None, "b", None)]
@@ -102,6 +102,22 @@ def test_vector_searches(spark):
     assert topk.top_inner_products(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_blocks_of_equal_length_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(vectorblocks, "CANDIDATES", 64)
+    copies = spark.createDataFrame([(0, [1.0, 0.0])] + [(7, [2.0, 0.0])] * 200, "vec_id long, embedding array<double>")
+    signs = np.random.default_rng(3).choice([-1.0, 1.0], (500, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(signs)], "vec_id long, embedding array<double>")
+    for search in (topk.top_inner_products, ann.nearest_neighbours):
+        assert search(copies, F.col("vec_id") == 0, 150).where("vec_id = 7").count() == 150
+        got = search(df, F.col("vec_id") % 100 == 0, 20).collect()
+        for q in range(0, 500, 100):
+            found = [r.vec_id for r in got if r.query_id == q]
+            assert len(found) == len(set(found)) == 20
+            if search is topk.top_inner_products:
+                s = signs @ signs[q]
+                assert sorted(found) == sorted([i for i in np.lexsort((np.arange(500), -s)) if i != q][:20])
+
+
 def test_suffix_order_and_repeated_bytes(spark, odd, none):
     rnd = random.Random(5)
     for trial in range(60):
