@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import cut, per_batch, table, texts
 from .langid import fold, sample_labelled
@@ -184,21 +185,24 @@ def train(docs: DataFrame, labels: DataFrame, each: int = 6000, voters: int = 30
     return Toxicity(lexicon, w, bias)
 
 
-def toxicity(docs: DataFrame, model: Toxicity | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Score of every whole text: ``key`` and ``score``.
+def toxicity(docs: DataFrame, model: Toxicity | None, keep: Sequence[str] = ("doc_id",), text: str = "text", name: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row, and the score of its whole text in the column ``name``.
 
     Null and empty texts get the score of a text without votes; without a model
     all scores are 0. Repeated rows and null keys stay; an empty table gives an
-    empty result; only the two columns are read.
+    empty result; no other columns are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    read = list(dict.fromkeys([*keep, text]))
+    at = read.index(text)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(x) if m else 0.0 for x in texts(batch.column(1))], pa.float64())], ["key", "score"])
+        scores = [m.score(x) if m else 0.0 for x in texts(batch.column(at))]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], [*keep, name])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(per_batch(score), f"key {kind}, score double").withColumnRenamed("key", key)
+    kinds = StructType([StructField(c, docs.schema[c].dataType) for c in keep] + [StructField(name, DoubleType())])
+    return docs.select(*read).mapInArrow(per_batch(score), kinds)
 
 
 def fitted(docs: DataFrame, spark: SparkSession, sf_dir: str) -> Toxicity | None:
