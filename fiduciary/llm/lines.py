@@ -1,27 +1,23 @@
 """Line dedup with DataFrame functions only.
 
-Lines become hashes; counts of documents per hash are summed in salted parts
-first, then the parts are range-partitioned by hash and sorted by document and
-position, so that one stream over a partition sees a hash's first occurrence
-before the others. What comes back per document is a sparse bitmap of lines to
-drop (64 lines a word, words without drops left out), not text.
+Every line becomes a hash once. The hashes are range-partitioned and sorted by
+hash, document and position, so that a stream over a partition meets a line's
+first occurrence in a document before the others; ranges are cut within a hash
+too, so a line that very many documents share fills several partitions. The
+documents of a line are its first occurrences, counted per partition before
+they meet. What comes back per document is a compressed bitmap of the lines it
+keeps (64 lines a word, words of which all stay left out), not text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Parts in which the counts of one hash are summed up before they meet.
-SALTS = 16
-#: Rows of the table of dropped hashes up to which it is broadcast (24 bytes each); a larger one is joined by a shuffle.
-BROADCAST_HASHES = 500_000
-
-
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -41,54 +37,68 @@ def hashed(docs: DataFrame, least_length: int) -> DataFrame:
     return lines.where("_line IS NOT NULL").select("_id", "_text", "_pos", "_line._h", "_line._g")
 
 
-def repeated_hashes(docs: DataFrame, documents: int, least_length: int = 1) -> DataFrame:
-    """Hashes of line keys in at least ``documents`` documents, with the place of the first occurrence.
+def line_stream(docs: DataFrame, least_length: int = 1) -> DataFrame:
+    """Line hashes by range and, within a range, by hash, document and position; _first marks the first one in its document.
+
+    Rows that are equal in id and text are documents of their own: each has its
+    first occurrence.
+    """
+    document = ["_h", "_g", "_id", "_text"]
+    ranged = cut(hashed(docs, least_length)).repartitionByRange(*document).sortWithinPartitions(*document, "_pos")
+    return ranged.withColumn("_first", F.rank().over(Window.partitionBy(*document).orderBy("_pos")) == 1)
+
+
+def repeated_hashes(stream: DataFrame, documents: int) -> DataFrame:
+    """Line hashes with at least ``documents`` first occurrences, and the place of the very first one (_place)."""
+    firsts = stream.where("_first")
+    place = F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_text", "_pos")).alias("_place")
+    return firsts.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"), place).where(F.col("_n") >= documents)
+
+
+def keep_bitmaps(docs: DataFrame, documents: int = 10, least_length: int = 1, keep_first: bool = False) -> DataFrame:
+    """For every document that loses lines: _id, _text (hash of its text) and _keeps.
 
-    Every row of ``docs`` is a document of its own.
+    _keeps maps numbers of words to 64 bits, one a line, set if it stays; a word
+    that is not there keeps all its lines. The table of repeated hashes is
+    broadcast if its size, known by then, is below the session's limit, and
+    joined by a shuffle beyond it. With ``keep_first`` the very first occurrence
+    of a repeated line stays.
     """
-    keyed = docs.select(
-        F.col("doc_id").alias("_id"),
-        F.xxhash64("text").alias("_text"),
-        F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.when(F.char_length(line_key(x)) >= least_length, F.struct(F.xxhash64(line_key(x)).alias("_h"), F.hash(line_key(x)).alias("_g")))))).alias("_line"),
-    )
-    first = F.struct(F.col("_id"), F.col("_text"))
-    parts = keyed.where("_line IS NOT NULL").groupBy("_line._h", "_line._g", F.pmod(F.col("_text"), F.lit(SALTS)).alias("_salt")).agg(F.count(F.lit(1)).alias("_n"), F.min(first).alias("_first"))
-    streamed = parts.repartitionByRange("_h").sortWithinPartitions("_h", "_g", "_first")
-    return streamed.groupBy("_h", "_g").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first")).where(F.col("_n") >= documents)
-
-
-def drop_bitmaps(docs: DataFrame, documents: int = 10, least_length: int = 1) -> DataFrame:
-    """For every document that loses lines: _id, _text (hash of its text) and _drops, a map from word number to 64 bits."""
-    hashes = cut(repeated_hashes(docs, documents, least_length).select("_h", "_g"))
-    if hashes.count() <= BROADCAST_HASHES:
-        hashes = F.broadcast(hashes)
-    dropped = hashed(docs, least_length).join(hashes, ["_h", "_g"], "left_semi")
+    stream = line_stream(docs, least_length)
+    repeated = repeated_hashes(stream, documents)
+    if keep_first:
+        place = F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_text", "_pos")
+        gone = stream.join(repeated.select("_h", "_g", "_place"), ["_h", "_g"]).where(~place.eqNullSafe(F.col("_place")))
+    else:
+        gone = stream.join(repeated.select("_h", "_g"), ["_h", "_g"], "left_semi")
     bit = F.expr("shiftleft(1L, CAST(_pos % 64 AS INT))")
-    words = dropped.groupBy("_id", "_text", F.expr("CAST(_pos DIV 64 AS INT)").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    return words.groupBy("_id", "_text").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_drops"))
+    words = gone.groupBy("_id", "_text", F.expr("CAST(_pos DIV 64 AS INT)").alias("_word")).agg(F.bitwise_not(F.bit_or(bit)).alias("_bits"))
+    return words.groupBy("_id", "_text").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_keeps"))
 
 
-def line_dedup(docs: DataFrame, documents: int = 10, least_length: int = 1) -> DataFrame:
+def line_dedup(docs: DataFrame, documents: int = 10, least_length: int = 1, keep_first: bool = False) -> DataFrame:
     """``docs`` with _n_lines, _n_dropped and _kept, the text without lines whose key is in ``documents`` documents or more.
 
     The key of a line is the line without white space at both ends, A-Z in
     lower case; keys shorter than ``least_length`` code points never count. A
     null or empty text is one empty line and stays empty. Every row counts as a
     document, repeated ones too; null ids are allowed; an empty table gives an
-    empty result; other columns pass through.
+    empty result; columns of any other name pass through.
     """
-    bitmaps = drop_bitmaps(docs, documents, least_length)
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(bitmaps, keyed["doc_id"].eqNullSafe(bitmaps["_id"]) & (keyed["_hash"] == bitmaps["_text"]), "left").drop("_id", "_text", "_hash")
-    lines = lines_of(F.col("text"))
+    bitmaps = keep_bitmaps(docs.select("doc_id", "text"), documents, least_length, keep_first)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_hash"))
+    joined = rows.join(bitmaps, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left")
+    lines = lines_of(F.col("_row.text"))
 
-    def dropped(i: Column) -> Column:
-        word = F.coalesce(F.try_element_at("_drops", F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
+    def stays(i: Column) -> Column:
+        word = F.coalesce(F.try_element_at("_keeps", F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
         return F.getbit(word, (i % 64).cast("int")) == 1
 
-    kept = F.when(F.col("_drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x, i: ~dropped(i)), "\n"))
-    count = F.coalesce(F.aggregate(F.map_values("_drops"), F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x)), F.lit(0).cast("long"))
-    return joined.withColumns({"_n_lines": F.size(lines).cast("long"), "_n_dropped": count, "_kept": kept}).drop("_drops")
+    kept = F.when(F.col("_keeps").isNull(), F.coalesce("_row.text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x, i: stays(i)), "\n"))
+    count = F.coalesce(F.aggregate(F.map_values("_keeps"), F.lit(0).cast("long"), lambda a, x: a + 64 - F.bit_count(x)), F.lit(0).cast("long"))
+    out = joined.select("_row", F.size(lines).cast("long").alias("_n_lines"), count.alias("_n_dropped"), kept.alias("_kept"))
+    made = ("_n_lines", "_n_dropped", "_kept")  # take the place of columns of these names
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in made], *made)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

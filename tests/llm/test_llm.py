@@ -32,10 +32,16 @@ def test_sentencepieces_equal_the_library(spark, odd, none):
     m = sentencepieces.PieceModel(path())
     rnd = random.Random(3)
     made = ["".join(rnd.choice("ab .,\n▁t\té漢🙂'\"%-_x0the ") for _ in range(rnd.randint(0, 40))) for _ in range(500)]
-    for text, (ids, decoded) in zip(made, m.encode(made), strict=True):
+    found, agrees = m.encode(made)
+    assert all(agrees)
+    for text, (ids, decoded) in zip(made, found, strict=True):
         assert np.frombuffer(ids, np.int32).tolist() == m.library.encode(text)
         assert decoded == m.library.decode(m.library.encode(text)) == m.decode(m.library.encode(text))
-    assert all(m.merge(x) == m.merge_short(x) for x in ("▁indivisible", "▁▁▁ab", "x"))
+    units = sorted({u for x in made for u in m.unit.findall("▁" + x.replace(" ", "▁"))} | {"▁indivisible", "▁▁▁ab", "x", "▁" + "a" * 90})
+    assert [np.frombuffer(x, np.int32).tolist() for x in m.encode_many(units)] == [m.encode_unit(u) for u in units]
+    m._known.clear()
+    m.merge_many = lambda units: (np.full(len(units), 5), np.ones(len(units), int))  # a wrong agenda shows
+    assert m.encode(["some words"])[1] == [False] and np.frombuffer(m.encode(["some words"])[0][0][0], np.int32).tolist() == m.library.encode("some words")
     assert sentencepieces.sentencepieces(odd, path()).count() == len(ODD)
     assert sentencepieces.sentencepieces(none, path()).count() == 0
 
@@ -44,7 +50,22 @@ def test_lines(spark, odd, none):
     rows = [(i, f" Common \nown {i}\n") for i in range(3)] + [(9, "common")]
     out = {r.doc_id: r for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
     assert out[0]._kept == "own 0\n" and out[0]._n_lines == 3 and out[0]._n_dropped == 1 and out[9]._kept == ""
-    assert lines.line_dedup(odd).count() == len(ODD) and lines.line_dedup(none).count() == 0
+    first = {r.doc_id: r._kept for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 4, keep_first=True).collect()}
+    assert first == {0: " Common \nown 0\n", 1: "own 1\n", 2: "own 2\n", 9: ""}
+    clash = odd.withColumns({c: F.lit(c) for c in ("_hash", "_id", "_text", "_keeps", "_pos")})
+    out = lines.line_dedup(clash, 2).collect()
+    assert sorted((r.doc_id or 0, r._n_lines, r._n_dropped, r._kept, r._hash, r._id, r._text, r._keeps) for r in out) == sorted(
+        (i or 0, (x or "").count("\n") + 1, 0, x or "", "_hash", "_id", "_text", "_keeps") for i, x, *_ in ODD)
+    twice = spark.createDataFrame([(1, "a\n\na"), (1, "a\n\na"), (None, "b\na"), (None, "b\na")], "doc_id long, text string")
+    assert sorted((r._kept, r._n_dropped) for r in lines.line_dedup(twice, 4).collect()) == [("", 2), ("", 2), ("b", 1), ("b", 1)]
+    assert lines.line_dedup(none).count() == 0
+
+
+def test_lines_are_streamed_by_range_and_position(spark):
+    docs = spark.createDataFrame([(i, f"common\nown {i}") for i in range(20)], "doc_id long, text string")
+    plan = lines.repeated_hashes(lines.line_stream(docs), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(_h" in plan and plan.count("Exchange") == 2
+    assert re.search(r"Window \[rank\(_pos", plan) and re.search(r"Sort \[_h#\d+L ASC NULLS FIRST, _g#\d+ ASC NULLS FIRST, _id#\d+L ASC NULLS FIRST, _text#\d+L ASC NULLS FIRST, _pos#", plan)
 
 
 def test_mixing(spark, odd, none):
@@ -121,7 +142,7 @@ def test_blocks_of_equal_length_meet_once(spark, monkeypatch):
 def test_suffix_order_and_repeated_bytes(spark, odd, none):
     rnd = random.Random(5)
     for trial in range(60):
-        t = np.array([rnd.randrange((2, 3, 250)[trial % 3]) + trial % 2 for _ in range(rnd.randint(1, 200))], np.int16)
+        t = np.array([rnd.randrange((2, 3, 250)[trial % 3]) + trial % 2 for _ in range(rnd.randint(1, 200))], np.uint8)
         order = suffixes.suffix_order(t, 50)
         assert [t[i : i + 50].tolist() for i in order] == sorted(t[i : i + 50].tolist() for i in range(len(t)))
     words = "ab cd ef gh ij kl".split()
@@ -132,7 +153,9 @@ def test_suffix_order_and_repeated_bytes(spark, odd, none):
         b = (x or "").encode()
         for p in range(len(b) - 49):
             first[b[p : p + 50]] = min(first.get(b[p : p + 50], 1 << 60), i)
-    for r in suffixes.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert suffixes.frequent_grams(docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.col("text").cast("binary")), 50, 10**4, 3)
+    for r in suffixes.repeated_bytes(docs).union(suffixes.repeated_bytes(docs, frequent=3)).collect():  # also with windows dealt by longer grams
         b = (dict(rows)[r._id] or "").encode()
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - 49):
