@@ -6,13 +6,12 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiduciary.llm.common import table
+from fiduciary.llm.common import shared_folder, table
 from fiduciary.llm.lines import line_dedup
 from fiduciary.llm.mixing import mix
 from fiduciary.llm.sentencepieces import digest, sentencepieces
@@ -25,8 +24,7 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text scores below TOXIC. The model is fitted on the rows that came and the labels of the data folder."""
     model = fitted(docs, spark, sf_dir)
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return toxicity(packed, model, key="_row").where(F.col("score") < TOXIC).select("_row.*")
+    return toxicity(docs, model, keep=docs.columns, name="_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +61,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = sentencepieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "library_agrees")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -80,8 +78,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each but the last returns is written to the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{shared}/pipeline-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    folder = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
