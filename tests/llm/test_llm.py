@@ -139,6 +139,30 @@ def test_blocks_of_equal_length_meet_once(spark, monkeypatch):
                 assert sorted(found) == sorted([i for i in np.lexsort((np.arange(500), -s)) if i != q][:20])
 
 
+def test_vectors_of_any_length_take_part(spark):
+    rows = [(50, [1e6, 0.0]), (1, [1.0, 1.0]), (2, [3e5, 1.0]), (100, [2.0, 1.0]), (150, [4e7, 4e7 + 1]), (3, [4e7, -4e7]), (4, [1e200, 5.0]), (200, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(256 * x) for x in v] for i, v in rows}
+    got = {}
+    for r in topk.top_inner_products(df, F.col("vec_id") % 50 == 0, 7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == [50, 100, 150, 200]
+    for q, found in got.items():
+        s = {i: max(min(sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), (1 << 63) - 1), 1 - (1 << 63)) for i in whole if i != q}
+        assert sorted(found) == [(n + 1, i, s[i]) for n, i in enumerate(sorted(s, key=lambda i: (-s[i], i)))]
+    near = {(r.query_id, r.vec_id): r.score for r in ann.nearest_neighbours(df, F.col("vec_id") % 50 == 0, 7).collect()}
+    assert {q for q, _ in near} == {50, 100, 150} and near[50, 4] == 1e206 and near[100, 1] == 3.0 and len(near) == 18
+
+
+def test_codes_estimate_inner_products():
+    rnd = np.random.default_rng(8)
+    x, q = rnd.standard_normal((3000, 96)) + 0.3, rnd.standard_normal((20, 96))
+    centre, turn = x[:500].mean(0), ann.rotation(96)
+    guess, off = ann.Asked(q, centre, turn).estimates(ann.encode(np.arange(3000), x, centre, turn))
+    assert abs((guess - q @ x.T).mean()) < 0.1 and 0.8 < (np.abs(guess - q @ x.T) <= off).mean() < 0.98
+    assert ann.code_type(96).itemsize == 64  # of 768 bytes
+
+
 def test_suffix_order_and_repeated_bytes(spark, odd, none):
     rnd = random.Random(5)
     for trial in range(60):
