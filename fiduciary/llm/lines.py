@@ -18,6 +18,10 @@ from .common import cut, table
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Parts into which a repeated line's occurrences are dealt where its table is joined by a shuffle.
+SALTS = 16
+
+
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -61,16 +65,18 @@ def keep_bitmaps(docs: DataFrame, documents: int = 10, least_length: int = 1, ke
     _keeps maps numbers of words to 64 bits, one a line, set if it stays; a word
     that is not there keeps all its lines. The table of repeated hashes is
     broadcast if its size, known by then, is below the session's limit, and
-    joined by a shuffle beyond it. With ``keep_first`` the very first occurrence
+    joined by a salted shuffle beyond it. With ``keep_first`` the very first occurrence
     of a repeated line stays.
     """
     stream = line_stream(docs, least_length)
-    repeated = repeated_hashes(stream, documents)
+    salted = stream.withColumn("_salt", F.pmod(F.xxhash64("_id", "_text"), F.lit(SALTS)).cast("int"))
+    repeated = repeated_hashes(stream, documents).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = ["_h", "_g", "_salt"]
     if keep_first:
         place = F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_text", "_pos")
-        gone = stream.join(repeated.select("_h", "_g", "_place"), ["_h", "_g"]).where(~place.eqNullSafe(F.col("_place")))
+        gone = salted.join(repeated.select(*on, "_place"), on).where(~place.eqNullSafe(F.col("_place")))
     else:
-        gone = stream.join(repeated.select("_h", "_g"), ["_h", "_g"], "left_semi")
+        gone = salted.join(repeated.select(*on), on, "left_semi")
     bit = F.expr("shiftleft(1L, CAST(_pos % 64 AS INT))")
     words = gone.groupBy("_id", "_text", F.expr("CAST(_pos DIV 64 AS INT)").alias("_word")).agg(F.bitwise_not(F.bit_or(bit)).alias("_bits"))
     return words.groupBy("_id", "_text").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_keeps"))
