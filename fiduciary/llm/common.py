@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Join the rows of ``many`` to the one row that their key has in ``one``.
+
+    A key that has more than a thousandth of the rows (and more than 1000) is
+    dealt out over several tasks; there can't be more than 1000 such keys, so
+    their table is broadcast.
+    """
+    counts = cut(many.groupBy(key).count())
+    most = max(1000, (counts.agg(F.sum("count")).first()[0] or 0) // 1000)
+    large = F.broadcast(counts.where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    left = many.join(large, key, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts)).drop("_parts")
+    right = one.join(large, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def texts(column: pa.Array) -> list[str]:
     """Arrow strings as Python strings; null is the empty string."""
     return [x or "" for x in column.to_pylist()]

@@ -1,11 +1,13 @@
 """Main text of web pages.
 
 A page becomes blocks. The tokens of the blocks outside its article (of all
-blocks, where a page marks no article) form a stream; the streams of a host are
-concatenated and their suffixes ordered by their first tokens, spread over the
-cluster by a hash of those tokens, so that suffixes with a long common prefix
-meet however many pages a host has. What several different pages of a host
-repeat is boilerplate and goes, also from pages whose markup says nothing.
+blocks, where a page marks no article) form a stream. The streams of a host are
+concatenated and their suffixes sorted by doubling the compared length;
+neighbours in that order that share WINDOW tokens or more, in PAGES different
+pages, are repeated strings. A host too large for a task is dealt out by pages;
+what is repeated in none of its parts is counted over all of them. What a host
+repeats is boilerplate and goes, also from pages whose markup says nothing;
+unique runs stay.
 
 Repetition alone can't tell an article from what surrounds it: copies of an
 article and passages that articles share are repeated, and adverts or menus can
@@ -32,6 +34,7 @@ from .common import cut, per_batch, table, texts
 
 WINDOW = 8  # tokens that have to be repeated in a row
 PAGES = 3  # different pages of a host that have to repeat them
+HOST_TOKENS = 1 << 20  # tokens whose suffixes are sorted in a task
 #: Repeated windows up to which their hashes are sent to all tasks (8 bytes each); beyond it they are joined.
 BROADCAST_WINDOWS = 500_000
 
@@ -214,12 +217,17 @@ def stream(blocks: list[Block]) -> tuple[list[int], list[list[str]]]:
     return rows, [blocks[i].text.split(" ") for i in rows]
 
 
-def window_hashes(host: str, words: list[list[str]]) -> np.ndarray:
-    """Hash of the host and the first WINDOW tokens of every suffix of a page's stream; blocks are joined by a mark."""
+def token_codes(words: list[list[str]]) -> np.ndarray:
+    """Hashes of a page's stream of tokens; blocks are joined by a mark."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(t) for w in words for t in [*w, "\n"]], np.uint64)
+
+
+def string_hashes(host: str, code: np.ndarray) -> np.ndarray:
+    """Hash of the host and the first WINDOW tokens of every suffix that has them."""
     import xxhash
 
-    tokens = [t for w in words for t in [*w, "\n"]]
-    code = np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
     if len(code) < WINDOW:
         return np.zeros(0, np.int64)
     out = np.full(len(code) - WINDOW + 1, xxhash.xxh64_intdigest(host, 1), np.uint64)
@@ -229,6 +237,52 @@ def window_hashes(host: str, words: list[list[str]]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def window_hashes(host: str, words: list[list[str]]) -> np.ndarray:
+    return string_hashes(host, token_codes(words))
+
+
+def suffix_ranks(host: np.ndarray, page: np.ndarray, code: np.ndarray, depth: int) -> np.ndarray:
+    """Place of every suffix in the order by host and first ``depth`` tokens, equal ones in one place; -1 where its page has fewer.
+
+    The compared length doubles: the order by 2n tokens is that of the pairs of
+    places by n tokens, of a suffix and of that n tokens later.
+    """
+    n = len(code)
+    rank, span = np.unique(code, return_inverse=True)[1].astype(np.int64), 1
+    while span < depth:
+        step = min(span, depth - span)
+        later = np.r_[rank[step:], np.zeros(min(step, n), np.int64)][:n]
+        rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64)
+        span += step
+    whole = np.zeros(n, bool)
+    whole[: n - depth + 1] = page[depth - 1 :] == page[: n - depth + 1]
+    place = np.unique(host * (n + 1) + rank, return_inverse=True)[1].astype(np.int64)
+    return np.where(whole, place, -1)
+
+
+def repeated_strings(hosts: list[str], prints: np.ndarray, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the streams of some hosts: (hash, stream of its first page, number of different pages) of every string of WINDOW tokens.
+
+    The suffixes are sorted; strings are runs of neighbours that share WINDOW tokens.
+    """
+    sizes = np.array([len(c) for c in codes])
+    page, code = np.repeat(np.arange(len(codes)), sizes), np.concatenate(codes)
+    if len(code) < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    number = np.unique(np.array(hosts, object), return_inverse=True)[1]
+    rank = suffix_ranks(number[page], page, code, WINDOW)
+    order = np.flatnonzero(rank >= 0)
+    order = order[np.lexsort((prints[page[order]], rank[order]))]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.r_[True, rank[order][1:] != rank[order][:-1]]
+    other = new | np.r_[True, prints[page[order]][1:] != prints[page[order]][:-1]]
+    first = np.flatnonzero(new)
+    hashes = np.concatenate([string_hashes(h, c) for h, c in zip(hosts, codes, strict=True)])
+    at = np.cumsum(np.r_[0, np.maximum(sizes - WINDOW + 1, 0)])[:-1][page[order[first]]] + order[first] - np.cumsum(np.r_[0, sizes])[:-1][page[order[first]]]
+    return hashes[at], page[order[first]], np.add.reduceat(other.astype(np.int64), first)
+
+
 def host_of(url: str) -> str:
     try:
         return (urlsplit(url).hostname or "").lower()
@@ -277,25 +331,36 @@ def main_text(page: str, repeated: set[int] | None, host: str) -> str:
 
 
 def repeated_windows(pages: DataFrame) -> DataFrame:
-    """Hashes (h) of windows that PAGES different pages of a host have; pages with one stream are the same page."""
+    """Hashes (h) of strings of WINDOW tokens that PAGES different pages of a host have; pages with one stream are the same page."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
 
-        sets, prints = [], []
+        hosts, prints, tokens = [], [], []
         for url, page in zip(texts(batch.column(0)), texts(batch.column(1)), strict=True):
-            words = stream(blocks_of(page))[1]
-            sets.append(np.unique(window_hashes(host_of(url), words)))
-            prints.append(xxhash.xxh64_intdigest(repr(words)) >> 1)
-        return pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64())), pa.array(prints, pa.int64())], ["windows", "print"])
-
-    rows = pages.select("url", "html").mapInArrow(per_batch(run), "windows array<long>, print long").select(F.explode("windows").alias("h"), "print")
-    once = rows.groupBy("h").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.count(F.lit(1)).alias("n"))
-    often = once.where((F.col("low") < F.col("high")) & (F.col("n") >= PAGES)).select("h")
-    if PAGES <= 2:
-        return often
-    several = rows.join(often, "h", "left_semi").groupBy("h", "print").count().groupBy("h").count()
-    return several.where(F.col("count") >= PAGES).select("h")
+            raw = token_codes(stream(blocks_of(page))[1]).tobytes()
+            hosts.append(host_of(url))
+            prints.append(xxhash.xxh64_intdigest(raw) >> 1)
+            tokens.append(raw)
+        return pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(prints, pa.int64()), pa.array(tokens, pa.binary())], ["host", "print", "tokens"])
+
+    streams = pages.select("url", "html").mapInArrow(per_batch(read), "host string, print long, tokens binary").where(F.length("tokens") >= 8 * WINDOW)
+    streams = cut(streams.groupBy("host", "print").agg(F.min("tokens").alias("tokens")))
+    size = F.sum(F.length("tokens")) / 8
+    tasks = max(1, -(-(streams.agg(size).first()[0] or 0) // HOST_TOKENS))
+    # there are no more of these than tasks
+    large = streams.groupBy("host").agg(F.ceil(size / HOST_TOKENS).alias("parts")).where("parts > 1")
+    dealt = streams.join(F.broadcast(large), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    bucket = F.pmod(F.xxhash64("host", F.pmod(F.xxhash64("print"), F.col("parts"))), F.lit(int(tasks) * 2))
+
+    def sort(part: pa.Table) -> pa.Table:
+        parts, prints = part["parts"].to_numpy(), part["print"].to_numpy()
+        hashes, page, pages_ = repeated_strings(part["host"].to_pylist(), prints, [np.frombuffer(x, np.uint64) for x in part["tokens"].to_pylist()])
+        told = (pages_ >= PAGES) | (parts[page] > 1) if len(page) else np.zeros(0, bool)
+        return pa.table([pa.array(hashes[told]), pa.array(pages_[told])], names=["h", "n"])
+
+    counted = dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(sort, "h long, n long")
+    return counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES).select("h")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch, table, texts
+from .common import cut, per_batch, spread_join, table, texts
 from .components import components
 
 BITS = 64
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, size: int = 4, key: str = "doc_id", text: str
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["_id", "_print", *keep])
 
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col(key).cast("long"), text, *keep).mapInArrow(per_batch(run), "_id long, _print long" + kinds)
+    return docs.select(F.expr(f"try_cast(`{key}` AS BIGINT)"), text, *keep).mapInArrow(per_batch(run), "_id long, _print long" + kinds)
 
 
 @dataclass
@@ -241,17 +241,18 @@ def simhash_groups(docs: DataFrame, distance: int = 4, size: int = 4, key: str =
     The component is the smallest id that can be reached over links of at most
     ``distance`` bits, itself included. Null texts and texts without words have
     fingerprint 0, linked like any other; a null id belongs to its fingerprint's
-    component but can't name it; repeated rows stay; an empty table gives an
+    component but can't name it; ids are read as long (what is no number counts
+    as null); repeated rows stay; an empty table gives an
     empty result; only the two columns and ``keep`` are read. The root is a
     fingerprint that tells components apart, also those without any id.
     """
     marked = cut(fingerprints(docs, size, key, text, keep))
     distinct = cut(marked.groupBy("_print").agg(F.min("_id").alias("_least")))
     roots = components(links(distinct, distance))
-    rooted = distinct.join(roots, distinct["_print"] == roots["node"], "left").select("_print", "_least", F.coalesce("root", "_print").alias("_root"))
+    rooted = cut(distinct.join(roots, distinct["_print"] == roots["node"], "left").select("_print", "_least", F.coalesce("root", "_print").alias("_root")))
     names = rooted.groupBy("_root").agg(F.min("_least").alias("_component"))
-    named = rooted.join(names, "_root").select("_print", "_root", "_component")
-    return marked.join(named, "_print").select("_id", "_print", "_root", "_component", *keep)
+    named = spread_join(rooted, names, "_root").select("_print", "_root", "_component")
+    return spread_join(marked, named, "_print").select("_id", "_print", "_root", "_component", *keep)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,6 +252,33 @@ def test_extraction_of_ordinary_markup(page, text):
     assert extraction.main_text(page, None, "") == text
 
 
+@pytest.mark.parametrize("host_tokens", [1 << 20, 60])
+def test_strings_that_a_host_repeats(spark, monkeypatch, host_tokens):
+    monkeypatch.setattr(extraction, "HOST_TOKENS", host_tokens)  # 60: hosts are dealt out in parts
+    rnd = random.Random(6)
+    runs = [" ".join(rnd.choices("ab cd ef gh".split(), k=rnd.randint(6, 14))) for _ in range(5)]
+    rows = [(i, f"http://h{i % 3}.example/{i}", "".join(f"<div>{x}</div>" for x in [rnd.choice(runs), f"own{i} " * rnd.randint(1, 9), rnd.choice(runs)])) for i in range(60)]
+    rows += [(100, "http://h0.example/a", rows[0][2]), (101, "http://h0.example/b", None), (102, None, rows[0][2])]
+    pages: dict[int, set] = {}
+    for _, url, page in rows:
+        words = extraction.stream(extraction.blocks_of(page or ""))[1]
+        tokens = tuple(t for w in words for t in [*w, "\n"])
+        for i, h in enumerate(extraction.window_hashes(extraction.host_of(url or ""), words).tolist()):
+            pages.setdefault((h, tokens[i : i + 8]), set()).add(tokens)
+    got = sorted(r.h for r in extraction.repeated_windows(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got and got == sorted(h for (h, _), found in pages.items() if len(found) >= extraction.PAGES)
+
+
+def test_extraction_with_windows_joined(spark, monkeypatch):
+    rows = [(i % 7 and i, f"http://h.example/{i}", f"<div>all rights of this fine site belong to its many owners</div><p>Own text {i}</p>", "x") for i in range(8)]
+    rows += [rows[0], (None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, windows string")
+    few = sorted(map(str, extraction.extract(df).collect()))
+    monkeypatch.setattr(extraction, "BROADCAST_WINDOWS", 0)
+    assert sorted(map(str, extraction.extract(df).collect())) == few and len(few) == 10 and "Own text 3" in str(few) and "rights" not in str(few)
+    assert extraction.extract(df.limit(0)).count() == 0
+
+
 def test_near_copies_keep_one_row_of_each_group(spark):
     import corpus_pipeline
 
