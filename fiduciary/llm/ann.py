@@ -116,8 +116,8 @@ class Asked:
 def compared(blocks: DataFrame, asked: DataFrame, numbers: int, middle: dict[int, np.ndarray], most: int | None) -> DataFrame:
     """Pairs (query_id, row, guess) from every block of codes for every block of queries.
 
-    These are the ``most`` highest estimates of a query in a block and what has
-    no estimate; or, without ``most``, all that can reach the query's bound.
+    These are the ``most`` highest estimates of a query in a block (what has no
+    estimate comes first); or, without ``most``, all that can reach its bound.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,18 +131,24 @@ def compared(blocks: DataFrame, asked: DataFrame, numbers: int, middle: dict[int
                 bound = np.frombuffer(r["bound"]) if r["bound"] else np.full(len(ids), -np.inf)
                 codes = np.frombuffer(r["data"], code_type(dim))
                 ready = Asked(q, middle.get(dim, np.zeros(dim)), turns[dim])
-                least = np.full(len(ids), -np.inf)  # of the estimates that a query has enough of
+                best, best_rows = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
                 for a in range(0, len(codes), STRIPE):
-                    guess, off = ready.estimates(codes[a : a + STRIPE])
+                    part = codes[a : a + STRIPE]
+                    guess, off = ready.estimates(part)
                     if most is None:
-                        taken = guess + off >= bound[:, None]
-                    else:
-                        guess[~np.isfinite(off)] = np.inf
-                        if guess.shape[1] > most:
-                            least = np.maximum(least, np.partition(guess, -most, axis=1)[:, -most])
-                        taken = guess >= least[:, None]
-                    at, j = np.nonzero(taken)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(codes["row"][a + j]), pa.array(guess[at, j])], ["query_id", "row", "guess"])
+                        at, j = np.nonzero(guess + off >= bound[:, None])
+                        yield batch_of(ids[at], part["row"][j], guess[at, j])
+                        continue
+                    guess[~np.isfinite(off)] = np.inf
+                    best, best_rows = np.hstack([best, guess]), np.hstack([best_rows, np.tile(part["row"], (len(ids), 1))])
+                    if best.shape[1] > most:
+                        top = np.argpartition(-best, most - 1, axis=1)[:, :most]
+                        best, best_rows = np.take_along_axis(best, top, 1), np.take_along_axis(best_rows, top, 1)
+                if most is not None:
+                    yield batch_of(np.repeat(ids, best.shape[1]), best_rows.ravel(), best.ravel())
+
+    def batch_of(query: np.ndarray, row: np.ndarray, guess: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(row), pa.array(guess)], ["query_id", "row", "guess"])
 
     every = F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))).alias("qb")
     pairs = blocks.select("dim", "data", every).join(asked.withColumn("dim", F.col("q_dim")), ["qb", "dim"])
@@ -200,7 +206,8 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int, key: str = "
     small = (asked.agg(F.sum(F.length("q_data"))).first()[0] or 0) <= BROADCAST_BYTES
     place = Window.partitionBy("query_id")
     # what the best estimates give is what all others have to reach
-    guessed = compared(blocks, F.broadcast(asked) if small else asked, numbers, middle, FIRST * k + 1)
+    share = min(FIRST * k + 1, FIRST * k // max(1, blocks.count()) + 4)  # of a block: the best may be spread unevenly
+    guessed = compared(blocks, F.broadcast(asked) if small else asked, numbers, middle, share)
     guessed = guessed.withColumn("n", F.row_number().over(place.orderBy(F.desc("guess"), "row"))).where(F.col("n") <= FIRST * k + 1)
     first = scored(guessed, rows, asking).withColumn("n", F.row_number().over(place.orderBy(F.desc("score"), "vec_id"))).where(F.col("n") == k)
     lows = first.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(numbers)).cast("int")).groupBy("qb").agg(F.collect_list(F.struct("query_id", "score")).alias("lows"))
