@@ -106,12 +106,12 @@ def number_of(token: Column) -> Column:
 def first_number(text: Column) -> Column:
     """The first number of a text that doesn't look like a year."""
     tokens = F.regexp_extract_all(text, F.lit(r"[-+]?\d[\d,.]*\d|[-+]?\d"), 0)
-    return F.get(F.filter(F.transform(F.filter(tokens, lambda t: ~t.rlike(r"^(19|20)\d{2}$")), number_of), lambda v: v.isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(F.filter(tokens, lambda t: ~F.regexp_replace(t, "[.,]", "").rlike(r"^(19|20)\d{2}$")), number_of), lambda v: v.isNotNull()), F.lit(0))
 
 
 def money_scale(text: Column, fallback: str = "usd") -> Column:
     low = F.lower(text)
-    return F.when(low.rlike(r"\b(billion|bn)\b"), "billion_usd").when(low.rlike(r"\b(million|mm)\b"), "million_usd").when(low.rlike(r"\b(thousand|k)\b"), "thousand_usd").otherwise(fallback)
+    return F.when(low.rlike(r"billion|(?<![a-z])bn\b"), "billion_usd").when(low.rlike(r"million|(?<![a-z])mm\b"), "million_usd").when(low.rlike(r"thousand|(?<![a-z])k\b"), "thousand_usd").otherwise(fallback)
 
 
 def first_sentence(text: Column) -> Column:
@@ -125,13 +125,14 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 
 
 def normal_url(url: Column) -> Column:
-    """Scheme and host in lower case, no fragment, no slash at the end of the path."""
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"^[A-Za-z][\w+.-]*://[^/?]*", ""), r"/(?=$|\?)", "")
+    """Without white space around it, scheme and host in lower case, no fragment, no slash at the very end."""
+    url = F.regexp_replace(url, r"^\s+|\s+$", "")
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"(?s)#.*$", ""), r"^[A-Za-z][\w+.-]*://[^/?]*", ""), r"/$", "")
     return F.concat(F.lower(F.regexp_extract(url, r"^([A-Za-z][\w+.-]*://[^/?#]*)", 1)), rest)
 
 
 # What counts as a secret in free text.
-SECRETS = (r"(?i)bearer\s+[A-Za-z0-9._-]{8,}", r"sk-[A-Za-z0-9_-]{8,}", r"gh[pousr]_[A-Za-z0-9]{16,}", r"AKIA[0-9A-Z]{16}", r"(?i)api[_-]?key\s*[:=]\s*[A-Za-z0-9._-]{8,}")
+SECRETS = (r"sk-[A-Za-z0-9_-]{8,}", r"ghp_[A-Za-z0-9]{12,}", r"(?i)api[_-]?key\s*[:=]\s*[A-Za-z0-9._-]{8,}")
 
 
 def redact(text: Column) -> Column:

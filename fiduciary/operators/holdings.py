@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..functions.shared import few
 
 PLAN = ["plan_id", "plan_period"]
 
@@ -37,7 +38,7 @@ def holdings_overlap(positions: DataFrame, subject: str, period: str) -> DataFra
     mine = rows.where(F.col("plan_id") == subject).select("manager_name", "fund_name", F.col("exposure_usd").alias("_mine"), F.col("disclosure_state").alias("_my_state"))
     theirs = rows.where(F.col("plan_id") != subject).select(F.col("plan_id").alias("counterparty_plan_id"), "manager_name", "fund_name", F.col("exposure_usd").alias("_their"), F.col("disclosure_state").alias("_their_state"))
     others = theirs.select("counterparty_plan_id").distinct()
-    keys = mine.select("manager_name", "fund_name").join(F.broadcast(others)).select("counterparty_plan_id", "manager_name", "fund_name").union(theirs.select("counterparty_plan_id", "manager_name", "fund_name")).distinct()
+    keys = mine.select("manager_name", "fund_name").join(few(others)).select("counterparty_plan_id", "manager_name", "fund_name").union(theirs.select("counterparty_plan_id", "manager_name", "fund_name")).distinct()
     both = keys.join(mine, ["manager_name", "fund_name"], "left").join(theirs, ["counterparty_plan_id", "manager_name", "fund_name"], "left")
     my_state, their_state = F.coalesce("_my_state", F.lit("not_disclosed")), F.coalesce("_their_state", F.lit("not_disclosed"))
     disclosed = (my_state == "disclosed") & (their_state == "disclosed")

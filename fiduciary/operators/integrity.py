@@ -133,7 +133,7 @@ def accuracy(fields: DataFrame) -> DataFrame:
     totals = per_doc.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds], F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("incorrect") + F.col("missing") + F.col("extra") == 0).alias("passed"))
     share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(1.0)), 6)
     e = F.col("exact")
-    return totals.select(*kinds, "n_documents", share(e, e + F.col("incorrect") + F.col("extra")).alias("field_precision"), share(e, e + F.col("incorrect") + F.col("missing")).alias("field_recall"), share(F.col("passed"), F.col("n_documents")).alias("document_pass_rate"))
+    return totals.select(*kinds, "n_documents", "passed", share(e, e + F.col("incorrect") + F.col("extra")).alias("field_precision"), share(e, e + F.col("incorrect") + F.col("missing")).alias("field_recall"), share(F.col("passed"), F.col("n_documents")).alias("document_pass_rate"))
 
 
 def worst_fields(fields: DataFrame, n: int = 20) -> DataFrame:

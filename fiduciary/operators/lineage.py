@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entity_token
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows behind a checkpoint in the cluster's shared folder, or in one of our own where none is set (tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from ..functions.shared import cut
 
 
 def event_faults(events: DataFrame) -> DataFrame:

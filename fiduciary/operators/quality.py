@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp_confidence, entity_token, period_year
+from ..functions.shared import cut, few
 
 
 def shifts(points: DataFrame, key: list[str], value: str, metric: Column, warning: float, critical: float, medium: float = 0.75) -> DataFrame:
@@ -49,12 +50,40 @@ def sla_gate(observed: DataFrame, thresholds: DataFrame) -> DataFrame:
     return rows.select("metric", "op", "limit", "critical", "observed", "breach", (F.col("breach") & F.col("critical")).alias("fails"))
 
 
+def ranked_values(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """For every group the values at nearest rank: one column a share, nulls being the smallest.
+
+    Equal values are counted first. The counts are range-partitioned by group
+    and value, so that a large group fills many partitions; what lies before a
+    partition is added from the partitions' sums, of which there is one for each
+    group that a partition holds.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = cut(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_sum"))
+    group = Window.partitionBy(*by)
+    earlier = F.coalesce(F.sum("_sum").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.withColumns({"_before": earlier, "_total": F.sum("_sum").over(group)}).drop("_sum")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*by, "_part"]]
+    joined = placed.alias("p").join(starts.alias("s"), same).select(*[F.col(f"p.{c}").alias(c) for c in [*by, value, "_n", "_part"]], "_before", "_total")
+    within = Window.partitionBy(*by, "_part").orderBy(value)
+    up_to = F.col("_before") + F.sum("_n").over(within)
+    ranked = joined.withColumn("_last", up_to - 1).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    picks = [F.max(F.when(F.bround((F.col("_total") - 1) * q, 0).between(F.col("_first"), F.col("_last")), F.col(value))).alias(name) for name, q in shares.items()]
+    return ranked.groupBy(*by).agg(*picks)
+
+
 def operation_summary(log: DataFrame, by: list[str]) -> DataFrame:
-    """Requests, failures, mean latency and the nearest-rank 95th percentile, ranked without gathering a group."""
-    w = Window.partitionBy(*by)
-    rows = log.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_place", F.row_number().over(w.orderBy("latency_ms")) - 1)
-    at = F.bround((F.col("_n") - 1) * 0.95, 0)
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total_requests"), F.count_if(F.col("status") == "error").alias("failed_requests"), F.round(F.sum("latency_ms") / F.count(F.lit(1)), 6).alias("avg_latency_ms"), F.max(F.when(F.col("_place") == at, F.col("latency_ms"))).cast("double").alias("p95_latency_ms"))
+    """Requests, failures, mean latency and the nearest-rank 95th percentile."""
+    sums = log.groupBy(*by).agg(F.count(F.lit(1)).alias("total_requests"), F.count_if(F.col("status") == "error").alias("failed_requests"), F.round(F.sum("latency_ms") / F.count(F.lit(1)), 6).alias("avg_latency_ms"))
+    ranks = ranked_values(log, by, "latency_ms", {"p95_latency_ms": 0.95}).withColumn("p95_latency_ms", F.col("p95_latency_ms").cast("double"))
+    return beside(sums, ranks, by)
+
+
+def beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Two tables of one row a group side by side."""
+    more = [c for c in right.columns if c not in by]
+    return left.alias("l").join(right.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]).select("l.*", *[F.col(f"r.{c}").alias(c) for c in more])
 
 
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -84,10 +113,8 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: list[str], value: st
 
 def quantile_summary(draws: DataFrame, by: list[str]) -> DataFrame:
     """Mean and nearest-rank 5th and 95th percentiles of value."""
-    w = Window.partitionBy(*by)
-    rows = draws.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_place", F.row_number().over(w.orderBy("value")) - 1)
-    pick = lambda q: F.max(F.when(F.col("_place") == F.bround((F.col("_n") - 1) * q, 0), F.col("value")))
-    return rows.groupBy(*by).agg(F.round(F.sum(F.col("value").cast("decimal(18,6)")).cast("double") / F.count(F.lit(1)), 6).alias("mean"), pick(0.05).alias("p05"), pick(0.95).alias("p95"))
+    means = draws.groupBy(*by).agg(F.round(F.sum(F.col("value").cast("decimal(18,6)")).cast("double") / F.count(F.lit(1)), 6).alias("mean"))
+    return beside(means, ranked_values(draws, by, "value", {"p05": 0.05, "p95": 0.95}), by)
 
 
 def preferred_aliases(names: DataFrame) -> DataFrame:
@@ -97,19 +124,44 @@ def preferred_aliases(names: DataFrame) -> DataFrame:
     return rows.groupBy("norm").agg(F.min_by("name", order).alias("preferred"), F.count(F.lit(1)).alias("n_seen"))
 
 
-def alias_candidates(sources: DataFrame, entities: DataFrame, least: float = 0.86) -> DataFrame:
-    """Candidates by shared tokens: exact names with confidence 1, others by Jaccard overlap of ``least`` or more.
+def alias_candidates(sources: DataFrame, entities: DataFrame, least: float = 0.86, fuzzy: float | None = None) -> DataFrame:
+    """Candidates by name: exact with confidence 1, by Jaccard overlap of tokens of ``least`` or more, else by similar spelling.
 
-    Pairs meet on a token only if both hold it; a token's rows are joined by
-    key, so work grows with what is shared and not with the product.
+    Two token sets that overlap so far share one of the rarest tokens of each,
+    as many as the overlap may leave out and one more; pairs meet on these
+    only. With ``fuzzy``, spellings meet on the rarest two of the first three letters of a name's tokens and count by one less
+    the edits per letter of the longer name, from ``fuzzy`` up. Names are
+    compared once however many rows have them.
     """
-    s = sources.select("source_name", entity_token(F.col("source_name")).alias("_s")).where("_s <> ''").withColumn("_st", F.array_distinct(F.split("_s", " ")))
-    e = entities.select("stable_id", entity_token(F.col("alias")).alias("_e")).where("_e <> ''").withColumn("_et", F.array_distinct(F.split("_e", " ")))
-    pairs = s.withColumn("t", F.explode("_st")).join(e.withColumn("t", F.explode("_et")), "t").drop("t").distinct()
-    overlap = F.round(F.size(F.array_intersect("_st", "_et")) / F.size(F.array_union("_st", "_et")), 4)
-    confidence = F.when(F.col("_s") == F.col("_e"), 1.0).otherwise(overlap)
-    scored = pairs.withColumn("confidence", confidence).where(F.col("confidence") >= least).withColumn("strategy", F.when(F.col("_s") == F.col("_e"), "exact").otherwise("normalized"))
-    return scored.groupBy("source_name", "stable_id").agg(F.max("confidence").alias("confidence"), F.max_by("strategy", "confidence").alias("strategy"))
+    def tokens(c: Column) -> Column:
+        return F.array_distinct(F.split(c, " "))
+
+    s = sources.select("source_name", entity_token(F.col("source_name")).alias("_s")).where("_s <> ''").distinct()
+    e = entities.select("stable_id", entity_token(F.col("alias")).alias("_e")).where("_e <> ''").distinct()
+    names = s.select(F.col("_s").alias("n")).union(e.select(F.col("_e").alias("n"))).distinct()
+    held = names.select("n", F.explode(tokens(F.col("n"))).alias("t"))
+    often = held.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    rarest = held.join(often, "t").groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "t"))), lambda x: x["t"]).alias("ts"))
+    n = F.size("ts")
+    keys = rarest.select("n", F.explode(F.slice("ts", F.lit(1), n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)).alias("k"))
+    a, b = s.join(keys, s["_s"] == keys["n"]).drop("n"), e.join(keys, e["_e"] == keys["n"]).drop("n")
+    overlap = F.round(F.size(F.array_intersect(tokens(F.col("_s")), tokens(F.col("_e")))) / F.size(F.array_union(tokens(F.col("_s")), tokens(F.col("_e")))), 4)
+    near = a.join(b, "k").select("source_name", "stable_id", F.when(F.col("_s") == F.col("_e"), 1.0).otherwise(overlap).alias("confidence"), F.when(F.col("_s") == F.col("_e"), "exact").otherwise("normalized").alias("strategy"))
+    if fuzzy is None:
+        return best_of(near.where(F.col("confidence") >= least))
+    starts = held.select("n", F.substring("t", 1, 3).alias("k")).distinct()
+    rare = starts.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    two = F.slice(F.array_sort(F.collect_list(F.struct("c", "k"))), 1, 2)  # one of them may be misspelt
+    key = starts.join(rare, "k").groupBy("n").agg(two.alias("_two")).select("n", F.explode(F.transform("_two", lambda x: x["k"])).alias("k"))
+    a, b = s.join(key, s["_s"] == key["n"]).drop("n"), e.join(starts, e["_e"] == starts["n"]).drop("n")
+    alike = F.round(1 - F.levenshtein("_s", "_e") / F.greatest(F.length("_s"), F.length("_e")), 4)
+    spelt = a.join(b, "k").where("_s <> _e").where(overlap < least).select("source_name", "stable_id", alike.alias("confidence"), F.lit("fuzzy").alias("strategy"))
+    return best_of(near.where(F.col("confidence") >= least).union(spelt.where(F.col("confidence") >= fuzzy)))
+
+
+def best_of(scored: DataFrame) -> DataFrame:
+    """The surest candidate row of every name and entity."""
+    return scored.groupBy("source_name", "stable_id").agg(F.max("confidence").alias("confidence"), F.max_by("strategy", F.struct("confidence", "strategy")).alias("strategy"))
 
 
 def alias_routing(sources: DataFrame, candidates: DataFrame, link: float = 0.92, gap: float = 0.08) -> DataFrame:
@@ -127,11 +179,14 @@ def lifecycle(positions: DataFrame) -> DataFrame:
     """Managers and funds that a plan entered, kept or left, by presence in consecutive years."""
     year = period_year(F.col("plan_period"))
     held = positions.select("plan_id", year.alias("year"), entity_token(F.col("manager_name")).alias("manager"), entity_token(F.col("fund_name")).alias("fund")).distinct()
-    before = held.withColumn("year", F.col("year") + 1).withColumn("_before", F.lit(True))
-    span = held.groupBy("plan_id").agg(F.min("year").alias("first"), F.max("year").alias("last"))
-    rows = held.withColumn("_now", F.lit(True)).join(before, ["plan_id", "year", "manager", "fund"], "full_outer").join(span, "plan_id").where("year > first AND year <= last")
-    state = F.when(F.col("_before").isNull(), "entered").when(F.col("_now").isNull(), "exited").otherwise("still_invested")
-    return rows.select("plan_id", "year", "manager", "fund", state.alias("state"))
+    in_order = Window.partitionBy("plan_id", "manager", "fund").orderBy("year")
+    runs = held.withColumns({"_previous": F.lag("year").over(in_order), "_next": F.lead("year").over(in_order)})
+    span = held.groupBy("plan_id").agg(F.min("year").alias("_first"), F.max("year").alias("_last"))
+    here = F.when(F.col("_previous") == F.col("year") - 1, "still_invested").otherwise("entered")
+    left = F.when((F.coalesce("_next", F.lit(-1)) != F.col("year") + 1) & (F.col("year") < F.col("_last")), F.col("year") + 1)
+    states = F.array(F.struct(F.when(F.col("year") > F.col("_first"), F.col("year")).alias("year"), here.alias("state")), F.struct(left.alias("year"), F.lit("exited").alias("state")))
+    rows = runs.join(span, "plan_id").select("plan_id", "manager", "fund", F.explode(F.filter(states, lambda x: x["year"].isNotNull())).alias("_s"))
+    return rows.select("plan_id", "_s.year", "manager", "fund", "_s.state")
 
 
 def clean_lines(docs: DataFrame) -> DataFrame:
@@ -152,7 +207,7 @@ def label_values(lines: DataFrame) -> DataFrame:
 
 
 def scenarios(metrics: DataFrame, cases: DataFrame) -> DataFrame:
-    """Every baseline metric under every scenario (name, shocks map, return_override); the scenario table is broadcast, as a table that people write."""
+    """Every baseline metric under every scenario (name, shocks map, return_override); the scenario table, which people write, is broadcast up to a bound."""
     shocked = F.col("value") + F.coalesce(F.try_element_at("shocks", F.col("metric_name")), F.lit(0.0))
     value = F.when((F.col("metric_name") == "net_return") & F.col("return_override").isNotNull(), F.col("return_override")).otherwise(shocked)
-    return metrics.join(F.broadcast(cases)).select("plan_id", "plan_period", "metric_name", F.col("name").alias("scenario"), F.round("value", 6).alias("baseline_value"), F.round(value, 6).alias("scenario_value"), F.round(value - F.col("value"), 6).alias("delta_value"))
+    return metrics.join(few(cases)).select("plan_id", "plan_period", "metric_name", F.col("name").alias("scenario"), F.round("value", 6).alias("baseline_value"), F.round(value, 6).alias("scenario_value"), F.round(value - F.col("value"), 6).alias("delta_value"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..functions.shared import few
 
 PLAN = ["plan_id", "plan_period"]
 
@@ -18,7 +19,7 @@ def funded_shocks(plans: DataFrame, shocks: DataFrame) -> DataFrame:
     liability before and after have no row.
     """
     liabilities, assets = finite(F.col("liabilities_usd")), finite(F.col("total_assets_usd"))
-    rows = plans.join(F.broadcast(shocks)).withColumns({
+    rows = plans.join(few(shocks)).withColumns({
         "asset_delta_usd": F.col("equity_usd") * F.col("equity_shock_pct"),
         "liability_delta_usd": F.when(F.col("discount_rate_shock").isNull(), 0.0).otherwise(-F.col("liability_duration_years") * F.col("discount_rate_shock") * liabilities),
     })

@@ -44,20 +44,23 @@ def net() -> Column:
     return (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
 
 
-def position_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of holdings with their plan, period, part and supplier."""
+def position_lines(spark: SparkSession, d: str, names: bool = True) -> DataFrame:
+    """Lines of holdings with their plan, period and part, and with ``names`` their supplier."""
     lines = table(spark, d, "lineitem").withColumn("net", net()).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate", "net")
     orders = plan_orders(spark, d).select("o_orderkey", "plan_id", "peer_group", "plan_period")
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
+    held = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(part, lines["l_partkey"] == part["p_partkey"])
+    if not names:
+        return held
     supplier = table(spark, d, "supplier").select("s_suppkey", "s_name")
-    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(part, lines["l_partkey"] == part["p_partkey"]).join(supplier, lines["l_suppkey"] == supplier["s_suppkey"])
+    return held.join(supplier, held["l_suppkey"] == supplier["s_suppkey"])
 
 
 def plan_allocation(spark: SparkSession, d: str) -> DataFrame:
     """Share of every asset class in a plan's holdings of a period."""
-    classes = position_lines(spark, d).groupBy("plan_id", "peer_group", "plan_period", F.col("p_type").alias("asset_class")).agg(F.sum("net").alias("net"))
-    total = classes.groupBy("plan_id", "plan_period").agg(F.sum("net").cast("double").alias("total"))
-    return classes.join(total, ["plan_id", "plan_period"]).select("plan_id", "peer_group", "plan_period", "asset_class", (F.col("net").cast("double") / F.col("total")).alias("allocation_pct"))
+    classes = position_lines(spark, d, names=False).groupBy("plan_id", "peer_group", "plan_period", F.col("p_type").alias("asset_class")).agg(F.sum("net").alias("net"))
+    total = F.sum("net").over(Window.partitionBy("plan_id", "plan_period")).cast("double")  # of one row for each class
+    return classes.select("plan_id", "peer_group", "plan_period", "asset_class", (F.col("net").cast("double") / total).alias("allocation_pct"))
 
 
 def manager_fund_positions(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +72,7 @@ def manager_fund_positions(spark: SparkSession, d: str) -> DataFrame:
 
 def security_positions(spark: SparkSession, d: str) -> DataFrame:
     state = F.when(F.min("l_returnflag") == "R", "not_disclosed").otherwise("disclosed")
-    return position_lines(spark, d).groupBy("plan_id", "plan_period", F.concat(F.lit("cusip:"), F.col("l_partkey").cast("string")).alias("security_id"), F.col("p_type").alias("asset_class")).agg(
+    return position_lines(spark, d, names=False).groupBy("plan_id", "plan_period", F.concat(F.lit("cusip:"), F.col("l_partkey").cast("string")).alias("security_id"), F.col("p_type").alias("asset_class")).agg(
         F.sum("net").cast("double").alias("market_value_usd"), F.max("l_shipdate").alias("as_of"), state.alias("disclosure_state")
     )
 

@@ -99,13 +99,13 @@ ORACLES = {
     "w1_funding_trend": sql("""SELECT plan_id, plan_period, round(funded_ratio, 6) AS funded_ratio, change AS funded_ratio_change,
       CASE WHEN coalesce(employer_contributions_usd, employee_contributions_usd, benefit_payments_usd) IS NOT NULL THEN round(coalesce(employer_contributions_usd, 0) + coalesce(employee_contributions_usd, 0) + coalesce(-benefit_payments_usd, 0), 6) END AS net_external_cash_flow_usd FROM funding_changes"""),
     "w6_trend_change": sql("SELECT plan_id, CASE WHEN count(*) >= 2 THEN round(max_by(funded_ratio, plan_period) - min_by(funded_ratio, plan_period), 6) END AS trend_change, count(*) AS n_points FROM plan_funding GROUP BY plan_id"),
-    "w4_peer_statistics": sql(peers(PANEL, ["plan_period"])),
+    "w4_peer_statistics": sql(f"""SELECT *, percentile AS favorable_percentile, CASE WHEN percentile <= 25 THEN 1 WHEN percentile <= 50 THEN 2 WHEN percentile <= 75 THEN 3 WHEN percentile IS NOT NULL THEN 4 END AS quartile_rank FROM ({peers(PANEL, ["plan_period"])})"""),
     "w2_benchmark_panel": sql(f"""SELECT b.plan_id, b.plan_period, b.metric_name, b.metric_value, b.percentile AS peer_percentile, CASE WHEN b.percentile <= 25 THEN 1 WHEN b.percentile <= 50 THEN 2 WHEN b.percentile <= 75 THEN 3 WHEN b.percentile IS NOT NULL THEN 4 END AS peer_quartile_rank,
       b.peer_median, round(round(b.metric_value, 6) - b.peer_median, 6) AS delta_vs_peer_median, t.percentile AS tight_peer_percentile, t.n_peers AS n_tight_peers
       FROM ({peers(PANEL, ['plan_period'])}) b JOIN ({peers(PANEL, ['plan_period', 'peer_group'])}) t ON b.plan_id = t.plan_id AND b.plan_period = t.plan_period AND b.metric_name = t.metric_name"""),
     "j3_allocation_peers": sql(f"""SELECT plan_id, plan_period, peer_group, metric_name AS asset_class, round(metric_value, 6) AS plan_allocation_pct, peer_mean AS peer_mean_pct, peer_median AS peer_median_pct, delta_vs_mean AS delta_vs_peer_mean_pct
       FROM ({peers('SELECT plan_id, plan_period, peer_group, asset_class AS metric_name, allocation_pct AS metric_value FROM plan_allocation', ['plan_period', 'peer_group'])})"""),
-    "w5_plan_health": sql(f"""SELECT plan_id, plan_period, dimension, rating, value FROM (SELECT plan_id, plan_period, unnest([
+    "w5_plan_health": sql(f"""SELECT * FROM (WITH rated AS (SELECT plan_id, plan_period, dimension, rating, value FROM (SELECT plan_id, plan_period, unnest([
       {{'dimension': 'funded_ratio_mva', 'rating': CASE WHEN funded BETWEEN 0 AND 1 THEN CASE WHEN funded >= 0.9 THEN 'green' WHEN funded >= 0.7 THEN 'yellow' ELSE 'red' END ELSE 'unknown' END, 'value': CASE WHEN funded BETWEEN 0 AND 1 THEN round(funded, 6) END}},
       {{'dimension': 'funded_ratio_trend', 'rating': CASE WHEN trend BETWEEN -1 AND 1 THEN CASE WHEN trend > 0.01 THEN 'green' WHEN trend >= -0.01 THEN 'yellow' ELSE 'red' END ELSE 'unknown' END, 'value': CASE WHEN trend BETWEEN -1 AND 1 THEN round(trend, 6) END}},
       {{'dimension': 'assumed_return', 'rating': CASE WHEN rate - realistic > 0.01 OR rate - peer > 0.005 THEN 'red' WHEN rate - realistic > 0 THEN 'yellow' ELSE 'green' END, 'value': round(rate, 6)}},
@@ -114,7 +114,8 @@ ORACLES = {
       {{'dimension': 'amortization', 'rating': CASE WHEN payment < rate * uaal THEN 'red' WHEN closed IS NULL OR closed THEN 'green' ELSE 'yellow' END, 'value': CASE WHEN NOT payment < rate * uaal AND NOT closed AND years > 25 THEN round(years, 1) END}},
       {{'dimension': 'cash_flow_maturity', 'rating': CASE WHEN cash BETWEEN -100 AND 100 THEN CASE WHEN cash >= -3 THEN 'green' WHEN cash >= -5 THEN 'yellow' ELSE 'red' END ELSE 'unknown' END, 'value': CASE WHEN cash BETWEEN -100 AND 100 THEN round(cash, 4) END}},
       {{'dimension': 'gasb_crossover', 'rating': CASE WHEN gasb < rate THEN 'red' ELSE 'green' END, 'value': round(gasb, 6)}},
-      {{'dimension': 'mortality_currency', 'rating': CASE WHEN mortality >= 2010 THEN 'green' WHEN mortality >= 2000 THEN 'yellow' ELSE 'red' END, 'value': CAST(mortality AS DOUBLE)}}], recursive := true) FROM ({HEALTH_INPUTS}))"""),
+      {{'dimension': 'mortality_currency', 'rating': CASE WHEN mortality >= 2010 THEN 'green' WHEN mortality >= 2000 THEN 'yellow' ELSE 'red' END, 'value': CAST(mortality AS DOUBLE)}}], recursive := true) FROM ({HEALTH_INPUTS}))) SELECT * FROM rated UNION ALL
+      SELECT plan_id, plan_period, 'overall', CASE WHEN bool_or(rating = 'red') THEN 'red' WHEN bool_or(rating = 'yellow') THEN 'yellow' WHEN bool_or(rating = 'green') THEN 'green' ELSE 'unknown' END, NULL FROM rated GROUP BY plan_id, plan_period)"""),
     "j4_holdings_overlap": sql("""SELECT 'NATION_0' AS subject_plan_id, k.plan_id AS counterparty_plan_id, 'FY1998' AS plan_period, k.manager_name, k.fund_name,
       CASE WHEN coalesce(m.disclosure_state, 'not_disclosed') = 'disclosed' AND coalesce(t.disclosure_state, 'not_disclosed') = 'disclosed' THEN CASE WHEN m.exposure_usd IS NOT NULL AND t.exposure_usd IS NOT NULL THEN 'overlap' ELSE 'unknown_due_to_non_disclosure' END
         WHEN coalesce(m.disclosure_state, 'not_disclosed') <> 'not_disclosed' AND coalesce(t.disclosure_state, 'not_disclosed') <> 'not_disclosed' THEN 'known_not_invested' ELSE 'unknown_due_to_non_disclosure' END AS overlap_status,
@@ -189,7 +190,8 @@ ORACLES = {
       SELECT plan_id, plan_period, 'funded_ratio' AS metric_name, funded_ratio AS value FROM plan_funding UNION ALL SELECT plan_id, plan_period, 'employer_share', employer_contributions_usd / total_usd FROM plan_funding) m
       CROSS JOIN (VALUES ('base', 0::DOUBLE, 0::DOUBLE), ('stress', -0.1::DOUBLE, 0.02::DOUBLE)) s(scenario, a, b) CROSS JOIN LATERAL (SELECT CASE metric_name WHEN 'funded_ratio' THEN a ELSE b END AS shock)"""),
     "p1_entity_tokens": "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS token, replace(lower(p_type), ' ', '_') AS asset_class, CASE WHEN p_size > 1 THEN round(p_size / 100, 9) ELSE p_size END AS ratio FROM part",
-    "p14_normal_urls": r"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9_+.-]*://[^/?#]*)', 1)) || regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9_+.-]*://[^/?]*', ''), '/$', ''), '/\?', '?') AS url FROM pages",
+    "p14_normal_urls": r"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9_+.-]*://[^/?#]*)', 1)) || regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9_+.-]*://[^/?]*', ''), '/$', '') AS url FROM (SELECT page_id, regexp_replace(url, '^\s+|\s+$', '', 'g') AS url FROM pages)",
+    "p38_redaction": r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{8,}', '[REDACTED]', 'g'), 'ghp_[A-Za-z0-9]{12,}', '[REDACTED]', 'g'), '(?i)api[_-]?key\s*[:=]\s*[A-Za-z0-9._-]{8,}', '[REDACTED]', 'g')) AS redacted_sha256 FROM documents",
     "p24_confidence_routing": sql("SELECT plan_id, period, round(least(1, confidence), 6) AS confidence, CASE WHEN round(least(1, confidence), 6) >= 0.9 THEN 'auto_accept' WHEN round(least(1, confidence), 6) >= 0.75 THEN 'publish_with_warning' ELSE 'high_priority_review' END AS routing_outcome, CASE WHEN round(least(1, confidence), 6) >= 0.9 THEN 'none' WHEN round(least(1, confidence), 6) >= 0.75 THEN 'medium' ELSE 'high' END AS review_priority, FALSE AS publish_blocked FROM points"),
     "a17_registry_audit": sql("SELECT peer_group, c_mktsegment AS segment, count(*) AS n_members FROM customer JOIN plan_dim ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((peer_group), (c_mktsegment), ())"),
     "w14_ambiguous_names": sql("SELECT norm, count(DISTINCT name) AS n_spellings FROM (SELECT name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM names) WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT name) > 1"),

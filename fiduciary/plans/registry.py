@@ -25,7 +25,7 @@ def panel(s: SparkSession, d: str) -> DataFrame:
 
 
 def peer_statistics(s: SparkSession, d: str) -> DataFrame:
-    return funding.peer_statistics(panel(s, d), ["plan_period"]).drop("favorable_percentile", "quartile_rank")
+    return funding.peer_statistics(panel(s, d), ["plan_period"])
 
 
 def benchmark_panel(s: SparkSession, d: str) -> DataFrame:
@@ -210,7 +210,7 @@ QUERIES: dict[str, Query] = {
     "w2_benchmark_panel": benchmark_panel,
     "w3_anomalies": anomalies,
     "w4_peer_statistics": peer_statistics,
-    "w5_plan_health": lambda s, d: funding.plan_health(health_inputs(s, d)).where("dimension <> 'overall'"),
+    "w5_plan_health": lambda s, d: funding.plan_health(health_inputs(s, d)),
     "w6_trend_change": lambda s, d: funding.trend_change(D.plan_funding(s, d)),
     "w7_publication_events": publications,
     "w9_cadence_profiles": lambda s, d: history.cadence_profiles(publications(s, d)),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.shared import shared_folder
+
 
 def sla_windows(stream: DataFrame, width: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
     """Count, least, largest and mean value by event-time window and metric; rows later than ``late`` are dropped."""
@@ -50,8 +51,7 @@ def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFra
     run again after a failure replaces itself.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{shared}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    folder = f"{shared_folder(spark)}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")

@@ -53,6 +53,38 @@ def test_scalars(spark):
     assert tuple(row) == (1234.5, 81.2, 325000.0, 2024, 2000, 2024, -1, "a b co", "http://ex.com/a", "key [REDACTED] end")
 
 
+def test_scalars_on_abbreviated_scales_and_grouped_years(spark):
+    scales = [S.money_scale(F.lit(x)) for x in ("$1bn", "USD 5 billions", "300mm", "250k", "a thousand", "the bank", "cabn")]
+    row = spark.range(1).select(S.first_number(F.lit("was 2,024 and 7")), *scales, S.normal_url(F.lit(" HTTP://H/ ")), S.normal_url(F.lit("http://h/a/?q=1")), S.redact(F.lit("ghp_abcdefghijkl API-KEY: abcdefgh1"))).first()
+    assert tuple(row) == (7.0, "billion_usd", "billion_usd", "million_usd", "thousand_usd", "thousand_usd", "usd", "usd", "http://h", "http://h/a/?q=1", "[REDACTED] [REDACTED]")
+
+
+def test_ranks_of_large_groups_over_many_partitions(spark):
+    rows = [("a", v % 7 * 1.0) for v in range(500)] + [("a", None)] * 3 + [("b", 2.0)] + [(None, float(v)) for v in range(11)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(5)
+    out = {r.g: (r.low, r.high) for r in quality.ranked_values(df, ["g"], "value", {"low": 0.05, "high": 0.95}).collect()}
+    for g in ("a", "b", None):
+        values = sorted((v for k, v in rows if k == g), key=lambda v: (v is not None, v))
+        assert out[g] == tuple(values[round((len(values) - 1) * q)] for q in (0.05, 0.95))
+
+
+def test_alias_candidates_meet_on_their_rarest_tokens(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    names = [" ".join(words[i : i + n]) + " fund" for i in range(4) for n in range(1, 8)] + ["Capital Patners fund"]
+    entities = [(f"e{i}", n) for i, n in enumerate([" ".join(words[:7]), "beta gamma fund", "fund", "Capital Partners Fund", "theta eta zeta epsilon delta gamma fund"])]
+    s, e = spark.createDataFrame([(n,) for n in names], "source_name string"), spark.createDataFrame(entities, "stable_id string, alias string")
+    want = set()
+    for n in names:
+        for i, a in entities:
+            x, y = set(n.lower().split()), set(a.lower().split())
+            if n.lower() == a.lower() or len(x & y) / len(x | y) >= 0.86:
+                want.add((n, i))
+    got = {(r.source_name, r.stable_id) for r in quality.alias_candidates(s, e).collect()}
+    assert got == want and got
+    spelt = {(r.source_name, r.stable_id): (r.strategy, r.confidence) for r in quality.alias_candidates(s, e, fuzzy=0.72).collect()}
+    assert spelt["Capital Patners fund", "e3"] == ("fuzzy", 0.9524) and want <= spelt.keys()
+
+
 def test_supersede_closes_only_active_rows(spark):
     facts = spark.createDataFrame([("k", 1, None), ("k", 2, "2001-01-01"), ("x", 3, None)], "key string, v int, superseded_at string").withColumn("superseded_at", F.col("superseded_at").cast("timestamp"))
     out = history.supersede(facts, facts.where("v = 1").withColumn("v", F.lit(9)), ["key"], "2005-01-01")

@@ -26,6 +26,7 @@ def test_query_gives_what_sql_gives(spark, duck, name):
     df, sql = entry.queries()[name](spark, DATA), entry.oracle_sql()[name]
     cols = sorted(df.columns)
     mine = sorted((tuple(map(plain, r)) for r in df.select(*cols).collect()), key=str)
+    assert cols == sorted(duck.sql(f"SELECT * FROM ({sql}) LIMIT 0").columns)
     theirs = sorted((tuple(map(plain, r)) for r in duck.sql(f"SELECT {', '.join(f'"{c}"' for c in cols)} FROM ({sql})").fetchall()), key=str)
     assert mine == theirs
 
