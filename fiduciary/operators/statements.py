@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,25 +53,20 @@ def normalised(kind: str, value: Column, raw: Column, unit: Column) -> tuple[Col
 def metric_candidates(blocks: DataFrame, rows: DataFrame) -> DataFrame:
     """Every figure that a text block (text, unit, ref) or a table row (label, value, unit, ref) gives for a metric."""
 
-    def found(value_of, raw: Column, confidence: float) -> Column:
+    def found(df: DataFrame, raw: str, confidence: float) -> DataFrame:
+        """Candidates from rows that hold the figure of every metric in a column of its name."""
         out = []
-        for name, (kind, names) in METRICS.items():
-            value = value_of(names)
-            common, unit = normalised(kind, value, raw, F.col("unit"))
+        for name, (kind, _) in METRICS.items():
+            value = F.col(name)
+            common, unit = normalised(kind, value, F.col(raw), F.col("unit"))
             out.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("metric_name"), value.alias("as_reported_value"), common.alias("normalized_value"), unit.alias("as_reported_unit"), F.lit(confidence).alias("confidence"))))
-        return F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("_m")
-
-    label, value = F.lower(F.trim("label")), F.trim("value")
-    in_text = blocks.select(*PLAN, F.col("ref").alias("evidence_ref"), found(lambda names: figure_after(F.col("text"), names), F.col("text"), TEXT))
-
-    def of_row(names: tuple[str, ...]) -> Column:
-        named = F.lit(False)
-        for name in names:
-            named = named | label.contains(name)
-        return F.when(named, first_number(value))
+        return df.select(*PLAN, F.col("ref").alias("evidence_ref"), F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("_m"))
 
-    in_tables = rows.select(*PLAN, F.col("ref").alias("evidence_ref"), found(of_row, value, TABLE))
-    return in_text.union(in_tables).select(*PLAN, "_m.*", "evidence_ref")
+    label, number = F.lower(F.trim("label")), first_number(F.trim("value"))
+    named = {m: reduce(or_, [label.contains(name) for name in names]) for m, (_, names) in METRICS.items()}
+    in_text = blocks.select(*PLAN, "ref", "unit", "text", *[figure_after(F.col("text"), names).alias(m) for m, (_, names) in METRICS.items()])
+    in_tables = rows.withColumn("_number", number).select(*PLAN, "ref", "unit", "value", *[F.when(named[m], F.col("_number")).alias(m) for m in METRICS])
+    return found(in_text, "text", TEXT).union(found(in_tables, "value", TABLE)).select(*PLAN, "_m.*", "evidence_ref")
 
 
 def statement_metrics(candidates: DataFrame) -> DataFrame:

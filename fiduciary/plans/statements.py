@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..operators import quality, records, statements
 from . import domain as D
 from .oracle import sql
@@ -48,8 +49,9 @@ def diagnostics(s: SparkSession, d: str) -> DataFrame:
 
 
 def routed(s: SparkSession, d: str) -> DataFrame:
-    found = metrics(s, d).where("metric_name IN ('funded_ratio', 'participant_count')")
-    told = statements.metric_diagnostics(D.plan_funding(s, d), metrics(s, d)).where("metric_name IN ('funded_ratio', 'aal_usd')")
+    m = cut(metrics(s, d))  # used three times
+    found = m.where("metric_name IN ('funded_ratio', 'participant_count')")
+    told = statements.metric_diagnostics(D.plan_funding(s, d), m).where("metric_name IN ('funded_ratio', 'aal_usd')")
     return statements.second_extractor(D.plan_funding(s, d).select("plan_id", "plan_period", (F.col("n_orders") % 5 == 0).alias("complex")), found, told, sure=0.8)
 
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from fiduciary.functions import scalars as S
-from fiduciary.operators import disclosures, funding, history, holdings, integrity, lineage, metrics, quality, readiness, stress
+from fiduciary.operators import disclosures, funding, history, holdings, integrity, lineage, metrics, quality, readiness, records, statements, stress
 
 
 def values(df, *cols):
@@ -170,3 +170,34 @@ def test_cells_and_ids(spark):
         disclosures.security_id(F.lit(" - "), F.lit(" ab "), F.lit("x")), disclosures.security_id(F.lit(None), F.lit(""), F.lit("Big  Co")),
     ).first()
     assert tuple(row) == (1234.5, None, None, None, None, 123, None, 0.81, "ticker:AB", "name:big co")
+
+
+def test_figures_stay_in_their_sentence(spark):
+    blocks = [
+        ("a", "FY1", "text:0", "Funded ratio not disclosed. AAL was $410.5 million. The funding ratio, 2,019 aside, is 78,4 %"), ("a", "FY1", "text:1", "actuarial accrued liability of 3"), ("a", "FY1", "text:2", None),
+        ("b", "FY1", "text:0", "Discount rate 7.25 and assumed return 0.07; active participants 12.5"), ("c", "FY1", "text:0", ""),
+    ]
+    rows = [("a", "FY1", "t:1", " Funding Ratio ", "0.79"), ("a", "FY1", "t:2", "AVA", None), (None, None, "t:1", "AVA", "5"), ("b", "FY1", "t:9", "ADC Rate", "1999 11.5 percent")]
+    cols = "plan_id string, plan_period string, ref string, "
+    b = spark.createDataFrame(blocks, cols + "text string").withColumn("unit", F.lit("usd"))
+    r = spark.createDataFrame(rows, cols + "label string, value string").withColumn("unit", F.lit("thousand_usd"))
+    metrics_ = statements.statement_metrics(statements.metric_candidates(b, r))
+    out = {(x.plan_id, x.metric_name): (x.as_reported_value, x.normalized_value, x.as_reported_unit, x.evidence_ref, x.ambiguous) for x in metrics_.collect()}
+    assert out == {
+        ("a", "funded_ratio"): (0.79, 0.79, "ratio", "t:1", True), ("a", "aal_usd"): (3.0, 3.0, "usd", "text:1", True), (None, "ava_usd"): (5.0, 5000.0, "thousand_usd", "t:1", False),
+        ("b", "discount_rate"): (7.25, 0.0725, "percent_assumed", "text:0", False), ("b", "participant_count"): (12.5, 12.0, "count", "text:0", False), ("b", "employer_contribution_rate"): (11.5, 0.115, "percent", "t:9", False),
+    }
+    told = {(x.plan_id, x.code, x.metric_name) for x in statements.metric_diagnostics(b, metrics_).collect()}
+    assert ("c", "missing_metric", "ava_usd") in told and ("a", "ambiguous_metric", "aal_usd") in told and ("b", "missing_metric", "discount_rate") not in told
+    assert statements.metric_candidates(b.limit(0), r.limit(0)).count() == 0
+
+
+def test_record_rules(spark):
+    row = spark.range(1).select(
+        records.allowed_citations(F.array(F.lit(" b "), F.lit("x"), F.lit("b")), F.array(F.lit("a"), F.lit("b"))), records.allowed_citations(F.array(F.lit("x")), F.array(F.lit(" a"), F.lit(""), F.lit("a"))),
+        records.safe_ratio(F.lit(1.0), F.lit(0.0)), records.safe_delta(F.lit(float("inf")), F.lit(1.0)), records.amortization_closed(F.lit("Open layered")), records.amortization_closed(F.lit("")), records.failure_category(F.lit("ingestion"), F.lit("403 Forbidden")),
+        *records.filing_urls(F.lit("CIK 320"), F.lit("00-1-2"), F.lit(" /t.xml"), "s/", "a/"),
+    ).first()
+    assert tuple(row) == (["b"], ["a"], None, None, False, None, "robots_restriction", "s/CIK0000000320.json", "a/320/0012/t.xml")
+    findings = spark.createDataFrame([(i,) for i in range(5)], "k long")
+    assert [(r.k, r.truncated) for r in records.capped(findings, 3, "k").collect()] == [(0, True), (1, True), (2, True)] and not records.capped(findings, 5, "k").first().truncated
