@@ -274,3 +274,14 @@ def staged_securities(rows: DataFrame, ident: Column) -> DataFrame:
     bounded = F.when(finite(F.col("confidence")).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))))
     dates = {c: F.coalesce(c, "as_of") for c in ("valid_from", "asserted_at")}
     return rows.withColumn("security_id", ident).withColumns({**trimmed, **dates, "ticker": F.upper(F.trim("ticker")), "asset_class": F.lower(F.trim("asset_class")), "confidence": bounded})
+
+
+# What a plan may say of a holding.
+DISCLOSURES = ["disclosed", "known_not_invested", "not_disclosed"]
+
+
+def overlap_inputs(securities: DataFrame) -> DataFrame:
+    """Security positions as holdings whose key is the security, under its name or else its id; unknown states count as not disclosed."""
+    state = F.when(F.col("disclosure_state").isin(DISCLOSURES), F.col("disclosure_state")).otherwise("not_disclosed")
+    name = F.coalesce(F.nullif(F.col("security_name"), F.lit("")), "security_id")
+    return securities.select(*PLAN, name.alias("manager_name"), F.col("security_id").alias("fund_name"), F.col("market_value_usd").alias("exposure_usd"), state.alias("disclosure_state"))

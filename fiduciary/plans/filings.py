@@ -246,7 +246,14 @@ def artifacts(s: SparkSession, d: str) -> DataFrame:
     return sourcemap.artifact_findings(found, acts)
 
 
+def overlap_rows(s: SparkSession, d: str) -> DataFrame:
+    """Securities under their class as name, some without; promoted ones have a state that isn't known."""
+    p = D.security_positions(s, d)
+    return staging.overlap_inputs(p.withColumns({"security_name": F.nullif("asset_class", F.lit("ECONOMY")), "disclosure_state": F.when(F.col("asset_class") == "PROMO", "partly").otherwise(F.col("disclosure_state"))}))
+
+
 QUERIES: dict[str, Query] = {
+    "j5_overlap_inputs": overlap_rows,
     "e7_fees": lambda s, d: mentions.fees(mentions.fee_lines(fee_labels(s, d))),
     "e9_risk_observations": lambda s, d: mentions.risk_observations(D.plan_funding(s, d), mentions.risk_topics(risk_labels(s, d))),
     "e9_risk_diagnostics": lambda s, d: mentions.risk_diagnostics(D.plan_funding(s, d), mentions.risk_topics(risk_labels(s, d))),
@@ -370,6 +377,7 @@ COMPONENTS = f"""payload AS (SELECT plan_id || '/' || plan_period AS document_id
       FROM component_rows WHERE NOT (component_name = 'plan_period' AND row_count = 0) UNION ALL SELECT document_id, component_name, 0, 'not_disclosed', NULL, 0 FROM component_rows WHERE component_name = 'benchmark_version')"""
 
 ORACLES = {
+    "j5_overlap_inputs": sql("SELECT plan_id, plan_period, CASE WHEN asset_class = 'ECONOMY' THEN security_id ELSE asset_class END AS manager_name, security_id AS fund_name, market_value_usd AS exposure_usd, CASE WHEN asset_class = 'PROMO' THEN 'not_disclosed' ELSE disclosure_state END AS disclosure_state FROM security_positions"),
     "e7_fees": views(FEES, "SELECT * FROM fees"),
     "e9_risk_observations": views(RISKS, f"""SELECT plan_id, plan_period, disclosure_type, base || ':' || field AS metric_name, CASE field WHEN 'collateral' THEN 'collateral_context' ELSE field END AS observation_kind, round(v * {MULTIPLE.format('unit')}, 6) AS value_usd, CAST(NULL AS DOUBLE) AS value_ratio, txt AS as_reported_text, 0.84::DOUBLE AS confidence, evidence_refs
       FROM (UNPIVOT topics ON policy_limit, realized_exposure, collateral INTO NAME field VALUE v) UNION ALL SELECT plan_id, plan_period, disclosure_type, disclosure_type || ':not_disclosed', 'not_disclosed', NULL, NULL, 'not_disclosed', 0, '' FROM silent"""),

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 REGISTRY = "plan_id string, plan_name string, system_type string, jurisdiction string, in_peer_universe string"
 FILINGS = "struct<form: array<string>, accessionNumber: array<string>, filingDate: array<string>, reportDate: array<string>, primaryDocument: array<string>>"
 
+# Columns of a source map, and the names that columns of a codebook go by.
+MAP_REQUIRED = ["plan_id", "plan_name", "expected_plan_identity", "seed_url", "allowed_domains", "doc_type_hints", "pagination_hints", "max_pages", "max_depth"]
+MAP_OPTIONAL = ["source_authority_tier", "mismatch_reason", "override_requires_js", "override_force_render_wait_ms", "override_pagination_mode", "override_notes"]
+CODEBOOK_NAMES = ["variable", "variablename", "name", "field", "varname"]
+CODEBOOK_TEXTS = ["description", "label", "definition", "desc"]
+
 
 def slug(*parts: Column) -> Column:
     """Parts joined by "::", in lower case, everything but a-z and 0-9 as one hyphen, none at the ends."""
@@ -76,6 +82,41 @@ def operation_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("operation IS NOT NULL").withColumn("status", F.when(F.lower("status") == "ok", "ok").otherwise("error"))
 
 
+def source_map(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of a source-map CSV as text; unknown columns and missing ones that are required fail, optional ones that are missing are null."""
+    rows = spark.read.csv(path, header=True)
+    rows = rows.toDF(*[c.strip() for c in rows.columns])
+    unknown, missing = sorted(set(rows.columns) - {*MAP_REQUIRED, *MAP_OPTIONAL}), sorted(set(MAP_REQUIRED) - set(rows.columns))
+    if unknown or missing:
+        raise ValueError(f"source map with unknown columns {unknown}, without {missing}")
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in (*MAP_REQUIRED, *MAP_OPTIONAL)])
+
+
+def survey_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of survey responses, one JSON file each, as maps of texts: an array, or an object with one under data, result or records; anything else fails."""
+    body, records = F.btrim(F.col("value"), F.lit(" \t\r\n")), "array<map<string,string>>"
+    wrapped = F.from_json(body, f"struct<data: {records}, result: {records}, records: {records}>")
+    found = F.when(F.startswith(body, F.lit("[")), F.from_json(body, records)).otherwise(F.coalesce(wrapped["data"], wrapped["result"], wrapped["records"]))
+    found = F.coalesce(found, F.raise_error(F.lit("survey response without records")).cast(records))
+    return spark.read.text(path, wholetext=True).select(F.explode(found).alias("record"))
+
+
+def codebook(spark: SparkSession, path: str) -> DataFrame:
+    """Variables with their descriptions from a CSV whose columns go by one of several names; rows without a name are left out."""
+    rows = spark.read.csv(path, header=True)
+    by = {c.strip().lower(): c for c in rows.columns}
+    name, about = (next((by[x] for x in names if x in by), None) for names in (CODEBOOK_NAMES, CODEBOOK_TEXTS))
+    if name is None:
+        raise ValueError(f"codebook without a column of names: {rows.columns}")
+    text = F.coalesce(F.btrim(F.col(f"`{about}`")), F.lit("")) if about else F.lit("")
+    return rows.select(F.btrim(F.col(f"`{name}`")).alias("name"), text.alias("description")).where("name <> ''")
+
+
+def missing_variables(book: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Names that are mapped but not in the codebook."""
+    return mapped.select("name").distinct().join(book, "name", "left_anti")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A CSV folder with header; nulls are empty and nested columns are JSON."""
     nested = ("array", "map", "struct")

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from fiduciary.operators import sourcemap
 from fiduciary.sources import scans
 from fiduciary.streaming import jobs
 
@@ -49,3 +50,28 @@ def test_changes_are_remembered_and_upserts_repeat(spark, tmp_path):
     for number in (0, 1, 1):
         put(facts, number)
     assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+
+
+def test_source_map_cells_feed_its_rules(spark, tmp_path):
+    head = ",".join(scans.MAP_REQUIRED)
+    (tmp_path / "m.csv").write_text(f"{head}, override_notes\np1,P,id,https://a.b/c,a.b,annual_report,next_link,5,x,n\n")
+    found = sourcemap.entry_findings(sourcemap.entries(scans.source_map(spark, str(tmp_path / "m.csv"))))
+    assert sorted(r.code for r in found.collect()) == ["invalid_crawl_constraints", "missing_authority_tier"]
+    (tmp_path / "bad.csv").write_text("plan_id,colour\n1,2\n")
+    with pytest.raises(ValueError, match="colour.*seed_url"):
+        scans.source_map(spark, str(tmp_path / "bad.csv"))
+
+
+def test_survey_records_and_codebook(spark, tmp_path):
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a.json").write_text(' [{"ppd_id": 1, "fy": "2020"}, {"ppd_id": null}]')
+    (tmp_path / "q" / "b.json").write_text('{"count": 1, "result": [{"ppd_id": 2.5}]}')
+    assert sorted((str(r.record.get("ppd_id")), r.record.get("fy")) for r in scans.survey_records(spark, str(tmp_path / "q")).collect()) == [("1", "2020"), ("2.5", None), ("None", None)]
+    (tmp_path / "c.json").write_text('{"count": 1}')
+    with pytest.raises(Exception, match="without records"):
+        scans.survey_records(spark, str(tmp_path / "c.json")).collect()
+    (tmp_path / "b.csv").write_text(" VarName ,Label\n fy ,Year\n,x\n")
+    book = scans.codebook(spark, str(tmp_path / "b.csv"))
+    assert [tuple(r) for r in book.collect()] == [("fy", "Year")]
+    mapped = spark.createDataFrame([("fy",), ("aal",)], "name string")
+    assert [r.name for r in scans.missing_variables(book, mapped).collect()] == ["aal"]
