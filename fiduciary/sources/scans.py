@@ -123,6 +123,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*[F.to_json(c).alias(c) if t.startswith(nested) else F.col(c) for c, t in df.dtypes]).write.csv(path, header=True, nullValue="", emptyValue="", mode="overwrite")
 
 
+def write_artifacts(tables: dict[str, DataFrame], path: str) -> None:
+    """A set of result tables under one path, each as a folder of JSON lines and one of CSV; running it again replaces them."""
+    for name, df in tables.items():
+        df.write.json(f"{path}/{name}.json", mode="overwrite", ignoreNullFields=False)
+        write_csv(df, f"{path}/{name}.csv")
+
+
+def flat_tags(records: DataFrame, names: list[str]) -> DataFrame:
+    """Telemetry records whose named tags become columns, null where a record lacks them; other tags go."""
+    return records.withColumns({n: F.try_element_at("tags", F.lit(n)) for n in names}).drop("tags")
+
+
 def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row a key: the last by ``order``, as a keyed store keeps it."""
     w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])

@@ -75,3 +75,14 @@ def test_survey_records_and_codebook(spark, tmp_path):
     assert [tuple(r) for r in book.collect()] == [("fy", "Year")]
     mapped = spark.createDataFrame([("fy",), ("aal",)], "name string")
     assert [r.name for r in scans.missing_variables(book, mapped).collect()] == ["aal"]
+
+
+def test_artifacts_and_tags(spark, tmp_path):
+    records = spark.createDataFrame([("m", 1.0, {"run_id": "r", "x": "y"}), ("n", None, None)], "metric string, value double, tags map<string,string>")
+    flat = scans.flat_tags(records, ["run_id", "stage"])
+    assert sorted(map(tuple, flat.collect())) == [("m", 1.0, "r", None), ("n", None, None, None)]
+    for _ in range(2):
+        scans.write_artifacts({"telemetry": flat.coalesce(1), "none": flat.where("false")}, str(tmp_path / "out"))
+    lines = next((tmp_path / "out" / "telemetry.json").glob("part*")).read_text().splitlines()
+    assert [json.loads(x) for x in lines] == [{"metric": "m", "value": 1.0, "run_id": "r", "stage": None}, {"metric": "n", "value": None, "run_id": None, "stage": None}]
+    assert spark.read.csv(str(tmp_path / "out" / "telemetry.csv"), header=True).count() == 2
