@@ -2,6 +2,7 @@
 
 from .ann import op5_ann
 from .clusters import OP13_SQL, op13_clusters
+from .divergence import OP12_SQL, op12_divergence
 from .extraction import op2_extraction
 from .langid import op1_langid
 from .lines import OP8_SQL, op8_line_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
     "op11_sharding": op11_sharding,
+    "op12_divergence": op12_divergence,
     "op13_clusters": op13_clusters,
 }
 
@@ -33,5 +35,6 @@ ORACLES = {
     "op8_line_dedup": OP8_SQL,
     "op9_mixing": OP9_SQL,
     "op11_sharding": OP11_SQL,
+    "op12_divergence": OP12_SQL,
     "op13_clusters": OP13_SQL,
 }
