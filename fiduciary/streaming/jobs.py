@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.shared import shared_folder
@@ -69,15 +70,17 @@ def follow(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def upsert_batches(path: str, key: list[str], digest: list[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: append facts whose key and values the store doesn't hold yet; a batch that comes again adds nothing."""
+def replay(parts: list[DataFrame], run: Callable[[DataFrame, str], DataStreamWriter]) -> str:
+    """Let parts of a table arrive as files one after the other, and run a stream to its end after each.
 
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([*key, *digest]).withColumn("_digest", F.sha2(F.to_json(F.struct(*digest)), 256))
-        if number:  # batches before this one; its own folder is replaced
-            held = spark.read.schema(new.schema).parquet(*[f"{path}/batch={i}" for i in range(number)]).select(*key, "_digest")
-            new = new.join(held, [*key, "_digest"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return put
+    ``run(stream, folder)`` gives the writer of the stream; every run goes on
+    from the checkpoint of the one before. Returns the folder, for what the
+    writer puts there.
+    """
+    spark = parts[0].sparkSession
+    folder = f"{shared_folder(spark)}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(parts[0].schema).parquet(f"{folder}/in")
+        run(stream, folder).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return folder
