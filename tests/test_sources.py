@@ -37,7 +37,7 @@ def test_filings(spark, tmp_path):
         scans.filings(spark, str(tmp_path / "g.json")).collect()
 
 
-def test_changes_are_remembered_and_upserts_repeat(spark, tmp_path):
+def test_changes_are_remembered(spark, tmp_path):
     kind = "k string, seq long, fingerprint string"
     for i, rows in enumerate([[("a", 1, "x"), ("a", 2, "x")], [("a", 3, "y"), ("b", 4, "x")]]):
         spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
@@ -45,11 +45,6 @@ def test_changes_are_remembered_and_upserts_repeat(spark, tmp_path):
     out = jobs.drain(jobs.changes(stream, ["k"], ["seq"]), "append").orderBy("seq").collect()
     assert [(r.status, r.version) for r in out if r.k == "b"] == [("new", 1)]
     assert sorted(r.version for r in out if r.k == "a")[-1] == 2
-    put = jobs.upsert_batches(str(tmp_path / "store"), ["k"], ["fingerprint"])
-    facts = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], kind)
-    for number in (0, 1, 1):
-        put(facts, number)
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 2
 
 
 def test_source_map_cells_feed_its_rules(spark, tmp_path):
