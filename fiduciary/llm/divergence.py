@@ -1,20 +1,19 @@
 """Divergence of sources within a language, over the terms that enough documents use.
 
 The terms are found by iceberg refinement of byte prefixes: a pass counts, per
-language, the documents that hold each prefix of some length; prefixes in too
-few documents are discarded with all terms that begin so, since no term is in
-more documents than its beginning. The next pass extends those left to twice
-the length, and terms that end within it are counted whole, with their
-occurrences per source. It ends when no open prefix is left.
+language, the documents that hold each prefix of some length; a term that ends
+before that length counts as itself. Prefixes in too few documents are
+discarded with all terms that begin so, since no term is in more documents than
+its beginning. The next pass extends those left to twice the length, until no
+open prefix is left; a last pass counts the kept terms' occurrences by source.
 
 What is left goes to the next pass as a bitmap of hashes of fixed size. Two
 prefixes on one bit let a discarded one through to the next count, never the
-other way, and whole terms are kept by their own count alone.
+other way, and terms are kept by their own count alone.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +27,10 @@ from .common import cut, portions, table
 
 #: Bytes of a text: A-Z in lower case, other ASCII than letters as a space, all else as it is.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-PIECE = 1 << 20  # bytes of a text whose words are in memory at a time
-HELD = 200_000  # counts that a task holds before it passes them on
+PIECE = 4 << 20  # bytes of text whose words are looked at together
+HELD = 500_000  # counts that a task holds before it adds up equal ones, and then passes them on
 BITS = 1 << 26  # of the bitmap of prefixes: 8 MB
+FIRST = 8  # bytes of the first prefixes; each level doubles them
 #: Rows of the table of groups up to which it is broadcast; a larger one is joined by a shuffle.
 BROADCAST_GROUPS = 20_000
 TERMS, SOURCES = 256, 256  # of a bucket and of a block of sources where pairs are compared
@@ -38,103 +38,237 @@ UNIT = 1_000_000_000
 SMOOTH = 5
 
 
-def words_in(text: bytes) -> Iterator[list[bytes]]:
-    """Words of a text, some at a time; no word is cut."""
-    plain, a = text.translate(TERM_BYTES), 0
-    while a < len(plain):
-        b = len(plain) if len(plain) - a <= PIECE else plain.find(b" ", a + PIECE)
-        b = len(plain) if b < 0 else b
-        yield plain[a:b].split()
+class Words:
+    """The words of some documents in one array: where each begins, its length and its document."""
+
+    def __init__(self, text: bytes, a: int, b: int, ends: np.ndarray):
+        self.bytes = np.frombuffer(text[a:b] + b" " * 8, np.uint8)
+        inside = np.zeros(len(self.bytes) - 6, np.int8)
+        inside[1:] = self.bytes[:-7] != 32
+        edges = np.flatnonzero(np.diff(inside))
+        self.start, self.length = edges[::2], edges[1::2] - edges[::2]
+        self.doc = np.searchsorted(ends, self.start + a, "right")
+
+    def only(self, mask: np.ndarray) -> Words:
+        out = object.__new__(Words)
+        out.bytes, out.start, out.length, out.doc = self.bytes, self.start[mask], self.length[mask], self.doc[mask]
+        return out
+
+    def keys(self, size: int) -> np.ndarray:
+        """The first ``size`` bytes as numbers of eight bytes (a column each), zeros behind the word's end."""
+        at = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, strides=(1,))
+        masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+        out = np.empty((len(self.start), size // 8), np.uint64)
+        for j in range(size // 8):
+            left = np.clip(self.length - 8 * j, 0, 8)
+            out[:, j] = at[np.minimum(self.start + 8 * j, len(at) - 1)] & masks[left]
+        return out
+
+
+def pieces(texts: list[bytes]) -> Iterator[Words]:
+    """The words of documents, some megabytes at a time; no word is cut."""
+    joined = b" ".join(texts).translate(TERM_BYTES)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    a = 0
+    while a < len(joined):
+        b = len(joined) if len(joined) - a <= PIECE else joined.find(b" ", a + PIECE)
+        b = len(joined) if b < 0 else b
+        yield Words(joined, a, b, ends)
         a = b
 
 
-def bit_of(lang: bytes, prefix: bytes, bits: int) -> int:
-    """The place of a prefix in the bitmap: the same hash as Spark's ``xxhash64(lang, prefix)``."""
-    return xxhash.xxh64_intdigest(prefix, seed=xxhash.xxh64_intdigest(lang, seed=42)) & (bits - 1)
+def hashes(keys: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
+    h = np.full(len(keys), seed, np.uint64) if np.isscalar(seed) else seed.copy()
+    for j in range(keys.shape[1]):
+        h ^= keys[:, j]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h ^= h >> np.uint64(31)
+    return h
 
 
-def level_counts(docs: DataFrame, done: int, length: int, bitmap, bits: int) -> DataFrame:
-    """Counts at a level: rows (lang, source, term, docs, n), source null for an open prefix of ``length`` bytes.
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of ``keys`` and the number of each row's among them; told by hash, then compared."""
+    _, first, code = np.unique(hashes(keys) if keys.shape[1] > 1 else keys[:, 0], return_index=True, return_inverse=True)
+    if keys.shape[1] > 1 and not (keys[first][code] == keys).all():
+        return np.unique(keys, axis=0, return_inverse=True)
+    return keys[first], code
 
-    Words of up to ``done`` bytes were counted before; of the others, those
-    whose first ``done`` bytes have no bit in ``bitmap`` are discarded.
+
+class Counts:
+    """Counts by key and group: appended, and added up when there are many."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, keys: np.ndarray, group: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, group, n))
+        self.size += len(keys)
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All counts, sorted by key and group."""
+        keys, group, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        rows, code = distinct(keys)
+        many = int(group.max(initial=0)) + 1
+        pair, at = np.unique(code * many + group, return_inverse=True)
+        total = np.bincount(at, n, len(pair)).astype(np.int64)
+        self.parts, self.size = [(rows[pair // many], pair % many, total)], len(pair)
+        return self.parts[0]
+
+
+def terms_of(keys: np.ndarray) -> pa.Array:
+    """Keys as bytes, without the zeros behind the end."""
+    return pa.array(np.ascontiguousarray(keys).view(f"S{8 * keys.shape[1]}").ravel().tolist(), pa.binary())
+
+
+def seeds(langs: list[bytes]) -> np.ndarray:
+    known: dict[bytes, int] = {}
+    return np.array([known[x] if x in known else known.setdefault(x, xxhash.xxh64_intdigest(x)) for x in langs], np.uint64)
+
+
+def bit_mask(words: Words, seed: np.ndarray, size: int, bitmap: np.ndarray) -> np.ndarray:
+    """Whether the first ``size`` bytes of each word have a bit in the bitmap for the word's language."""
+    place = hashes(words.keys(size), seed[words.doc]) & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def columns_of(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[bytes], list[bytes]]]:
+    for part in portions(batch, 2 << 20):
+        yield tuple(pc.cast(part.column(c), pa.binary()).to_pylist() for c in ("text", "lang", "source"))
+
+
+def document_counts(docs: DataFrame, size: int, bitmap) -> DataFrame:
+    """Rows (lang, term, n): documents of a language that hold a prefix of ``size`` bytes, or a whole term if shorter.
+
+    After the first level only words count that are as long as the prefixes of
+    the level before and begin with one that has a bit in ``bitmap``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_at = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little") if bitmap else None
-        whole: dict[tuple, dict[bytes, list[int]]] = {}
-        prefixes: dict[bytes, Counter] = {}
-        left: dict[tuple[bytes, bytes], bool] = {}
-
-        def stays(lang: bytes, word: bytes) -> bool:
-            key = (lang, word[:done])
-            if (found := left.get(key)) is None:
-                if len(left) > HELD:
-                    left.clear()
-                found = left[key] = bool(open_at[bit_of(*key, bits)])
-            return found
+        ones = np.frombuffer(bitmap.value, np.uint8) if bitmap else None
+        counts, numbers = Counts(), {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(lang, source, term, d, n) for (lang, source), terms in whole.items() for term, (d, n) in terms.items()]
-            rows += [(lang, None, prefix, d, 0) for lang, found in prefixes.items() for prefix, d in found.items()]
-            whole.clear()
-            prefixes.clear()
-            for a in range(0, len(rows), 20_000):
-                columns = zip(*rows[a : a + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["lang", "source", "term", "docs", "n"])
+            if counts.size:
+                keys, group, n = counts.merge()
+                names = pa.array(list(numbers), pa.binary())
+                for a in range(0, len(keys), 20_000):
+                    here = slice(a, a + 20_000)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(group[here])), terms_of(keys[here]), pa.array(n[here])], ["lang", "term", "n"])
+                counts.parts, counts.size = [], 0
 
         for batch in batches:
-            for part in portions(batch, 2 << 20):
-                for text, lang, source in zip(*(pc.cast(part.column(c), pa.binary()).to_pylist() for c in ("text", "lang", "source")), strict=True):
-                    counts: Counter = Counter()
-                    for words in words_in(text):
-                        counts.update(words)
-                    found = [w for w in counts if len(w) > done and stays(lang, w)] if bitmap else list(counts)
-                    here = whole.setdefault((lang, source), {})
-                    for w in found:
-                        if len(w) <= length:
-                            if old := here.get(w):
-                                old[0] += 1
-                                old[1] += counts[w]
-                            else:
-                                here[w] = [1, counts[w]]
-                    prefixes.setdefault(lang, Counter()).update({w[:length] for w in found if len(w) > length})
-                if sum(map(len, whole.values())) + sum(map(len, prefixes.values())) > HELD:
-                    yield from flush()
+            for texts, langs, _ in columns_of(batch):
+                lang = np.array([numbers.setdefault(x, len(numbers)) for x in langs])
+                seed = seeds(langs)
+                held = Counts()  # documents are the groups: a word counts once in each
+                for words in pieces(texts):
+                    if bitmap:
+                        words = words.only(words.length >= size // 2)
+                        words = words.only(bit_mask(words, seed, size // 2, ones))
+                    held.add(words.keys(size), words.doc, np.ones(len(words.doc)))
+                if held.size:
+                    keys, doc, _ = held.merge()
+                    counts.add(keys, lang[doc], np.ones(len(doc)))
+                if counts.size > HELD:
+                    counts.merge()
+                    if counts.size > HELD // 2:
+                        yield from flush()
         yield from flush()
 
-    parts = docs.mapInArrow(run, "lang binary, source binary, term binary, docs long, n long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    parts = docs.mapInArrow(run, "lang binary, term binary, n long")
+    return parts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+
+
+def occurrences(docs: DataFrame, sizes: list[int], bitmap) -> DataFrame:
+    """Rows (lang, term, source, n): occurrences of words that have a bit in ``bitmap``, by lengths up to each of ``sizes``.
+
+    A task returns a row for each term, with its counts by source; they are
+    taken apart where the term's rows have met.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones = np.frombuffer(bitmap.value, np.uint8)
+        counts, numbers = {size: Counts() for size in sizes}, {}
+
+        def flush(found: Counts) -> Iterator[pa.RecordBatch]:
+            if not found.size:
+                return
+            keys, group, n = found.merge()
+            langs = sorted({x for x, _ in numbers})
+            lang_of = np.array([langs.index(x) for x, _ in numbers])[group]
+            order = np.argsort(lang_of, kind="stable")  # by language, then by key and group
+            keys, group, n, lang_of = keys[order], group[order], n[order], lang_of[order]
+            starts = np.flatnonzero(np.r_[True, (lang_of[1:] != lang_of[:-1]) | (keys[1:] != keys[:-1]).any(1)])
+            names, sources = pa.array(langs, pa.binary()), pa.array([x for _, x in numbers], pa.binary())
+            for a in range(0, len(starts), 20_000):
+                first = np.append(starts[a : a + 20_000], starts[a + 20_000] if a + 20_000 < len(starts) else len(n))
+                rows, offsets = slice(first[0], first[-1]), pa.array((first - first[0]).astype(np.int32))
+                columns = [names.take(pa.array(lang_of[first[:-1]])), terms_of(keys[first[:-1]]), pa.ListArray.from_arrays(offsets, sources.take(pa.array(group[rows]))), pa.ListArray.from_arrays(offsets, pa.array(n[rows]))]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "counts"])
+            found.parts, found.size = [], 0
 
+        for batch in batches:
+            for texts, langs, origins in columns_of(batch):
+                group = np.array([numbers.setdefault(x, len(numbers)) for x in zip(langs, origins, strict=True)])
+                seed = seeds(langs)
+                for words in pieces(texts):
+                    for size, found in counts.items():
+                        some = words.only((words.length < size) & (words.length >= (size // 2 if size > FIRST else 0)))
+                        some = some.only(bit_mask(some, seed, size, ones))
+                        found.add(some.keys(size), group[some.doc], np.ones(len(some.doc)))
+                        if found.size > 2 * HELD:
+                            found.merge()
+                            if found.size > HELD:
+                                yield from flush(found)
+        for found in counts.values():
+            yield from flush(found)
+
+    parts = docs.mapInArrow(run, "lang binary, term binary, sources array<binary>, counts array<long>")
+    each = parts.repartition("lang", "term").select("lang", "term", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("n"))))
+    return each.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+
+
+def bitmap_of(terms: DataFrame, sizes: list[int], bits: int) -> bytes:
+    """A bit for every (lang, term), by the size of key of its level; put together in Spark: ``bits`` / 64 words at most come to the driver."""
 
-def bitmap_of(prefixes: DataFrame, bits: int) -> bytes:
-    """A bit for every (lang, term), put together in Spark; at most ``bits`` / 64 words come to the driver."""
-    placed = prefixes.select(F.pmod(F.xxhash64("lang", "term"), F.lit(bits)).alias("place"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seed = seeds(batch.column("lang").to_pylist())
+            terms = batch.column("term").to_pylist()
+            size = batch.column("size").to_numpy()
+            for k in np.unique(size).tolist():
+                rows = np.flatnonzero(size == k)
+                keys = np.array([terms[i] for i in rows.tolist()], f"S{k}").view("<u8").reshape(len(rows), k // 8)
+                yield pa.RecordBatch.from_arrays([pa.array((hashes(keys, seed[rows]) & np.uint64(bits - 1)).astype(np.int64))], ["place"])
+
+    size = F.coalesce(*[F.when(F.length("term") < k, k) for k in sizes], F.lit(sizes[-1]))
+    placed = terms.select("lang", "term", size.cast("int").alias("size")).mapInArrow(run, "place long")
     ones = F.bit_or(F.expr("shiftleft(1L, CAST(place % 64 AS INT))"))
     words = placed.groupBy(F.expr("place DIV 64").alias("word")).agg(ones.alias("ones")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
+    out = np.zeros(bits // 64, "<i8")
     out[words["word"].to_numpy()] = words["ones"].to_numpy()
-    return out.astype("<i8").tobytes()
+    return out.tobytes()
 
 
-def kept_terms(docs: DataFrame, least: int = 30, first: int = 4, bits: int = BITS) -> DataFrame:
+def kept_terms(docs: DataFrame, least: int = 30, bits: int = BITS) -> DataFrame:
     """Rows (lang, source, term, n): occurrences of every term that at least ``least`` documents of its language hold.
 
     ``docs`` has text, lang and source, none null. Every row is a document.
     """
-    found, done, length, bitmap = None, 0, first, None
+    share_out = docs.sparkSession.sparkContext.broadcast
+    kept, sizes, bitmap = None, [FIRST], None
     while True:
-        counts = cut(level_counts(docs, done, length, bitmap, bits))
-        whole = counts.where("source IS NOT NULL")
-        found = whole if found is None else found.unionByName(whole)
-        left = counts.where(F.col("source").isNull() & (F.col("docs") >= least)).select("lang", "term")
+        level = cut(document_counts(docs, sizes[-1], bitmap).where(F.col("n") >= least).select("lang", "term"))
+        whole, left = level.where(F.length("term") < sizes[-1]), level.where(F.length("term") == sizes[-1])
+        kept = whole if kept is None else kept.unionByName(whole)
         if left.isEmpty():
             break
-        bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(left, bits))
-        done, length = length, 2 * length
-    everywhere = F.sum("docs").over(Window.partitionBy("lang", "term"))
-    kept = found.withColumn("_docs", everywhere).where(F.col("_docs") >= least)
-    return cut(kept.select(F.col("lang").cast("string"), F.col("source").cast("string"), F.col("term").cast("string"), "n"))
+        bitmap = share_out(bitmap_of(left, sizes[-1:], bits))
+        sizes.append(2 * sizes[-1])
+    found = occurrences(docs, sizes, share_out(bitmap_of(kept, sizes, bits)))
+    rows = found.join(kept, ["lang", "term"], "left_semi")
+    return cut(rows.select(F.col("lang").cast("string"), F.col("source").cast("string"), F.col("term").cast("string"), "n"))
 
 
 def share(n: str, total: str, terms: str) -> Column:
@@ -205,7 +339,7 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
     return sums.select("lang", value.alias("value"), both).select("lang", "pair.source", "pair.item", "value")
 
 
-def source_divergence(docs: DataFrame, least: int = 30, top: int = 50, first: int = 4, bits: int = BITS) -> DataFrame:
+def source_divergence(docs: DataFrame, least: int = 30, top: int = 50, bits: int = BITS) -> DataFrame:
     """Rows (lang, source, part, item, value, rank): how far each source of a language is from the others and by which terms.
 
     Part ``pair`` has a row for every other source of the language, by
@@ -218,7 +352,7 @@ def source_divergence(docs: DataFrame, least: int = 30, top: int = 50, first: in
     so others can't clash.
     """
     taken = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    kept = kept_terms(taken, least, first, bits)
+    kept = kept_terms(taken, least, bits)
     groups = group_totals(taken, kept)
     pairs = pair_values(kept, groups).withColumn("part", F.lit("pair"))
     here = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fiduciary.llm import divergence
@@ -51,19 +52,37 @@ def made(n, sources, seed):
     return rows
 
 
-def test_terms_of_bytes():
-    text = "Aé-Ünder_x\u0080 Ȁ　z0q\nÀB"
-    words = [w.decode() for some in divergence.words_in(text.encode()) for w in some]
-    assert words == terms_of(text)
-    long = ("ab " * 700_000 + "c" * 3_000_000 + " d").encode()
-    assert Counter(w for some in divergence.words_in(long) for w in some) == Counter(long.split())
+def listed(texts):
+    """Words of documents, as the operator sees them."""
+    out = []
+    for words in divergence.pieces([t.encode() for t in texts]):
+        size = -(-int(words.length.max(initial=1)) // 8) * 8
+        out += list(zip(words.doc.tolist(), [t.decode() for t in divergence.terms_of(words.keys(size)).to_pylist()], strict=True))
+    return out
+
+
+def test_terms_of_bytes(monkeypatch):
+    texts = ["Aé-Ünder_x\u0080 Ȁ　z0q\nÀB", "", "1 2", "word", "ab " * 900 + "c" * 3000 + " d"]
+    expected = [(i, w) for i, t in enumerate(texts) for w in terms_of(t)]
+    assert listed(texts) == expected
+    monkeypatch.setattr(divergence, "PIECE", 10)
+    assert listed(texts) == expected and listed([]) == listed([""]) == []
+
+
+def test_bits_are_those_of_words(spark):
+    rows = [(b"en", b"abc"), (b"", b"abcdefgh"), ("漢".encode(), "é".encode() * 9)]
+    for lang, term in rows:
+        size = [8, 16, 32][(len(term) >= 8) + (len(term) >= 16)]
+        bitmap = divergence.bitmap_of(spark.createDataFrame([(lang, term)], "lang binary, term binary"), [8, 16, 32], 1 << 16)
+        words = next(divergence.pieces([term + b" other"]))
+        assert divergence.bit_mask(words, divergence.seeds([lang]), size, np.frombuffer(bitmap, np.uint8)).tolist() == [True, False]
 
 
-def test_bits_are_those_of_spark(spark):
-    rows = [("en", b"abc"), ("", b""), ("漢", "é".encode())]
-    df = spark.createDataFrame([(a.encode(), b) for a, b in rows], "lang binary, term binary")
-    places = [r.p for r in df.select(F.pmod(F.xxhash64("lang", "term"), F.lit(1 << 20)).alias("p")).collect()]
-    assert places == [divergence.bit_of(a.encode(), b, 1 << 20) for a, b in rows]
+def test_keys_with_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(divergence, "hashes", lambda keys, seed=0: np.zeros(len(keys), np.uint64))
+    keys = np.array([[1, 2], [1, 3], [1, 2]], np.uint64)
+    rows, code = divergence.distinct(keys)
+    assert rows.tolist() == [[1, 2], [1, 3]] and code.ravel().tolist() == [0, 1, 0]
 
 
 def test_divergence_equals_brute_force(spark, monkeypatch):
@@ -72,21 +91,19 @@ def test_divergence_equals_brute_force(spark, monkeypatch):
     expected = brute(rows, 8, 3)
     assert {r[2] for r in expected} == {"pair", "term"}
     assert sorted(map(tuple, divergence.source_divergence(docs.repartition(5), 8, 3).collect())) == expected
-    for name, value in {"SOURCES": 2, "TERMS": 3, "HELD": 10, "PIECE": 8}.items():  # several blocks, buckets and hand-overs
+    for name, value in {"SOURCES": 2, "TERMS": 3, "HELD": 10}.items():  # several blocks, buckets and hand-overs
         monkeypatch.setattr(divergence, name, value)
-    assert sorted(map(tuple, divergence.source_divergence(docs, 8, 3, first=1, bits=64).collect())) == expected  # and colliding bits
+    assert sorted(map(tuple, divergence.source_divergence(docs, 8, 3, bits=64).collect())) == expected  # and colliding bits
 
 
 def test_refinement_discards_rare_prefixes(spark):
-    rows = [(f"common rare{c}zzzz", "en", "s") for c in "abcdefghij"] + [(f"unique{c}q" * 3, "en", "s") for c in "xyz"]
+    rows = [(f"commons rarerarely{c}zzzz", "en", "s") for c in "abcdefghij"] + [(f"unique{c}q" * 3, "en", "s") for c in "xyz"]
     docs = spark.createDataFrame(rows, "text string, lang string, source string")
-    bits = 1 << 20
-    level = divergence.level_counts(docs, 0, 4, None, bits)
-    left = level.where("source IS NULL AND docs >= 5")
-    assert {bytes(r.term): r.docs for r in left.collect()} == {b"comm": 10, b"rare": 10}
-    bitmap = spark.sparkContext.broadcast(divergence.bitmap_of(left, bits))
-    after = {bytes(r.term): (r.source, r.docs) for r in divergence.level_counts(docs, 4, 8, bitmap, bits).collect()}
-    assert set(after) == {b"common"} | {f"rare{c}zzz".encode() for c in "abcdefghij"} and after[b"common"] == (bytearray(b"s"), 10)
+    left = divergence.document_counts(docs, 8, None).where("n >= 5")
+    assert {bytes(r.term): r.n for r in left.collect()} == {b"commons": 10, b"rarerare": 10}
+    bitmap = spark.sparkContext.broadcast(divergence.bitmap_of(left.where("length(term) = 8"), [8], 1 << 20))
+    after = {bytes(r.term): r.n for r in divergence.document_counts(docs, 16, bitmap).collect()}
+    assert after == {f"rarerarely{c}zzzz".encode(): 1 for c in "abcdefghij"}
 
 
 def test_divergence_of_nothing(spark):
