@@ -30,7 +30,7 @@ def test_statistics_of_all_others_equal_brute_force(spark):
         for plan, period, group, metric, value in rows:
             others = [v for p, t, g, m, x in rows if (v := finite(x)) is not None and p != plan and t == period and m == metric and (axis == "broad" or g == group)]
             r, value = found[axis, plan, period, metric], finite(value)
-            assert r.n_peers == len(others) and r.metric_value == (None if value is None else round(value, 6))
+            assert r.n_peers == len(others) and (r.metric_value is None if value is None else math.isclose(r.metric_value, value, rel_tol=1e-12, abs_tol=1e-6))
             assert (r.peer_mean is None) == (not others) and (r.peer_median is None) == (not others)
             if others:
                 assert math.isclose(r.peer_mean, statistics.fmean(others), rel_tol=1e-9, abs_tol=1e-6) and math.isclose(r.peer_median, statistics.median(others), rel_tol=1e-12, abs_tol=1.1e-6)
@@ -74,7 +74,7 @@ def test_snapshots_with_rejects(spark, tmp_path):
     snapshot_file(tmp_path, "a.json", "one", docs)
     snapshot_file(tmp_path, "b.json", "one", [{"document_id": "d1", "fields": {"a": good}}, {"document_id": "d3", "fields": {"a": {"value": "1"}}}])
     for name, head in {"c": {"schema_version": "1"}, "d": {"parser_id": " "}, "e": {"documents": {}}, "f": {"artifact_type": "x"}}.items():
-        snapshot_file(tmp_path, f"{name}.json", "two", [], **head)
+        snapshot_file(tmp_path, f"{name}.json", "two", **{"documents": [], **head})
     (tmp_path / "snapshot=two" / "g.json").write_text("not json")
     rows, rejects = snapshots.snapshot_scan(spark, str(tmp_path))
     assert sorted((r.snapshot, r.document_id, r.field, r.value, r.confidence, r.evidence) for r in rows.collect()) == sorted([("one", "d1", "a", "1", 0.5, "p. 1"), ("one", "d1", "b", "null", None, None), ("one", "d1", "c", '{"x":[1]}', None, None), ("one", "d3", "a", '"1"', None, None)], key=str)
