@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows behind a table in the shared folder.
+
+    For rounds of joins: a checkpoint keeps the size that Spark estimated for
+    the join, and the product of such sizes, round after round, becomes a number
+    of millions of digits; a table has the size of its files.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def few(df: DataFrame, most: int = FEW) -> DataFrame:
     """A table of at most ``most`` rows, to be broadcast; a larger one is an error."""
     if len(df.limit(most + 1).take(most + 1)) > most:

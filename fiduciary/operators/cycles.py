@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import cut
+from ..functions.shared import written
 
 
 def trimmed(links: DataFrame) -> DataFrame:
@@ -35,21 +35,21 @@ def ends_of(nodes: DataFrame) -> DataFrame:
     inner = nodes.select("node", F.lit(True).alias("_inner"))
     for side in ("fwd", "bwd"):
         nodes = nodes.join(inner.select(F.col("node").alias(side), F.col("_inner").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", F.lit(False)))
-    at = cut(nodes.withColumn("low", F.col("node")))
+    at = written(nodes.withColumn("low", F.col("node")))
     for _ in range(at.count().bit_length() + 1):
         if at.where("_fwd OR _bwd").isEmpty():
             break
         ahead = at.select(F.col("node").alias("fwd"), F.col("fwd").alias("_f"), F.col("_fwd").alias("_fo"), F.col("low").alias("_l"))
         behind = at.select(F.col("node").alias("bwd"), F.col("bwd").alias("_b"), F.col("_bwd").alias("_bo"))
         both = at.join(ahead, "fwd", "left").join(behind, "bwd", "left")
-        at = cut(both.select("node", F.coalesce("_b", "bwd").alias("bwd"), F.coalesce("_f", "fwd").alias("fwd"), F.coalesce("_fo", F.lit(False)).alias("_fwd"), F.coalesce("_bo", F.lit(False)).alias("_bwd"), F.least("low", F.coalesce("_l", "low")).alias("low")))
+        at = written(both.select("node", F.coalesce("_b", "bwd").alias("bwd"), F.coalesce("_f", "fwd").alias("fwd"), F.coalesce("_fo", F.lit(False)).alias("_fwd"), F.coalesce("_bo", F.lit(False)).alias("_bwd"), F.least("low", F.coalesce("_l", "low")).alias("low")))
     return at.select("node", "bwd", "fwd", "low", F.col("_fwd").alias("_ring"))
 
 
 def settled(state: DataFrame, step) -> DataFrame:
-    """Apply ``step`` until the number of rows it changes (column _new) is 0; every round is cut."""
+    """Apply ``step`` until the number of rows it changes (column _new) is 0; every round is written."""
     while True:
-        state = cut(step(state))
+        state = written(step(state))
         if state.where("_new").isEmpty():
             return state.drop("_new")
 
@@ -67,7 +67,7 @@ def coloured(links: DataFrame) -> DataFrame:
 
         colours = settled(nodes.select("node", F.col("node").alias("colour")), spread)
         tinted = links.join(colours.select(F.col("node").alias("source"), F.col("colour").alias("_s")), "source").join(colours.select(F.col("node").alias("target"), F.col("colour").alias("_t")), "target")
-        within = cut(tinted.where("_s = _t").select("source", "target"))
+        within = written(tinted.where("_s = _t").select("source", "target"))
 
         def back(state: DataFrame, within: DataFrame = within) -> DataFrame:
             lead = within.join(state.where("hit").select(F.col("node").alias("target")), "target").select(F.col("source").alias("node"), F.lit(True).alias("_h")).distinct()
@@ -80,7 +80,7 @@ def coloured(links: DataFrame) -> DataFrame:
         found = here if found is None else found.unionByName(here)
         gone = hits.select("node")
         left = links.join(gone.select(F.col("node").alias("source")), "source", "left_anti").join(gone.select(F.col("node").alias("target")), "target", "left_anti")
-        links = cut(trimmed(left.select("source", "target")))
+        links = written(trimmed(left.select("source", "target")))
     return found
 
 
@@ -90,33 +90,33 @@ def cycle_components(links: DataFrame) -> DataFrame:
     Nodes that lead to themselves lie on a cycle. Nulls link nothing, repeated
     links count once, and an empty table gives no rows.
     """
-    links = cut(links.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct())
+    links = written(links.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct())
     found = links.where("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"), F.lit(0).alias("rank"))
     records: list[DataFrame] = []
     size = -1
     while True:
         own = links.where("source = target")
         found = found.unionByName(own.select(F.col("source").alias("node"), F.col("source").alias("component"), F.lit(0).alias("rank")))
-        links = cut(trimmed(links.where("source <> target")))
+        links = written(trimmed(links.where("source <> target")))
         nodes = stretches(links)
         if (now := links.count()) == 0 or (now == size and nodes.isEmpty()):
             break
         size = now
         if nodes.isEmpty():
             continue
-        ends = ends_of(cut(nodes))
+        ends = ends_of(written(nodes))
         found = found.unionByName(ends.where("_ring").select("node", F.col("low").alias("component"), F.lit(1).alias("rank")))
         records.append(ends.where("NOT _ring"))
         inner = ends.select("node")
         outer = links.join(inner.select(F.col("node").alias("source")), "source", "left_anti").join(inner.select(F.col("node").alias("target")), "target", "left_anti")
-        links = cut(outer.select("source", "target").unionByName(records[-1].select(F.col("bwd").alias("source"), F.col("fwd").alias("target"))).distinct())
+        links = written(outer.select("source", "target").unionByName(records[-1].select(F.col("bwd").alias("source"), F.col("fwd").alias("target"))).distinct())
     rest = coloured(links)
     if rest is not None:
         found = found.unionByName(rest.withColumn("rank", F.lit(1)))
-    at = cut(found.groupBy("node").agg(F.max_by("component", "rank").alias("component"), F.max("rank").alias("rank")))
+    at = written(found.groupBy("node").agg(F.max_by("component", "rank").alias("component"), F.max("rank").alias("rank")))
     for record in reversed(records):
         ends = record.join(at.select(F.col("node").alias("bwd"), F.col("component").alias("_b")), "bwd").join(at.select(F.col("node").alias("fwd"), F.col("component").alias("_f")), "fwd")
         more = ends.where("_b = _f").select("node", F.col("_b").alias("component"), F.lit(1).alias("rank"))
-        at = cut(at.unionByName(more).groupBy("node").agg(F.max_by("component", "rank").alias("component"), F.max("rank").alias("rank")))
+        at = written(at.unionByName(more).groupBy("node").agg(F.max_by("component", "rank").alias("component"), F.max("rank").alias("rank")))
     least = at.groupBy("component").agg(F.min("node").alias("least"))
     return at.join(least, "component").select("node", F.col("least").alias("component"))
