@@ -80,7 +80,8 @@ def flow_sign(amount: Column, direction: Column) -> Column:
 
 
 def rate_to_ratio(c: Column) -> Column:
-    return F.round(F.when(F.abs(c) > 1, c / 100).otherwise(c), 9)
+    """Rates above 1 are percents; those below -1 stay as they are."""
+    return F.round(F.when(c > 1, c / 100).otherwise(c), 9)
 
 
 def asset_class(label: Column) -> Column:

@@ -39,9 +39,10 @@ def entries(cells: DataFrame) -> DataFrame:
     )
 
 
-def broken(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
-    """One row for every rule that a row breaks; unknown is not broken."""
-    return rows.select(*key, F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in rules.items()]))).alias("code"))
+def broken(rows: DataFrame, key: list[str], rules: dict[str, Column | list[Column]]) -> DataFrame:
+    """One row for every rule that a row breaks, one for each way where a rule lists several; unknown is not broken."""
+    each = [(code, bad) for code, ways in rules.items() for bad in (ways if isinstance(ways, list) else [ways])]
+    return rows.select(*key, F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in each]))).alias("code"))
 
 
 def entry_findings(rows: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def entry_findings(rows: DataFrame) -> DataFrame:
         "invalid_mismatch_reason": ~F.col("mismatch_reason").isin(MISMATCHES),
         "invalid_crawl_constraints": (F.col("max_pages") < 1) | (F.col("max_depth") < 0),
         "invalid_override_key": outside(F.map_keys(o), ENTRY_OVERRIDES),
-        "invalid_override_value": F.coalesce(~mode.isin(PAGINATION), F.lit(False)) | F.coalesce(~js.isin("true", "false"), F.lit(False)) | (wait.isNotNull() & (F.coalesce(wait.try_cast("int"), F.lit(-1)) <= 0)),
+        "invalid_override_value": [~mode.isin(PAGINATION), ~js.isin("true", "false"), wait.isNotNull() & (F.coalesce(wait.try_cast("int"), F.lit(-1)) <= 0)],
     })
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import entity_token, finite, ordered_refs, stable_id
 from ..functions.shared import cut
+from .disclosures import funded_fraction
 from .mentions import PLAN, filled
 
 # The components of the schema, and what a run must tell to be repeated.
@@ -57,9 +58,9 @@ def warnings_union(domains: dict[str, DataFrame]) -> DataFrame:
 
 
 def distinct_findings(findings: DataFrame) -> DataFrame:
-    """Findings, of those that agree in code, plan, period, metric, message and refs one; unknown metrics are alike."""
+    """Findings, of those that agree in code, plan, period, metric, message and refs the last (seq); unknown metrics are alike."""
     key = ["code", *PLAN, "metric_name", "message", "evidence_refs"]
-    return findings.withColumn("metric_name", F.coalesce("metric_name", F.lit(""))).groupBy(*key).agg(F.min("severity").alias("severity"))
+    return findings.withColumn("metric_name", F.coalesce("metric_name", F.lit(""))).groupBy(*key).agg(F.max_by("severity", "seq").alias("severity"))
 
 
 def parser_anomalies(findings: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -101,6 +102,25 @@ def valid_merges(entities: DataFrame, merges: DataFrame) -> DataFrame:
     return typed.join(merges.select(F.col("source").alias("target")).distinct(), "target", "left_anti").select("source", "target")
 
 
+def merge_rejects(entities: DataFrame, merges: DataFrame) -> DataFrame:
+    """Merges (source, target) that break a rule, with the first one they break.
+
+    same_id, unknown_source, unknown_target, entity_type, source_merged,
+    target_merged; and for merges that are good one by one, but not in one
+    batch: several_targets of a source, target_in_batch for a target that is
+    itself a source.
+    """
+    of = lambda side: entities.select(F.col("stable_id").alias(side), F.col("entity_type").alias(f"_{side}_type"), F.col("merged_into").alias(f"_{side}_into"), F.lit(True).alias(f"_{side}"))
+    several = merges.groupBy("source").agg((F.min("target") < F.max("target")).alias("_several"))
+    sources = merges.select(F.col("source").alias("target"), F.lit(True).alias("_again")).distinct()
+    rows = merges.distinct().join(of("source"), "source", "left").join(of("target"), "target", "left").join(several, "source", "left").join(sources, "target", "left")
+    reason = (
+        F.when(F.col("source").eqNullSafe(F.col("target")), "same_id").when(F.col("_source").isNull(), "unknown_source").when(F.col("_target").isNull(), "unknown_target").when(~F.col("_source_type").eqNullSafe(F.col("_target_type")), "entity_type")
+        .when(F.col("_source_into").isNotNull(), "source_merged").when(F.col("_target_into").isNotNull(), "target_merged").when(F.col("_several"), "several_targets").when(F.col("_again"), "target_in_batch")
+    )
+    return rows.select("source", "target", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def merge_entities(entities: DataFrame, merges: DataFrame) -> DataFrame:
     """Entities after valid merges: sources name their target."""
     to = merges.select(F.col("source").alias("stable_id"), F.col("target").alias("_to"))
@@ -140,8 +160,13 @@ def peer_universe(records: DataFrame, classes: dict[str, str]) -> DataFrame:
     """Survey records by plan and year, of several with one key the last (seq): allocations as a map of percents.
 
     ``classes`` names the column of each asset class; unknown and negative
-    weights go, those up to 1 are shares.
+    weights go, those up to 1 are shares. Funded ratios above 3 are percents;
+    without one at market value that is the assets (mkt_assets) over the
+    liabilities (act_liabilities), where those columns exist.
     """
+    known = lambda c: finite(F.col(c)) if c in records.columns else F.lit(None).cast("double")
+    ratios = {"funded_ratio_ava": funded_fraction(known("funded_ratio_ava"), F.lit(None).cast("double"), F.lit(None).cast("double")), "funded_ratio_mva": funded_fraction(known("funded_ratio_mva"), known("mkt_assets"), known("act_liabilities"))}
+    records = records.withColumns({c: x for c, x in ratios.items() if c in records.columns or c == "funded_ratio_mva"})
     percent = lambda c: F.when(F.col(c) <= 1, F.col(c) * 100).otherwise(F.col(c))
     entries = F.array_compact(F.array(*[F.when(finite(F.col(c)) >= 0, F.struct(F.lit(name).alias("key"), percent(c).alias("value"))) for name, c in classes.items()]))
     last = records.withColumn("allocations", F.map_from_entries(entries)).drop(*classes.values())
@@ -151,11 +176,11 @@ def peer_universe(records: DataFrame, classes: dict[str, str]) -> DataFrame:
 
 def peer_funding(peers: DataFrame) -> DataFrame:
     """Funding rows: the actuarial ratio, else that of the market, else 0."""
-    return peers.select(F.col("ppd_id").alias("plan_id"), F.concat(F.lit("FY"), F.col("fy").cast("string")).alias("plan_period"), F.coalesce("funded_ratio_ava", "funded_ratio_mva", F.lit(0.0)).alias("funded_ratio"))
+    return peers.select(F.col("ppd_id").alias("plan_id"), F.col("fy").cast("string").alias("plan_period"), F.coalesce("funded_ratio_ava", "funded_ratio_mva", F.lit(0.0)).alias("funded_ratio"))
 
 
 def peer_allocations(peers: DataFrame) -> DataFrame:
-    return peers.select(F.col("ppd_id").alias("plan_id"), F.concat(F.lit("FY"), F.col("fy").cast("string")).alias("plan_period"), "peer_group", F.explode("allocations").alias("asset_class", "allocation_pct"))
+    return peers.select(F.col("ppd_id").alias("plan_id"), F.col("fy").cast("string").alias("plan_period"), "peer_group", F.explode("allocations").alias("asset_class", "allocation_pct"))
 
 
 def component_status(metrics: DataFrame, relations: DataFrame, warnings: DataFrame, documents: DataFrame) -> DataFrame:

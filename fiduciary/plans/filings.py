@@ -86,7 +86,7 @@ def finding_rows(s: SparkSession, d: str) -> DataFrame:
     lines = D.table(s, d, "lineitem")
     code = F.when(F.col("l_returnflag") == "R", "schema_invalid").otherwise("confidence_out_of_range")
     severity = F.when(F.col("l_linestatus") == "F", "error").otherwise("warning")
-    return lines.select(code.alias("code"), text("plan:", (F.col("l_suppkey") % 10).cast("string")).alias("plan_id"), text("FY", F.year("l_shipdate").cast("string")).alias("plan_period"), F.when(F.col("l_linenumber") > 1, F.col("l_returnflag")).alias("metric_name"), F.lower("l_linestatus").alias("message"), F.lit("p.1").alias("evidence_refs"), severity.alias("severity"))
+    return lines.select(code.alias("code"), text("plan:", (F.col("l_suppkey") % 10).cast("string")).alias("plan_id"), text("FY", F.year("l_shipdate").cast("string")).alias("plan_period"), F.when(F.col("l_linenumber") > 1, F.col("l_returnflag")).alias("metric_name"), F.when(F.col("l_linenumber") <= 3, F.lower("l_linestatus")).otherwise("any").alias("message"), F.lit("p.1").alias("evidence_refs"), severity.alias("severity"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_linestatus").alias("seq"))
 
 
 def anomaly_rows(s: SparkSession, d: str) -> DataFrame:
@@ -118,6 +118,17 @@ def merges(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return old.drop("key"), staging.valid_merges(old, wish)
 
 
+def refused_merges(s: SparkSession, d: str) -> DataFrame:
+    """Wishes of suppliers to merge, with neighbours, with themselves and with what is no supplier."""
+    old = known_entities(s, d)
+    of = lambda name, rule: old.where(rule).select(F.col("stable_id").alias("source"), name.alias("_k"))
+    by = old.select(F.col("key").alias("_k"), F.col("stable_id").alias("target"))
+    k = F.col("key")
+    near = of(k + 1, "key % 4 = 1").union(of(k + 1, "key % 8 = 2")).union(of(k + 2, "key % 12 = 1")).union(of(k, "key % 5 = 0")).join(by, "_k").select("source", "target")
+    far = old.where("key % 9 = 4").select(F.col("stable_id").alias("source"), F.lit("manager:nobody").alias("target"))
+    return staging.merge_rejects(old, near.union(far).union(far.select("target", "source")))
+
+
 def merged_links(s: SparkSession, d: str) -> DataFrame:
     _, valid = merges(s, d)
     ids = known_entities(s, d).select("stable_id", F.col("key").alias("l_suppkey"))
@@ -139,9 +150,10 @@ def peers(s: SparkSession, d: str) -> DataFrame:
     """Customers as survey records of plans and years; later keys replace earlier ones."""
     k, b = F.col("c_custkey"), F.col("c_acctbal")
     share = F.round(F.abs(b) / 20000, 4)
-    return staging.peer_universe(D.table(s, d, "customer").select(
-        F.col("c_nationkey").alias("ppd_id"), (2000 + k % 9).alias("fy"), k.alias("seq"), F.col("c_mktsegment").alias("peer_group"), F.when(b > 0, share).alias("funded_ratio_ava"), F.when(b < 500, -F.round(b / 10000, 4)).alias("funded_ratio_mva"),
+    rows = staging.peer_universe(D.table(s, d, "customer").select(
+        F.col("c_nationkey").alias("ppd_id"), (2000 + k % 9).alias("fy"), k.alias("seq"), F.col("c_mktsegment").alias("peer_group"), F.when(b > 5000, 100 * share).when(b > 0, share).alias("funded_ratio_ava"), F.when(b < 500, -F.round(b / 10000, 4)).alias("funded_ratio_mva"), (b + 2000).alias("mkt_assets"), F.when(k % 4 > 0, 20000.0).otherwise(0.0).alias("act_liabilities"),
         share.alias("w_equity"), F.round(b, 2).cast("double").alias("w_bonds"), F.when(k % 3 == 0, float("nan")).when(k % 3 == 1, 1.0).alias("w_cash")), CLASSES)
+    return rows.withColumns({c: F.round(c, 9) for c in ("funded_ratio_ava", "funded_ratio_mva")}).drop("mkt_assets", "act_liabilities")
 
 
 def component_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -269,6 +281,7 @@ QUERIES: dict[str, Query] = {
     "d5_parser_anomalies": anomaly_rows,
     "b8_artifact_chains": chains,
     "b10_upserted_entities": upserts,
+    "b10_merge_rejects": refused_merges,
     "b10_merged_entities": lambda s, d: staging.merge_entities(*merges(s, d)),
     "b10_entity_links": merged_links,
     "b11_active_entities": lambda s, d: staging.active_entities(staging.merge_entities(*merges(s, d))).select("stable_id", "entity_type"),
@@ -329,7 +342,7 @@ FEES = rf"""fee_labels AS (SELECT plan_id, plan_period, 'o:' || o_orderkey AS re
     fee_parts AS (SELECT *, {strip("string_split(label, ':')[2]")} AS manager_name, {fold("string_split(label, ':')[3]")} AS kind, {fold("string_split(label, ':')[4]")} AS field, {number('value')} AS v, {fold('value')} = 'not disclosed' AS gone FROM fee_labels),
     fee_values AS (SELECT *, CASE WHEN field = 'rate' THEN v END AS rate, CASE WHEN field = 'amount_usd' THEN v END AS amount, {scale('value', 'usd')} AS unit, {fold('manager_name')} AS key FROM fee_parts),
     fee_rows AS (SELECT plan_id, plan_period, manager_name, CASE WHEN kind IN ('management_fee', 'management fee') THEN 'management_fee' WHEN kind IN ('performance_fee', 'performance fee') THEN 'performance_fee' ELSE 'other_fee' END AS fee_type,
-      round(CASE WHEN abs(rate) > 1 THEN rate / 100 ELSE rate END, 9) AS normalized_rate, round(amount * {MULTIPLE.format('unit')}, 6) AS amount_usd, ref AS evidence_ref,
+      round(CASE WHEN rate > 1 THEN rate / 100 ELSE rate END, 9) AS normalized_rate, round(amount * {MULTIPLE.format('unit')}, 6) AS amount_usd, ref AS evidence_ref,
       CASE WHEN gone OR (rate IS NULL AND amount IS NULL) THEN 'not_disclosed' WHEN rate IS NOT NULL AND amount IS NOT NULL THEN 'complete' ELSE 'partial' END AS completeness,
       key IS NOT NULL AND min(manager_name) OVER (PARTITION BY plan_id, plan_period, key) <> max(manager_name) OVER (PARTITION BY plan_id, plan_period, key) AS several FROM fee_values),
     fees AS (SELECT plan_id, plan_period, manager_name, fee_type, normalized_rate, amount_usd, completeness, evidence_ref,
@@ -352,13 +365,13 @@ CONSULTANTS = rf"""said AS (SELECT plan_id, plan_period, unnest([CASE WHEN n_ord
     unheard AS (SELECT plan_id, plan_period, kind FROM plan_funding CROSS JOIN (VALUES ('consultant'), ('recommendation'), ('attribution')) t(kind) WHERE (plan_id, plan_period, kind) NOT IN (SELECT (plan_id, plan_period, kind) FROM mentioned)),
     consultant_warnings AS (SELECT plan_id, plan_period, code, count(*) AS n FROM (SELECT plan_id, plan_period, 'ambiguous_naming' AS code FROM firms WHERE linkage_status = 'ambiguous' UNION ALL SELECT plan_id, plan_period, 'missing_topic' FROM mentioned WHERE kind = 'recommendation' AND a IS NULL UNION ALL SELECT plan_id, plan_period, 'non_disclosure' FROM unheard WHERE kind = 'consultant') GROUP BY ALL)"""
 
-FOUND = """found AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'schema_invalid' ELSE 'confidence_out_of_range' END AS code, 'plan:' || l_suppkey % 10 AS plan_id, 'FY' || year(l_shipdate) AS plan_period, CASE WHEN l_linenumber > 1 THEN l_returnflag ELSE '' END AS metric_name, lower(l_linestatus) AS message, 'p.1' AS evidence_refs, min(CASE WHEN l_linestatus = 'F' THEN 'error' ELSE 'warning' END) AS severity FROM lineitem GROUP BY ALL)"""
+FOUND = """found AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'schema_invalid' ELSE 'confidence_out_of_range' END AS code, 'plan:' || l_suppkey % 10 AS plan_id, 'FY' || year(l_shipdate) AS plan_period, CASE WHEN l_linenumber > 1 THEN l_returnflag ELSE '' END AS metric_name, CASE WHEN l_linenumber <= 3 THEN lower(l_linestatus) ELSE 'any' END AS message, 'p.1' AS evidence_refs, arg_max(CASE WHEN l_linestatus = 'F' THEN 'error' ELSE 'warning' END, {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_extendedprice, 'e': l_linestatus}) AS severity FROM lineitem GROUP BY ALL)"""
 
 ENTITIES = f"""old AS (SELECT 'manager:' || {token('s_name')} || ':nation ' || s_nationkey AS stable_id, ['manager', 'manager', 'fund'][s_suppkey % 3 + 1] AS entity_type, s_name AS display_name, 'old' AS metadata, CASE WHEN s_suppkey % 7 = 0 THEN 'manager:first' END AS merged_into, s_suppkey AS key FROM supplier),
     valid AS (SELECT a.stable_id AS source, b.stable_id AS target FROM old a JOIN old b ON b.key = a.key + 1 WHERE a.key % 4 = 1 AND a.merged_into IS NULL AND b.merged_into IS NULL AND a.entity_type = b.entity_type),
     merged AS (SELECT stable_id, entity_type, display_name, metadata, coalesce(merged_into, target) AS merged_into FROM old LEFT JOIN valid ON source = stable_id)"""
 
-PEERS = """peers AS (SELECT *, 'FY' || fy AS plan_period FROM (SELECT c_nationkey AS ppd_id, 2000 + c_custkey % 9 AS fy, c_mktsegment AS peer_group, CASE WHEN c_acctbal > 0 THEN round(abs(c_acctbal) / 20000, 4) END AS funded_ratio_ava, CASE WHEN c_acctbal < 500 THEN -round(c_acctbal / 10000, 4) END AS funded_ratio_mva,
+PEERS = """peers AS (SELECT * EXCLUDE (ava, mva), round(CASE WHEN ava > 3 THEN ava / 100 ELSE ava END, 9) AS funded_ratio_ava, round(coalesce(CASE WHEN mva > 3 THEN mva / 100 ELSE mva END, CASE WHEN liabilities <> 0 THEN assets / liabilities END), 9) AS funded_ratio_mva, CAST(fy AS VARCHAR) AS plan_period FROM (SELECT c_nationkey AS ppd_id, 2000 + c_custkey % 9 AS fy, c_mktsegment AS peer_group, CASE WHEN c_acctbal > 5000 THEN 100 * round(abs(c_acctbal) / 20000, 4) WHEN c_acctbal > 0 THEN round(abs(c_acctbal) / 20000, 4) END AS ava, CASE WHEN c_acctbal < 500 THEN -round(c_acctbal / 10000, 4) END AS mva, c_acctbal + 2000 AS assets, CASE WHEN c_custkey % 4 > 0 THEN 20000.0::DOUBLE ELSE 0 END AS liabilities,
       round(abs(c_acctbal) / 20000, 4) AS equity, CAST(round(c_acctbal, 2) AS DOUBLE) AS bonds, CASE WHEN c_custkey % 3 = 1 THEN 1::DOUBLE END AS cash FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey, c_custkey % 9 ORDER BY c_custkey DESC) = 1))"""
 
 RECORDS = """records AS (SELECT 'plan:' || o_orderkey % 97 AS plan_id, 'o:' || o_orderkey AS plan_period, ['official', 'high-confidence-third-party', 'private', 'official-mirror'][o_orderkey % 4 + 1] AS tier, tier IN ('official', 'official-mirror') AS official, ['available_official', 'available_non_official_only', 'not_found', 'lost', 'available_official'][o_orderkey % 5 + 1] AS state,
@@ -402,6 +415,11 @@ ORACLES = {
       UNION ALL SELECT plan_id, plan_period, 'funded_ratio', 'warning', CAST(o_orderkey AS VARCHAR), FALSE, {digest('parser-anomaly', chr(39) + 'low_confidence' + chr(39), 'plan_id', 'plan_period', chr(39) + 'funded_ratio' + chr(39), 'o_orderkey')} FROM plan_orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F'"""),
     "b8_artifact_chains": "SELECT event_id AS artifact_id, min(event_id) OVER w AS root, row_number() OVER (w ORDER BY event_id) - 1 AS place FROM events WINDOW w AS (PARTITION BY user_id, event_type)",
     "b10_upserted_entities": f"WITH {ENTITIES} SELECT stable_id, entity_type, display_name, CASE WHEN key % 2 = 0 AND merged_into IS NULL THEN 'v2' ELSE metadata END AS metadata, merged_into FROM old UNION ALL SELECT 'plan:' || {token('c_name')}, 'plan', c_name, 'v1', NULL FROM customer",
+    "b10_merge_rejects": f"""WITH {ENTITIES}, wish AS (SELECT DISTINCT source, target FROM (
+      SELECT a.stable_id AS source, b.stable_id AS target FROM old a JOIN old b ON (a.key % 4 = 1 AND b.key = a.key + 1) OR (a.key % 8 = 2 AND b.key = a.key + 1) OR (a.key % 12 = 1 AND b.key = a.key + 2) OR (a.key % 5 = 0 AND b.key = a.key)
+      UNION ALL SELECT stable_id, 'manager:nobody' FROM old WHERE key % 9 = 4 UNION ALL SELECT 'manager:nobody', stable_id FROM old WHERE key % 9 = 4))
+      SELECT source, target, reason FROM (SELECT w.source, w.target, CASE WHEN w.source = w.target THEN 'same_id' WHEN a.stable_id IS NULL THEN 'unknown_source' WHEN b.stable_id IS NULL THEN 'unknown_target' WHEN a.entity_type <> b.entity_type THEN 'entity_type' WHEN a.merged_into IS NOT NULL THEN 'source_merged' WHEN b.merged_into IS NOT NULL THEN 'target_merged'
+        WHEN (SELECT count(DISTINCT x.target) FROM wish x WHERE x.source = w.source) > 1 THEN 'several_targets' WHEN w.target IN (SELECT source FROM wish) THEN 'target_in_batch' END AS reason FROM wish w LEFT JOIN old a ON a.stable_id = w.source LEFT JOIN old b ON b.stable_id = w.target) WHERE reason IS NOT NULL""",
     "b10_merged_entities": f"WITH {ENTITIES} SELECT * FROM merged",
     "b10_entity_links": f"WITH {ENTITIES} SELECT coalesce(target, stable_id) AS stable_id, l_returnflag AS source_table, CAST(l_partkey % 50 AS VARCHAR) AS source_record_id, string_agg(DISTINCT 'p.' || l_linenumber, ',' ORDER BY 'p.' || l_linenumber) AS refs FROM lineitem JOIN old ON key = l_suppkey LEFT JOIN valid ON source = stable_id WHERE l_returnflag <> 'A' GROUP BY ALL",
     "b11_active_entities": f"WITH {ENTITIES} SELECT stable_id, entity_type FROM merged WHERE merged_into IS NULL",
@@ -432,7 +450,7 @@ ORACLES = {
       SELECT plan_id, seed_url, code FROM (SELECT plan_id, seed_url, unnest([CASE WHEN NOT regexp_matches(lower(seed_url), '^https?://[^/?#]') THEN 'invalid_url' END, CASE WHEN len(domains) = 0 THEN 'missing_allowed_domains' END, CASE WHEN len(list_filter(domains, lambda x: NOT contains(x, '.') OR contains(x, ' '))) > 0 THEN 'invalid_allowed_domain' END,
         CASE WHEN list_contains(h, 'annual_report') AND tier IS NULL THEN 'missing_authority_tier' END, CASE WHEN tier NOT IN ('official', 'official-mirror', 'high-confidence-third-party') THEN 'invalid_authority_tier' END, CASE WHEN list_contains(h, 'brochure') THEN 'invalid_doc_type_hint' END, CASE WHEN pages NOT IN ('', 'single_page', 'next_link', 'page_param') THEN 'invalid_pagination_hint' END,
         CASE WHEN why NOT IN ('wrong_plan', 'stale_period', 'non_official_only') THEN 'invalid_mismatch_reason' END, CASE WHEN coalesce(TRY_CAST(trim(max_pages) AS INT), -1) < 1 OR coalesce(TRY_CAST(max_depth AS INT), -1) < 0 THEN 'invalid_crawl_constraints' END, CASE WHEN colour IS NOT NULL THEN 'invalid_override_key' END,
-        CASE WHEN coalesce(mode NOT IN ('single_page', 'next_link', 'query_param', 'path_segment'), FALSE) OR coalesce(js NOT IN ('true', 'false'), FALSE) OR (wait IS NOT NULL AND coalesce(TRY_CAST(wait AS INT), -1) <= 0) THEN 'invalid_override_value' END]) AS code FROM lists) WHERE code IS NOT NULL""",
+        CASE WHEN mode NOT IN ('single_page', 'next_link', 'query_param', 'path_segment') THEN 'invalid_override_value' END, CASE WHEN js NOT IN ('true', 'false') THEN 'invalid_override_value' END, CASE WHEN wait IS NOT NULL AND coalesce(TRY_CAST(wait AS INT), -1) <= 0 THEN 'invalid_override_value' END]) AS code FROM lists) WHERE code IS NOT NULL""",
     "d3_record_findings": views(RECORDS, """SELECT plan_id, plan_period, code FROM (SELECT plan_id, plan_period, unnest([CASE WHEN tier = 'private' THEN 'invalid_tier' END, CASE WHEN state NOT IN ('available_official', 'available_non_official_only', 'not_found') THEN 'invalid_state' END, CASE WHEN why NOT IN ('', 'wrong_plan', 'stale_period', 'non_official_only') THEN 'invalid_reason' END,
         CASE WHEN state = 'available_official' AND NOT official THEN 'official_needs_official_tier' END, CASE WHEN state = 'available_non_official_only' AND official THEN 'non_official_with_official_tier' END, CASE WHEN why = 'wrong_plan' AND seen IS NULL THEN 'wrong_plan_without_identity' END, CASE WHEN why = 'wrong_plan' AND seen = 'a' THEN 'wrong_plan_with_same_identity' END,
         CASE WHEN why <> 'wrong_plan' AND seen IS NOT NULL THEN 'identity_without_wrong_plan' END, CASE WHEN state = 'available_non_official_only' AND why <> 'non_official_only' THEN 'non_official_needs_reason' END, CASE WHEN why IN ('wrong_plan', 'stale_period') AND state <> 'available_official' THEN 'mismatch_needs_official' END, CASE WHEN why = 'non_official_only' AND state <> 'available_non_official_only' THEN 'reason_needs_non_official' END,

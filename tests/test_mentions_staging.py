@@ -70,3 +70,37 @@ def test_map_entries_from_cells(spark):
     r = entry.first()
     assert (r.seed_url, r.allowed_domains, r.pagination_hints, r.max_pages, r.overrides) == ("http://x", ["a.b", "c.d"], [], -1, {"requires_js": "yes"})
     assert rows(sourcemap.entry_findings(entry), "code") == [("invalid_crawl_constraints",), ("invalid_override_value",), ("missing_authority_tier",)]
+
+
+def test_rates_below_minus_one_are_no_percents(spark):
+    from fiduciary.functions.scalars import rate_to_ratio
+
+    found = spark.createDataFrame([(-5.0,), (-0.5,), (1.0,), (1.5,), (None,)], "r double").select(rate_to_ratio(F.col("r")).alias("x")).collect()
+    assert [r.x for r in found] == [-5.0, -0.5, 1.0, 0.015, None]
+
+
+def test_the_last_of_equal_findings_stays(spark):
+    kinds = "code string, plan_id string, plan_period string, metric_name string, message string, evidence_refs string, severity string, seq long"
+    found = spark.createDataFrame([("c", "p", "t", None, "m", "r", "error", 1), ("c", "p", "t", "", "m", "r", "warning", 2), ("c", "p", "t", "x", "m", "r", "error", 3)], kinds)
+    assert sorted((r.metric_name, r.severity) for r in staging.distinct_findings(found).collect()) == [("", "warning"), ("x", "error")]
+
+
+def test_every_wrong_override_is_a_finding(spark):
+    cells = spark.createDataFrame([("p", "http://x.y", "a.b", "other", "", "1", "1", "scroll", "maybe", "-1")], "plan_id string, seed_url string, allowed_domains string, doc_type_hints string, pagination_hints string, max_pages string, max_depth string, override_pagination_mode string, override_requires_js string, override_force_render_wait_ms string")
+    cells = cells.withColumns({c: F.lit(None).cast("string") for c in ("source_authority_tier", "mismatch_reason")})
+    found = [r.code for r in sourcemap.entry_findings(sourcemap.entries(cells)).collect()]
+    assert found.count("invalid_override_value") == 3
+
+
+def test_merges_that_break_a_rule_come_back(spark):
+    entities = spark.createDataFrame([("a", "m", None), ("b", "m", None), ("c", "f", None), ("d", "m", "a"), ("e", "m", None), ("g", "m", None)], "stable_id string, entity_type string, merged_into string")
+    wishes = [("a", "a"), ("x", "a"), ("a", "y"), ("b", "c"), ("d", "b"), ("b", "d"), ("e", "a"), ("e", "b"), ("g", "e"), (None, None)]
+    merges = spark.createDataFrame(wishes, "source string, target string")
+    found = {(r.source, r.target): r.reason for r in staging.merge_rejects(entities, merges).collect()}
+    assert found == {("a", "a"): "same_id", ("x", "a"): "unknown_source", ("a", "y"): "unknown_target", ("b", "c"): "entity_type", ("d", "b"): "source_merged", ("b", "d"): "target_merged", ("e", "a"): "several_targets", ("e", "b"): "several_targets", ("g", "e"): "target_in_batch", (None, None): "same_id"}
+
+
+def test_funded_ratios_of_peer_records(spark):
+    rows = [(1, 2020, 1, 85.0, None, 50.0, 100.0, 0.5), (2, 2020, 2, 2.5, 120.0, 1.0, 1.0, -1.0), (3, 2020, 3, None, None, 5.0, 0.0, 60.0)]
+    found = {r.ppd_id: r for r in staging.peer_universe(spark.createDataFrame(rows, "ppd_id int, fy int, seq int, funded_ratio_ava double, funded_ratio_mva double, mkt_assets double, act_liabilities double, w double"), {"equity": "w"}).collect()}
+    assert [(found[i].funded_ratio_ava, found[i].funded_ratio_mva, found[i].allocations) for i in (1, 2, 3)] == [(0.85, 0.5, {"equity": 50.0}), (2.5, 1.2, {}), (None, None, {"equity": 60.0})]
