@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import report_year
+
 # Authority tiers that count as official, and the order of resolution states.
 OFFICIAL = ["official", "official-mirror"]
 STATES = ["not_found", "available_non_official_only", "available_official"]
@@ -80,6 +82,38 @@ def inventory(documents: DataFrame) -> DataFrame:
     return rows.groupBy("plan_id").agg(*counts, F.bool_or(text.rlike("manager|holding")).alias("has_manager_disclosure"), F.bool_or(text.rlike("consultant report|investment consultant")).alias("has_consultant_disclosure"))
 
 
+def report_coverage(records: DataFrame, documents: DataFrame, system_types: DataFrame, n_years: int = 5, anchor: int = 2025) -> DataFrame:
+    """Where the annual report of every plan and recent year is: by the source map, else by what was discovered, else not found.
+
+    ``records`` (plan_id, plan_period, cohort, official_resolution_state,
+    source_authority_tier, source_url, seq) are of the last year that their
+    period names, the first by seq tells a plan's cohort; ``documents``
+    (plan_id, title, source_url, source_authority_tier) of the year in title or
+    address; ``system_types`` (plan_id, system_type) go by folded ids. The years
+    end with the last one known, or with ``anchor`` if none is: one row, which
+    is broadcast.
+    """
+    dated = records.withColumn("year", F.array_max(F.transform(F.regexp_extract_all("plan_period", F.lit(r"((?:19|20)\d{2})"), 1), lambda x: x.cast("int")))).where("year IS NOT NULL")
+    text = F.lower(F.concat_ws(" ", "title", "source_url"))
+    found = documents.select(
+        "plan_id", "source_url", report_year(F.concat_ws(" ", "title", "source_url")).alias("year"), document_type(F.col("title"), F.col("source_url")).alias("kind"), F.coalesce(F.col("source_authority_tier").isin(OFFICIAL), F.lit(False)).alias("official"),
+        text.rlike("manager|holding").alias("manager"), text.rlike("consultant report|investment consultant").alias("consultant"),
+    )
+    last = dated.select("year").union(found.select("year")).agg(F.coalesce(F.max("year"), F.lit(anchor)).alias("last"))
+    cohorts = dated.groupBy("plan_id").agg(F.min_by("cohort", "seq").alias("cohort"))
+    flags = found.groupBy("plan_id").agg(F.bool_or("manager").alias("manager"), F.bool_or("consultant").alias("consultant"))
+    grid = cohorts.join(flags, "plan_id", "full_outer").join(F.broadcast(last)).select("plan_id", F.coalesce("cohort", F.lit("unknown")).alias("cohort"), "manager", "consultant", F.explode(F.sequence(F.col("last") - (n_years - 1), F.col("last"))).alias("year"))
+    best = best_records(dated.select("plan_id", "year", "official_resolution_state", "source_authority_tier", "source_url"), ["plan_id", "year"]).select("plan_id", "year", "official_resolution_state", F.col("source_url").alias("_url"))
+    reports = found.where("kind = 'annual_report'").groupBy("plan_id", "year").agg(F.max(F.struct("official", "source_url")).alias("_report"))
+    types = system_types.groupBy(F.lower("plan_id").alias("_folded")).agg(F.max("system_type").alias("_type"))
+    rows = grid.join(best, ["plan_id", "year"], "left").join(reports, ["plan_id", "year"], "left").withColumn("_folded", F.lower(F.btrim("plan_id"))).join(types, "_folded", "left")
+    by_report = F.when(F.col("_report.official"), STATES[2]).when(F.col("_report").isNotNull(), STATES[1]).otherwise(STATES[0])
+    return rows.select(
+        "plan_id", F.col("year").alias("plan_year"), "cohort", F.coalesce("_type", "cohort").alias("system_type"), F.coalesce("official_resolution_state", by_report).alias("official_resolution_state"), F.coalesce("_url", "_report.source_url", F.lit("not_found")).alias("annual_report_source_url"),
+        F.coalesce("manager", F.lit(False)).alias("manager_disclosure_available"), F.coalesce("consultant", F.lit(False)).alias("consultant_disclosure_available"),
+    )
+
+
 def peer_axes(plans: DataFrame) -> DataFrame:
     """Peer group of a plan: type (code or words), size by assets, state, and maturity by members, else by liabilities."""
     code = F.col("plan_type").try_cast("double")
