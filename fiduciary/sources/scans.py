@@ -118,9 +118,9 @@ def missing_variables(book: DataFrame, mapped: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A CSV folder with header; nulls are empty and nested columns are JSON."""
+    """A CSV folder with header; nulls are empty, quotes are doubled and nested columns are JSON."""
     nested = ("array", "map", "struct")
-    df.select(*[F.to_json(c).alias(c) if t.startswith(nested) else F.col(c) for c, t in df.dtypes]).write.csv(path, header=True, nullValue="", emptyValue="", mode="overwrite")
+    df.select(*[F.to_json(c).alias(c) if t.startswith(nested) else F.col(c) for c, t in df.dtypes]).write.csv(path, header=True, nullValue="", emptyValue="", escape='"', mode="overwrite")
 
 
 def write_artifacts(tables: dict[str, DataFrame], path: str) -> None:
