@@ -147,7 +147,7 @@ def curated_families(s: SparkSession, d: str) -> DataFrame:
     }
     out = None
     for name, (facts, key) in families.items():
-        counts = integrity.curated(facts, plans, key).groupBy("plan_id", "plan_period", "metric_name", "reject_reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("normalized_value").cast("decimal(28,6)")).cast("double"), 2).alias("total")).select(F.lit(name).alias("family"), "*")
+        counts = integrity.curated(facts, plans, key).groupBy("plan_id", "plan_period", "metric_name", "reject_reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("normalized_value").cast("decimal(28,6)")).cast("double"), 6).alias("total")).select(F.lit(name).alias("family"), "*")
         out = counts if out is None else out.unionByName(counts)
     return out
 
@@ -174,7 +174,7 @@ ORACLES: dict[str, str] = {
     "k1_artifacts": sql("""SELECT artifact, plan_id, plan_period, value, '["p,1","\\"q\\""]' AS refs FROM (SELECT unnest(['trend.csv', 'trend.json']) AS artifact, plan_id, plan_period, round(funded_ratio, 6) AS value FROM plan_funding
       UNION ALL SELECT unnest(['gaps.csv', 'gaps.json']), plan_id, plan_period, round(funded_ratio, 6) FROM plan_funding WHERE round(funded_ratio, 6) < 0.3)"""),
     "k4_telemetry": "SELECT event_type AS metric, event_id, CAST(user_id % 10 AS VARCHAR) AS run_id, CASE WHEN value > 50 THEN event_type END AS stage FROM events",
-    "j2_curated_families": sql(f"""SELECT family, plan_id, plan_period, metric_name, reject_reason, count(*) AS n, round(CAST(sum(CAST(v AS DECIMAL(28,6))) AS DOUBLE), 2) AS total FROM (SELECT f.*, {REASON} AS reject_reason FROM (
+    "j2_curated_families": sql(f"""SELECT family, plan_id, plan_period, metric_name, reject_reason, count(*) AS n, round(CAST(sum(CAST(v AS DECIMAL(28,6))) AS DOUBLE), 6) AS total FROM (SELECT f.*, {REASON} AS reject_reason FROM (
       SELECT 'allocation' AS family, plan_id, plan_period, asset_class AS metric_name, CASE WHEN allocation_pct > 0.14 THEN allocation_pct END AS v, 'ratio' AS u, NULL AS m, NULL AS g, FALSE AS complete, plan_id || plan_period || asset_class AS key FROM plan_allocation
       UNION ALL SELECT 'holding', plan_id, plan_period, 'exposure', exposure_usd, CASE WHEN disclosure_state = 'not_disclosed' THEN ' ' ELSE 'usd' END, manager_name, nullif(fund_name, 'Brand#7'), disclosure_state = 'disclosed', plan_id || plan_period || manager_name || coalesce(nullif(fund_name, 'Brand#7'), '') FROM manager_fund_positions
       UNION ALL SELECT 'fee', plan_id, plan_period, o_orderpriority, o_totalprice, 'usd', NULL, NULL, FALSE, plan_id || plan_period || o_orderpriority || o_orderstatus FROM plan_orders

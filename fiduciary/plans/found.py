@@ -74,7 +74,7 @@ ORACLES: dict[str, str] = {
       doc AS (SELECT 'PS-' || o_custkey AS plan_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'Annual Report ' || y || '-' || substr(CAST(y + 1 AS VARCHAR), 3, 2) WHEN '2-HIGH' THEN 'ACFR' WHEN '3-MEDIUM' THEN 'Board packet' WHEN '4-NOT SPECIFIED' THEN 'Holdings by investment consultant' ELSE 'Notice' END AS title,
         'http://y/' || o_orderkey || '/' || y AS url, CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS official FROM o WHERE o_orderstatus <> 'F'),
       told AS (SELECT *, lower(title || ' ' || url) AS t, list_max(list_concat(list_transform(regexp_extract_all(title || ' ' || url, '(?:19|20)\d{2}'), lambda x: CAST(x AS INTEGER)), list_transform(regexp_extract_all(title || ' ' || url, '(?:19|20)\d{2}\s*[-/]\s*(?:19|20)?\d{2}'),
-        lambda x: CAST(substr(x, 1, 4) AS INTEGER) // 100 * 100 + CAST(right(x, 2) AS INTEGER) + CASE WHEN CAST(right(x, 2) AS INTEGER) < CAST(substr(x, 3, 2) AS INTEGER) THEN 100 ELSE 0 END))) AS year FROM doc),
+        lambda x: CASE WHEN length(regexp_extract(x, '\d+$')) = 4 THEN CAST(right(x, 4) AS INTEGER) ELSE CAST(substr(x, 1, 4) AS INTEGER) // 100 * 100 + CAST(right(x, 2) AS INTEGER) + CASE WHEN CAST(right(x, 2) AS INTEGER) < CAST(substr(x, 3, 2) AS INTEGER) THEN 100 ELSE 0 END END))) AS year FROM doc),
       last AS (SELECT max(year) AS l FROM (SELECT year FROM rec UNION ALL SELECT year FROM told)),
       plans AS (SELECT plan_id, coalesce(arg_min(cohort, o_orderkey) FILTER (WHERE cohort IS NOT NULL), 'unknown') AS cohort FROM (SELECT plan_id, cohort, o_orderkey FROM rec UNION ALL SELECT plan_id, NULL, NULL FROM told) GROUP BY plan_id),
       flags AS (SELECT plan_id, bool_or(contains(t, 'manager') OR contains(t, 'holding')) AS m, bool_or(contains(t, 'consultant report') OR contains(t, 'investment consultant')) AS c FROM told GROUP BY plan_id),
