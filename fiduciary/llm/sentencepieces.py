@@ -229,9 +229,11 @@ class PieceModel:
         at = 0
         for unit, ids, others in zip(listed, self.encode_many(listed), theirs, strict=True):
             end = at + 4 * len(others)
-            if ids != right[at:end]:
+            if ids == right[at:end]:
+                self._known[unit] = ids, self._join(others)
+            else:  # the library stands in, and the text is marked
                 self._unlike.add(unit)
-            self._known[unit] = right[at:end], self._join(others)
+                self._known[unit] = right[at:end], self._join(others)
             at = end
 
     def encode(self, lines: list[str]) -> tuple[list[tuple[bytes, str]], list[bool]]:
@@ -276,18 +278,15 @@ def sentencepieces(docs: DataFrame, path: str, text: str = "text", key: str = "d
                 continue
             sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             probe = int(np.where(sizes <= WHOLE, sizes, 0).argmax())
-            first = 0
+            sample = texts(batch.column(1).slice(probe, 1))
+            if np.frombuffer(m.encode(sample)[0][0][0], np.int32).tolist() != m.library.encode(sample[0], num_threads=1):
+                m.splits = False  # this vocabulary has merges across the cuts
             for part in portions(batch, TOGETHER):
-                lines = texts(part.column(1))
-                found, agrees = m.encode(lines)
-                if 0 <= (i := probe - first) < len(lines) and np.frombuffer(found[i][0], np.int32).tolist() != m.library.encode(lines[i], num_threads=1):
-                    m.splits = False  # this vocabulary has merges across the cuts
-                    found, agrees = m.encode(lines)
+                found, agrees = m.encode(texts(part.column(1)))
                 offsets = np.cumsum([0] + [len(x) // 4 for x, _ in found]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join([x for x, _ in found]), np.int32))
                 decoded = pa.array([x for _, x in found], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), decoded, pa.array(agrees, pa.bool_())], ["key", "ids", "decoded", "library_agrees"])
-                first += len(lines)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(encode, f"key {kind}, ids array<int>, decoded string, library_agrees boolean").withColumnRenamed("key", key)
