@@ -103,6 +103,27 @@ def run_sla(runs: DataFrame) -> DataFrame:
     )
 
 
+RATES = {
+    "completeness_rate": ("records_complete", "records_total", 1), "review_queue_latency_hours": ("review_queue_wait_hours_sum", "review_queue_items", 1), "parse_warning_rate": ("parse_warning_count", "records_total", 1),
+    "citation_density_per_10_pages": ("cited_facts", "total_pages", 10), "source_mismatch_rate": ("source_mismatch_count", "records_total", 1), "unresolved_official_source_rate": ("unresolved_official_source_count", "records_total", 1),
+    "manager_disclosure_coverage_rate": ("manager_disclosure_covered", "manager_disclosure_total", 1), "consultant_disclosure_coverage_rate": ("consultant_disclosure_covered", "consultant_disclosure_total", 1),
+}
+
+
+def run_rates(runs: DataFrame) -> DataFrame:
+    """All nine figures of a run's quality (run_id, two times and thirteen counts): eight rates and the hours from publishing to the run.
+
+    A rate is 0 where its parts are not finite or the denominator is not
+    positive; a run before its source was published has no lag.
+    """
+    def rate(a: str, b: str, factor: int) -> Column:
+        top, base = finite(F.col(a).cast("double")), finite(F.col(b).cast("double"))
+        return F.coalesce(F.when(base > 0, finite(top * factor / base)), F.lit(0.0))
+
+    lag = (F.unix_micros(F.col("run_started_at").cast("timestamp")) - F.unix_micros(F.col("source_published_at").cast("timestamp"))) / 3.6e9
+    return runs.select("run_id", F.greatest(lag, F.lit(0.0)).alias("freshness_lag_hours"), *[rate(*parts).alias(name) for name, parts in RATES.items()])
+
+
 def refresh_windows(profiles: DataFrame, last: DataFrame, as_of: str, shortest: float = 7.0, longest: float = 120.0) -> DataFrame:
     """When a source should be read next: its usual gap after the last publication, moved to a month in which it publishes.
 

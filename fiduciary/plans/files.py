@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_folder
-from ..operators import integrity
-from ..sources import scans
+from ..operators import disclosures, integrity
+from ..sources import publishing, scans
+from . import curation
 from . import domain as D
+from . import registry as registry_plans
 from .oracle import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,7 +154,40 @@ def curated_families(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def published(s: SparkSession, d: str) -> DataFrame:
+    """A coverage run over orders as source records, as its files hold it."""
+    path = folder(s)
+    records = curation.source_records(s, d).withColumn("plan_period", as_text("FY", F.col("year")))
+    publishing.publish(path, records, lambda: registry_plans.anomalies(s, d))
+    kinds = {
+        "readiness_rows": ("plan_id string, plan_period string, extraction_blocker_reason string, readiness_state string, is_extraction_ready string", ["plan_id", F.col("plan_period").alias("period"), F.col("extraction_blocker_reason").alias("what"), F.col("readiness_state").alias("state")]),
+        "anomaly_rows": ("plan_id string, period string, metric string, severity string", ["plan_id", "period", F.col("metric").alias("what"), F.col("severity").alias("state")]),
+        "review_queue_rows": ("plan_id string, period string, reason string, priority string", ["plan_id", "period", F.col("reason").alias("what"), F.col("priority").alias("state")]),
+        "status": ("status string, error string", [F.lit(None).cast("string").alias("plan_id"), F.lit(None).cast("string").alias("period"), F.col("error").alias("what"), F.col("status").alias("state")]),
+    }
+    out = None
+    for name, (kind, shown) in kinds.items():
+        rows = s.read.schema(kind).json(f"{path}/{name}.json").select(F.lit(name).alias("artifact"), *shown)
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("artifact", "plan_id", "period", "what", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_rates(s: SparkSession, d: str) -> DataFrame:
+    """Months of orders as runs."""
+    o = D.table(s, d, "orders")
+    n = lambda c: F.count_if(c)
+    status, priority, price, month = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice"), F.date_trunc("month", "o_orderdate")
+    runs = o.groupBy(month.alias("m")).agg(
+        F.max("o_orderdate").alias("t"), F.count(F.lit(1)).alias("records_total"), n(status == "F").alias("records_complete"), n(priority == "1-URGENT").alias("review_queue_items"), F.sum(F.when(price > 490000, float("nan")).otherwise(F.floor(price / 100000).cast("double"))).alias("review_queue_wait_hours_sum"),
+        n(price < 20000).alias("parse_warning_count"), n(status == "P").alias("source_mismatch_count"), n(priority == "5-LOW").alias("unresolved_official_source_count"), n(price > 460000).alias("total_pages"), n(price > 200000).alias("cited_facts"),
+        n(status == "O").alias("manager_disclosure_total"), n((status == "O") & (price > 100000)).alias("manager_disclosure_covered"), n(price > 480000).alias("consultant_disclosure_total"), n((price > 480000) & (status == "F")).alias("consultant_disclosure_covered"))
+    runs = runs.select("*", F.date_format("m", "yyyy-MM").alias("run_id"), (F.col("m") + F.expr("INTERVAL 20 DAYS")).alias("source_published_at"), F.col("t").alias("run_started_at"))
+    rates = disclosures.run_rates(runs)
+    return rates.select("run_id", *[F.round(c, 6).alias(c) for c in rates.columns if c != "run_id"])
+
+
 QUERIES: dict[str, Query] = {
+    "a15_publication_set": published, "a8_run_rates": run_rates,
     "s1_registry": registry, "s2_source_map": source_map, "s3_own_holdings": holdings, "s4_information_table": information, "s5_filings": filings, "s7_survey_records": survey, "s8_missing_variables": codebook, "s9_schedules": schedules, "s10_operation_log": operation_log,
     "k1_artifacts": artifacts, "k4_telemetry": telemetry, "j2_curated_families": curated_families,
 }
@@ -160,6 +195,14 @@ QUERIES: dict[str, Query] = {
 REASON = "CASE WHEN f.plan_id = 'NATION_3' THEN 'unknown_plan' WHEN v IS NULL THEN 'missing_value' WHEN trim(u) = '' THEN 'missing_unit' WHEN complete AND (coalesce(trim(m), '') = '' OR coalesce(trim(g), '') = '') THEN 'missing_names' WHEN count(*) OVER (PARTITION BY family, key) > 1 THEN 'duplicate_key' END"
 
 ORACLES: dict[str, str] = {
+    "a15_publication_set": sql(f"""SELECT artifact, plan_id, period, what, state, count(*) AS n FROM (
+      SELECT 'readiness_rows' AS artifact, plan_id, 'FY' || year AS period, CASE WHEN m IS NOT NULL THEN m WHEN s = 1 THEN 'non_official_only' WHEN s = 0 THEN 'official_source_unresolved' ELSE '' END AS what, CASE WHEN s < 2 THEN 'blocked_source' WHEN m IS NOT NULL THEN 'blocked_quality' ELSE 'ready' END AS state FROM ({curation.RECORDS})
+      UNION ALL SELECT 'anomaly_rows', plan_id, period, metric, severity FROM anomalies UNION ALL SELECT 'review_queue_rows', plan_id, period, severity || ' shift in ' || metric, priority FROM anomalies UNION ALL SELECT 'status', NULL, NULL, '', 'ok') GROUP BY ALL"""),
+    "a8_run_rates": """SELECT strftime(m, '%Y-%m') AS run_id, round(greatest((epoch_us(t) - epoch_us(m + INTERVAL 20 DAY)) / 3.6e9::DOUBLE, 0), 6) AS freshness_lag_hours, round(complete / n, 6) AS completeness_rate, CASE WHEN items > 0 AND isfinite(waited) THEN round(waited / items, 6) ELSE 0 END AS review_queue_latency_hours, round(warned / n, 6) AS parse_warning_rate,
+      CASE WHEN pages > 0 THEN round(cited * 10 / pages, 6) ELSE 0 END AS citation_density_per_10_pages, round(mismatched / n, 6) AS source_mismatch_rate, round(unresolved / n, 6) AS unresolved_official_source_rate, CASE WHEN mt > 0 THEN round(mc / mt, 6) ELSE 0 END AS manager_disclosure_coverage_rate, CASE WHEN ct > 0 THEN round(cc / ct, 6) ELSE 0 END AS consultant_disclosure_coverage_rate
+      FROM (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, max(o_orderdate) AS t, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS complete, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS items, sum(CASE WHEN o_totalprice > 490000 THEN 'NaN'::DOUBLE ELSE CAST(floor(o_totalprice / 100000) AS DOUBLE) END) AS waited, count(*) FILTER (WHERE o_totalprice < 20000) AS warned,
+        count(*) FILTER (WHERE o_orderstatus = 'P') AS mismatched, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS unresolved, count(*) FILTER (WHERE o_totalprice > 460000) AS pages, count(*) FILTER (WHERE o_totalprice > 200000) AS cited, count(*) FILTER (WHERE o_orderstatus = 'O') AS mt, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_totalprice > 100000) AS mc,
+        count(*) FILTER (WHERE o_totalprice > 480000) AS ct, count(*) FILTER (WHERE o_totalprice > 480000 AND o_orderstatus = 'F') AS cc FROM orders GROUP BY 1)""",
     "s1_registry": r"""SELECT plan_id, plan_name, system_type, jurisdiction, p AS in_peer_universe, trim(regexp_replace(lower(plan_name || '::' || jurisdiction), '[^a-z0-9]+', '-', 'g'), '-') AS identity_key, plan_id IS NOT NULL AND p IS NOT NULL AS is_valid FROM (
       SELECT CASE WHEN c_custkey % 9 > 0 THEN 'p' || c_custkey END AS plan_id, c_name || ' Fund!' AS plan_name, lower(c_mktsegment) AS system_type, 'N-' || c_nationkey AS jurisdiction, CASE c_custkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 3 THEN TRUE END AS p FROM customer)""",
     "s2_source_map": "SELECT 'p' || o_orderkey AS plan_id, 'A, \"quoted\" name' AS plan_name, o_orderpriority AS expected_plan_identity, 'https://a.example/' || o_orderkey AS seed_url, 'a.example;b.example' AS allowed_domains, 'annual_report' AS doc_type_hints, CASE WHEN o_orderkey % 2 = 0 THEN 'next_link' END AS pagination_hints, CAST(o_orderkey % 7 AS VARCHAR) AS max_pages, '1' AS max_depth, NULL AS source_authority_tier, NULL AS mismatch_reason, NULL AS override_requires_js, NULL AS override_force_render_wait_ms, NULL AS override_pagination_mode, o_orderstatus AS override_notes FROM orders",
