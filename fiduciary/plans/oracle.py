@@ -91,6 +91,18 @@ HEALTH_INPUTS = """SELECT plan_id, plan_period, funded_ratio AS funded, change A
       round(100 * (employer_contributions_usd - benefit_payments_usd) / total_usd, 4) AS cash, round(0.06 + funded_ratio / 25, 6) AS gasb, CAST(1995 + n_orders % 25 AS INTEGER) AS mortality FROM funding_changes"""
 
 ORACLES = {
+    "p6_first_numbers": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(text, '[-+]?\d[\d,.]*\d|[-+]?\d') AS ts FROM documents),
+      u AS (SELECT doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS pos FROM t),
+      b AS (SELECT doc_id, pos, token, regexp_replace(token, '^[+-]+', '') AS body FROM u WHERE NOT regexp_full_match(regexp_replace(token, '[.,]', '', 'g'), '(19|20)\d{2}')),
+      c AS (SELECT *, CASE WHEN contains(body, '.') AND contains(body, ',') THEN CASE WHEN strpos(reverse(body), '.') < strpos(reverse(body), ',') THEN replace(body, ',', '') ELSE replace(replace(body, '.', ''), ',', '.') END
+        WHEN contains(body, ',') THEN CASE WHEN regexp_full_match(body, '[^,]*,\d{1,2}') THEN replace(body, ',', '.') ELSE replace(body, ',', '') END
+        WHEN regexp_matches(body, '\..*\.|^[^.]*\.000$') THEN replace(body, '.', '') ELSE body END AS clean FROM b),
+      v AS (SELECT doc_id, pos, CASE WHEN starts_with(token, '-') THEN -TRY_CAST(clean AS DOUBLE) ELSE TRY_CAST(clean AS DOUBLE) END AS v FROM c),
+      n AS (SELECT doc_id, arg_min(v, pos) AS first_number FROM v WHERE v IS NOT NULL GROUP BY doc_id)
+      SELECT t.doc_id, n.first_number, CASE WHEN regexp_matches(lower(text), 'billion|(^|[^a-z])bn\b') THEN 'billion_usd' WHEN regexp_matches(lower(text), 'million|(^|[^a-z])mm\b') THEN 'million_usd' WHEN regexp_matches(lower(text), 'thousand|(^|[^a-z])k\b') THEN 'thousand_usd' ELSE 'usd' END AS scale,
+        list_max(list_concat(list_transform(regexp_extract_all(text, '(?:19|20)\d{2}'), lambda x: CAST(x AS INTEGER)), list_transform(regexp_extract_all(text, '(?:19|20)\d{2}\s*[-/]\s*(?:19|20)?\d{2}'),
+          lambda x: CASE WHEN length(regexp_extract(x, '\d+$')) = 4 THEN CAST(right(x, 4) AS INTEGER) ELSE CAST(substr(x, 1, 4) AS INTEGER) // 100 * 100 + CAST(right(x, 2) AS INTEGER) + CASE WHEN CAST(right(x, 2) AS INTEGER) < CAST(substr(x, 3, 2) AS INTEGER) THEN 100 ELSE 0 END END))) AS year
+      FROM t LEFT JOIN n ON n.doc_id = t.doc_id""",
     "r1_sla_windows": """SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type AS metric, count(*) AS n, min(value) AS min_value, max(value) AS max_value, round(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(*), 6) AS avg_value FROM events GROUP BY 1, 2""",
     "r2_streamed_versions": """SELECT artifact, artifact_seq, status, CAST(sum(CASE WHEN status <> 'unchanged' THEN 1 ELSE 0 END) OVER (PARTITION BY artifact ORDER BY artifact_seq) AS BIGINT) AS version FROM (
       SELECT doc_id % 500 AS artifact, doc_id AS artifact_seq, CASE WHEN row_number() OVER w = 1 THEN 'new' WHEN lag(sha256(text)) OVER w IS NOT DISTINCT FROM sha256(text) THEN 'unchanged' ELSE 'superseding' END AS status FROM documents WHERE doc_id IS NOT NULL WINDOW w AS (PARTITION BY doc_id % 500 ORDER BY doc_id))""",
