@@ -2,7 +2,9 @@ import datetime as dt
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from fiduciary.operators import history
 from fiduciary.sources.store import FactStore, judged
@@ -92,3 +94,52 @@ def test_a_killed_write_leaves_the_version_before(spark, tmp_path, monkeypatch):
     assert shown(store.facts()) == [("a", 1.0, "t1", None, False)] and store.version() == 1
     assert store.put(batch(spark, row("a", 5.0, "t3", "d", 1)), "two", "seq") == 1  # the name was not taken
     assert shown(store.facts()) == [("a", 1.0, "t1", "t3", True), ("a@t3", 5.0, "t3", None, True)]
+
+
+class Counted:
+    """A key's state in memory, which counts the calls into it."""
+
+    def __init__(self):
+        self.calls, self.rows, self.value, self.map, self.timers = 0, [], None, {}, []
+
+    def __getattribute__(self, name):
+        if name in ("getListState", "getValueState", "getMapState"):
+            return lambda *_: self
+        if name in ("appendValue", "get", "put", "clear", "update", "getValue", "updateValue", "registerTimer"):
+            self.calls += 1
+        return object.__getattribute__(self, name)
+
+    appendValue = lambda self, x: self.rows.append(x)
+    clear = lambda self: self.rows.clear()
+    registerTimer = lambda self, at: self.timers.append(at)
+    getValue = lambda self, k: self.map.get(k)
+    updateValue = lambda self, k, v: self.map.update({k: v})
+
+    def get(self):
+        return list(self.rows) if self.rows else self.value
+
+    def put(self, rows):
+        self.rows[:] = rows
+
+    def update(self, value):
+        self.value = value
+
+
+class Values(Counted):
+    def get(self):
+        return self.value
+
+
+def test_waiting_rows_of_a_key_go_in_few_calls(spark):
+    processor = publications.PublicationChanges(None)
+    rows, last = Counted(), Values()
+    processor.forget_ms, processor.handle, processor.waiting, processor.last, processor.given = None, rows, rows, last, last
+    seen = [Row(at=1000 * i, input_seq=i, published=None, fingerprint=f"f{i // 2}") for i in range(2000)]
+    clock = TimerValues(0, 1500)
+    for part in (seen[::2], seen[1::2]):
+        assert list(processor.handleInputRows(("k", "s"), iter(part), clock)) == []
+    given = [x for at in sorted(rows.timers) for x in processor.handleExpiredTimer(("k", "s"), clock, ExpiredTimerInfo(at))]
+    assert [x.published for x in given] == [1000 * i for i in range(0, 1501, 2)]
+    assert rows.calls + last.calls < 20  # one call a row or more before
+    given = list(processor.handleExpiredTimer(("k", "s"), TimerValues(0, 9000), ExpiredTimerInfo(rows.timers[-1])))
+    assert [x.published for x in given] == [1000 * i for i in range(1502, 2000, 2)] and not rows.rows
