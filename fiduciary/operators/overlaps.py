@@ -13,15 +13,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import cut
+from ..functions.shared import cut, written
 
 BLOCK = 256  # plans of a block
 ROWS = 200_000  # positions of a bucket, about
+PAIRS = 1 << 20  # pairs that are added up at a time
 
 
 def dealt(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows (plan_period, plan_id, the columns ``key``, and others) by (plan_period, a, b, bucket), with the plan's number; and the plans."""
     place = F.row_number().over(Window.partitionBy("plan_period").orderBy("plan_id")) - 1
+    rows = written(rows)  # used twice
     plans = cut(rows.groupBy("plan_period", "plan_id").agg(F.count(F.lit(1)).alias("n")).withColumn("number", place))
     blocks = plans.groupBy("plan_period").agg((F.max("number") / BLOCK).cast("int").alias("last"), (F.sum("n") / ROWS).cast("int").alias("buckets"))
     numbered = rows.join(plans.select("plan_period", "plan_id", "number"), ["plan_period", "plan_id"]).join(F.broadcast(blocks), "plan_period")  # a row a period
@@ -40,20 +42,20 @@ def per_pair(rows: DataFrame, plans: DataFrame, measures: dict[str, Column], val
         order = np.lexsort((group["number"].to_numpy(), group["position"].to_numpy()))
         position, number = group["position"].to_numpy()[order], group["number"].to_numpy()[order]
         data = {n: group[n].to_numpy(zero_copy_only=False)[order] for n in names}
-        total = None
-        for s, e in zip(*(lambda x: (x[:-1], x[1:]))(np.flatnonzero(np.r_[True, position[1:] != position[:-1], True])), strict=True):
-            here = np.arange(s, e)
-            left, right = here[number[s:e] // BLOCK == a], here[number[s:e] // BLOCK == b]
-            if not len(left) or not len(right):
-                continue
-            got = values({n: x[left][:, None] for n, x in data.items()}, {n: x[right][None, :] for n, x in data.items()})
-            if total is None:
-                total = {n: np.zeros((BLOCK, BLOCK)) for n in got}
-            at = np.ix_(number[left] - a * BLOCK, number[right] - b * BLOCK)
-            for n, x in got.items():
-                total[n][at] += x
-        if total is None:
-            return pa.table({c: pa.array([], t) for c, t in kinds.items()})
+        left, right = np.flatnonzero(number // BLOCK == a), np.flatnonzero(number // BLOCK == b)
+        begin, end = (np.searchsorted(position[right], position[left], side) for side in ("left", "right"))
+        if a == b:
+            begin = np.arange(1, len(left) + 1)  # of two plans the first one is left
+        n = end - begin
+        total, cuts = None, np.searchsorted(np.cumsum(n), np.arange(PAIRS, max(n.sum(), 1) + PAIRS, PAIRS)) + 1
+        for s, e in zip(np.r_[0, cuts[:-1]], cuts, strict=True):
+            many = n[s:e]
+            x = np.repeat(left[s:e], many)
+            y = right[np.arange(len(x)) + np.repeat(begin[s:e] - (np.cumsum(many) - many), many)]
+            got = values({k: v[x] for k, v in data.items()}, {k: v[y] for k, v in data.items()})
+            at = (number[x] - a * BLOCK) * BLOCK + number[y] - b * BLOCK
+            sums = {k: np.bincount(at, v, BLOCK * BLOCK).astype(float).reshape(BLOCK, BLOCK) for k, v in got.items()}
+            total = sums if total is None else {k: total[k] + v for k, v in sums.items()}
         i, j = np.nonzero(np.any([x != 0 for x in total.values()], axis=0))
         keep = i + a * BLOCK < j + b * BLOCK
         i, j = i[keep], j[keep]
@@ -61,7 +63,6 @@ def per_pair(rows: DataFrame, plans: DataFrame, measures: dict[str, Column], val
         return pa.table({**out, **{n: pa.array(x[i, j]) for n, x in total.items()}})
 
     made = list(values({n: np.zeros((1, 1)) for n in names}, {n: np.zeros((1, 1)) for n in names}))
-    kinds = {"plan_period": pa.string(), "left": pa.int32(), "right": pa.int32(), **{n: pa.float64() for n in made}}
     sums = inner.groupBy("plan_period", "a", "b", "bucket").applyInArrow(meet, f"plan_period string, left int, right int, {', '.join(f'{n} double' for n in made)}")
     sums = sums.groupBy("plan_period", "left", "right").agg(*[F.sum(n).alias(n) for n in made])
     for side in ("left", "right"):

@@ -79,3 +79,11 @@ def test_manifests(spark, tmp_path):
             manifests.manifest_entries(spark, str(tmp_path / "w.json"))
     path = manifests.write_components(spark.createDataFrame([("c1", 1), ("c2", 2)], "component_name string, x int"), str(tmp_path / "out"))
     assert sorted((r.component, r.component_name, r.x) for r in manifests.component_datasets(spark, path, "component_name string, x int").collect()) == [("c1", "c1", 1), ("c2", "c2", 2)]
+
+
+def test_overlaps_are_added_up_in_parts(spark, monkeypatch):
+    weights = spark.sql("SELECT '2020' AS plan_period, concat('p', p.id) AS plan_id, concat('s', s.id) AS security_id, CAST((p.id * 7 + s.id * 3) % 11 AS double) AS weight FROM range(12) p, range(40) s WHERE (p.id + s.id) % 5 > 0")
+    whole = sorted(map(tuple, overlaps.security_overlaps(weights).collect()))
+    assert len(whole) == 66
+    monkeypatch.setattr(overlaps, "PAIRS", 7)  # bounds the pairs that a task holds
+    assert sorted(map(tuple, overlaps.security_overlaps(weights).collect())) == whole
