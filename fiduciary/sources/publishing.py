@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from ..operators import quality, readiness
 from .scans import write_artifacts
 
@@ -27,10 +28,10 @@ def publish(path: str, records: DataFrame, anomalies: Callable[[], DataFrame]) -
     Anomalies don't block: where they can't be found or written the rest is
     published, their tables are empty, and the state says degraded and why.
     """
-    spark = records.sparkSession
+    spark, records = records.sparkSession, written(records)  # goes into four files
     write_artifacts({"readiness_rows": readiness_rows(records), "readiness_summary": readiness.readiness_summary(records)}, path)
     try:
-        found = anomalies()
+        found = written(anomalies())  # goes into four files
         write_artifacts({"anomaly_rows": found, "review_queue_rows": quality.review_queue(found)}, path)
         state = ("ok", "")
     except Exception as error:  # any fault of theirs degrades the set
