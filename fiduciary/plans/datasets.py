@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_folder
+from ..functions.shared import shared_folder, written
 from ..operators import components
 from ..sources import manifests
 from . import domain as D
@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def schema_rows(s: SparkSession, d: str) -> DataFrame:
     doc = F.concat_ws("/", "plan_id", "plan_period").alias("document_id")
-    o, p = D.plan_orders(s, d), D.manager_fund_positions(s, d)
+    o, p = D.plan_orders(s, d), written(D.manager_fund_positions(s, d))  # three tables are made of p
     year = F.substring("plan_period", 3, 4)
     family = F.when(F.col("o_orderpriority") == "1-URGENT", "fee").when(F.col("o_orderpriority") == "2-HIGH", "allocation").otherwise("funded")
     refs = F.array(F.concat(F.lit(" p."), F.substring("o_orderpriority", 1, 1)), F.lit(""))

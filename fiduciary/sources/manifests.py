@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
+
 MOST = 1000  # components of a manifest
 
 
@@ -42,7 +44,7 @@ def component_datasets(spark: SparkSession, path: str, schema: str, lines: bool
 
 def write_components(datasets: DataFrame, path: str, name: str = "component_name") -> str:
     """Datasets as folders of JSON lines, one a component, and a manifest beside them; returns the manifest's path."""
-    spark = datasets.sparkSession
+    spark, datasets = datasets.sparkSession, written(datasets)  # for the names and for the folders
     names = [r[0] for r in datasets.select(name).distinct().take(MOST + 1)]
     if len(names) > MOST:
         raise ValueError(f"more than {MOST} components")
