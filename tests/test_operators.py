@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from fiduciary.functions import scalars as S
 from fiduciary.operators import disclosures, funding, history, holdings, integrity, lineage, metrics, quality, readiness, records, statements, stress
+from fiduciary.plans import domain as D
 
 
 def values(df, *cols):
@@ -212,3 +214,9 @@ def test_alias_scores_compare_equal_names_once(spark):
     own = spark.createDataFrame([(1, 7, "blue ring"), (1, 7, "blue ring co"), (1, 8, "blue bolt"), (2, 9, "x")], "case_id long, entity_id long, candidate string")
     found = records.alias_scores(spark.createDataFrame([(1, "ring blue"), (2, None), (3, "y")], "case_id long, alias string"), own)
     assert sorted(map(tuple, found.collect())) == [(1, "matched", 7, 0.99, 0.333333), (2, "no_match", None, 0.0, 0.0), (3, "no_match", None, 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("view", [D.manager_fund_positions, D.security_positions])
+def test_positions_are_hashed_not_sorted(spark, view):
+    plan = view(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
