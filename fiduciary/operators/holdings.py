@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +23,9 @@ def position_weights(positions: DataFrame) -> DataFrame:
     """Share of every security in the disclosed, positive market value of its plan and period."""
     value = finite(F.col("market_value_usd"))
     held = positions.where((F.col("disclosure_state") == "disclosed") & (value > 0)).groupBy(*PLAN, "security_id").agg(F.sum(value.cast("decimal(28,4)")).alias("mv"))
-    total = F.sum("mv").over(Window.partitionBy(*PLAN)).cast("double")
-    return held.select(*PLAN, "security_id", (F.col("mv").cast("double") / total).alias("weight"))
+    total = held.groupBy(*[F.col(c).alias(f"_{c}") for c in PLAN]).agg(F.sum("mv").cast("double").alias("_total"))  # a row for each plan and period, so no sort of all rows
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PLAN])
+    return held.join(F.broadcast(total), same).select(*PLAN, "security_id", (F.col("mv").cast("double") / F.col("_total")).alias("weight"))
 
 
 def concentration(weights: DataFrame, top: int = 10) -> DataFrame:

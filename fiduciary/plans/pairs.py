@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cycles, holdings, lifecycles, overlaps
+from ..operators import cycles, lifecycles, overlaps
 from . import domain as D
+from . import registry
 from .oracle import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +46,7 @@ def lifecycle_rows(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "w11_lifecycle_events": lifecycle_rows,
     "j4_disclosure_overlaps": lambda s, d: overlaps.disclosure_overlaps(D.manager_fund_positions(s, d)),
-    "j6_all_overlaps": lambda s, d: overlaps.security_overlaps(holdings.position_weights(D.security_positions(s, d))),
+    "j6_all_overlaps": lambda s, d: overlaps.security_overlaps(registry.weights(s, d)),
     "b13_cycle_components": lambda s, d: cycles.cycle_components(user_links(s, d)),
 }
 

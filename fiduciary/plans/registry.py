@@ -51,7 +51,8 @@ def health_inputs(s: SparkSession, d: str) -> DataFrame:
 
 
 def weights(s: SparkSession, d: str) -> DataFrame:
-    return holdings.position_weights(D.security_positions(s, d))
+    n = D.line_count(s, d)
+    return holdings.position_weights(D.dealt(D.security_positions(s, d, n), n, "plan_id", "plan_period", "security_id"))
 
 
 def factor_tilts(s: SparkSession, d: str) -> DataFrame:

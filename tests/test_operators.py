@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from fiduciary.functions import scalars as S
 from fiduciary.operators import disclosures, funding, history, holdings, integrity, lineage, metrics, quality, readiness, records, statements, stress
 from fiduciary.plans import domain as D
+from fiduciary.plans import registry
 
 
 def values(df, *cols):
@@ -220,3 +221,19 @@ def test_alias_scores_compare_equal_names_once(spark):
 def test_positions_are_hashed_not_sorted(spark, view):
     plan = view(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("view", [D.manager_fund_positions, D.security_positions, registry.weights])
+def test_many_lines_of_holdings_go_to_more_tasks(spark, monkeypatch, view):
+    few = view(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(D, "LINES", 300, raising=False)
+    many = view(spark, "/root/testdata/sf0.001")
+    assert many.rdd.getNumPartitions() > 4 >= few.rdd.getNumPartitions()
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_weights_of_unknown_plans_stay_and_no_plan_is_sorted(spark):
+    rows = spark.createDataFrame([(None, "1", "a", 3.0), (None, "1", "b", 1.0), ("P", None, "a", 2.0), ("P", "1", "a", 5.0)], "plan_id string, plan_period string, security_id string, market_value_usd double").withColumn("disclosure_state", F.lit("disclosed"))
+    weights = holdings.position_weights(rows)
+    assert "Sort" not in weights._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(values(weights, "plan_id", "plan_period", "security_id", "weight"), key=str) == [("P", "1", "a", 1.0), ("P", None, "a", 1.0), (None, "1", "a", 0.75), (None, "1", "b", 0.25)]
