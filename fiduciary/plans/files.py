@@ -18,6 +18,8 @@ from .oracle import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+FILED = 100_000  # positions in one XML file at most: Spark reads such a file in one task
+
 
 def folder(s: SparkSession) -> str:
     return f"{shared_folder(s)}/files-{uuid.uuid4()}"
@@ -64,7 +66,7 @@ def information(s: SparkSession, d: str) -> DataFrame:
     path = folder(s)
     k = F.col("p_partkey")
     rows = D.table(s, d, "part").select(as_text(" ", F.col("p_name"), " & co").alias("nameOfIssuer"), as_text("c", k).alias("cusip"), F.floor("p_retailprice").alias("value"), F.struct(F.col("p_size").alias("sshPrnamt")).alias("shrsOrPrnAmt"))
-    rows.write.format("xml").option("rowTag", "infoTable").option("rootTag", "informationTable").save(path)
+    rows.write.format("xml").option("rowTag", "infoTable").option("rootTag", "informationTable").option("maxRecordsPerFile", FILED).save(path)
     return scans.information_table(s, path)
 
 

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from fiduciary.operators import sourcemap
+from fiduciary.plans import files
 from fiduciary.sources import scans
 from fiduciary.streaming import jobs
 
@@ -81,3 +82,11 @@ def test_artifacts_and_tags(spark, tmp_path):
     lines = next((tmp_path / "out" / "telemetry.json").glob("part*")).read_text().splitlines()
     assert [json.loads(x) for x in lines] == [{"metric": "m", "value": 1.0, "run_id": "r", "stage": None}, {"metric": "n", "value": None, "run_id": None, "stage": None}]
     assert spark.read.csv(str(tmp_path / "out" / "telemetry.csv"), header=True).count() == 2
+
+
+def test_information_table_is_written_as_files_of_bounded_length(spark, monkeypatch):
+    one = files.information(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(files, "FILED", 50, raising=False)
+    many = files.information(spark, "/root/testdata/sf0.001")
+    assert len(many.inputFiles()) == -(-one.count() // 50) > len(one.inputFiles())
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
