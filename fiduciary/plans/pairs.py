@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from ..operators import cycles, lifecycles, overlaps
 from . import domain as D
 from . import registry
@@ -39,7 +40,7 @@ def signals(s: SparkSession, d: str) -> DataFrame:
 
 
 def lifecycle_rows(s: SparkSession, d: str) -> DataFrame:
-    events = lifecycles.lifecycle_events(lifecycle_positions(s, d), signals(s, d))
+    events = lifecycles.lifecycle_events(written(lifecycle_positions(s, d)), signals(s, d))  # periods and events are made of them
     return events.withColumn("evidence_refs", F.array_join("evidence_refs", "|"))
 
 

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from fiduciary.operators import components, lifecycles, overlaps
+from fiduciary.plans import pairs
 from fiduciary.sources import manifests
 
 
@@ -87,3 +88,8 @@ def test_overlaps_are_added_up_in_parts(spark, monkeypatch):
     assert len(whole) == 66
     monkeypatch.setattr(overlaps, "PAIRS", 7)  # bounds the pairs that a task holds
     assert sorted(map(tuple, overlaps.security_overlaps(weights).collect())) == whole
+
+
+def test_lifecycle_events_make_positions_once(spark):
+    plan = pairs.lifecycle_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet [l_") == 1  # that of the signals
