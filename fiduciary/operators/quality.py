@@ -175,17 +175,21 @@ def alias_routing(sources: DataFrame, candidates: DataFrame, link: float = 0.92,
     return rows.select("source_name", F.when(clear, F.col("stable_id")).alias("stable_id"), F.col("confidence"), decision.alias("decision"), reason.alias("reason"))
 
 
-def lifecycle(positions: DataFrame) -> DataFrame:
-    """Managers and funds that a plan entered, kept or left, by presence in consecutive years."""
+def lifecycle(positions: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Managers and funds that a plan entered, kept or left, by presence in consecutive years.
+
+    With ``tasks`` names are dealt to that many tasks, once for all steps, instead of the session's number of partitions.
+    """
     year = period_year(F.col("plan_period"))
-    held = positions.select("plan_id", year.alias("year"), entity_token(F.col("manager_name")).alias("manager"), entity_token(F.col("fund_name")).alias("fund")).distinct()
+    named = positions.select("plan_id", year.alias("year"), entity_token(F.col("manager_name")).alias("manager"), entity_token(F.col("fund_name")).alias("fund"))
+    held = (named.repartition(tasks, "plan_id", "manager", "fund") if tasks else named).distinct()
     in_order = Window.partitionBy("plan_id", "manager", "fund").orderBy("year")
     runs = held.withColumns({"_previous": F.lag("year").over(in_order), "_next": F.lead("year").over(in_order)})
     span = held.groupBy("plan_id").agg(F.min("year").alias("_first"), F.max("year").alias("_last"))
     here = F.when(F.col("_previous") == F.col("year") - 1, "still_invested").otherwise("entered")
     left = F.when((F.coalesce("_next", F.lit(-1)) != F.col("year") + 1) & (F.col("year") < F.col("_last")), F.col("year") + 1)
     states = F.array(F.struct(F.when(F.col("year") > F.col("_first"), F.col("year")).alias("year"), here.alias("state")), F.struct(left.alias("year"), F.lit("exited").alias("state")))
-    rows = runs.join(span, "plan_id").select("plan_id", "manager", "fund", F.explode(F.filter(states, lambda x: x["year"].isNotNull())).alias("_s"))
+    rows = runs.join(F.broadcast(span), "plan_id").select("plan_id", "manager", "fund", F.explode(F.filter(states, lambda x: x["year"].isNotNull())).alias("_s"))
     return rows.select("plan_id", "_s.year", "manager", "fund", "_s.state")
 
 

@@ -215,7 +215,7 @@ QUERIES: dict[str, Query] = {
     "w6_trend_change": lambda s, d: funding.trend_change(D.plan_funding(s, d)),
     "w7_publication_events": publications,
     "w9_cadence_profiles": lambda s, d: history.cadence_profiles(publications(s, d)),
-    "w11_lifecycle": lambda s, d: quality.lifecycle(D.manager_fund_positions(s, d)),
+    "w11_lifecycle": lambda s, d: quality.lifecycle(D.manager_fund_positions(s, d), D.tasks(s, D.line_count(s, d))),
     "w14_ambiguous_names": ambiguous_names,
     "j3_allocation_peers": lambda s, d: funding.allocation_peers(D.plan_allocation(s, d)),
     "j4_holdings_overlap": lambda s, d: holdings.holdings_overlap(D.manager_fund_positions(s, d), "NATION_0", "FY1998"),

@@ -237,3 +237,22 @@ def test_weights_of_unknown_plans_stay_and_no_plan_is_sorted(spark):
     weights = holdings.position_weights(rows)
     assert "Sort" not in weights._jdf.queryExecution().sparkPlan().toString()
     assert sorted(values(weights, "plan_id", "plan_period", "security_id", "weight"), key=str) == [("P", "1", "a", 1.0), ("P", None, "a", 1.0), (None, "1", "a", 0.75), (None, "1", "b", 0.25)]
+
+
+def test_lifecycles_of_many_names_go_to_more_tasks(spark, monkeypatch):
+    few = registry.QUERIES["w11_lifecycle"](spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(D, "LINES", 300)
+    many = registry.QUERIES["w11_lifecycle"](spark, "/root/testdata/sf0.001")
+    assert many.rdd.getNumPartitions() > 4
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+@pytest.mark.parametrize(("lines", "join"), [(100, "SortMergeJoin"), (250, "BroadcastHashJoin")])
+def test_many_orders_are_dealt_and_many_customers_not_broadcast(spark, monkeypatch, lines, join):
+    few = D.plan_orders(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(D, "LINES", lines)
+    many = D.plan_orders(spark, "/root/testdata/sf0.001")
+    plan = many._jdf.queryExecution().sparkPlan().toString()
+    assert join in [x for line in plan.splitlines() if "c_custkey" in line for x in ("SortMergeJoin", "BroadcastHashJoin") if x in line]
+    assert (many.rdd.getNumPartitions() > 4) == (join == "SortMergeJoin")
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
