@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..operators import metrics, stress
 from . import domain as D
 from .oracle import sql
@@ -89,8 +90,11 @@ def fees(s: SparkSession, d: str) -> DataFrame:
 
 def asset_coverage(s: SparkSession, d: str) -> DataFrame:
     plans = D.plan_funding(s, d).select("plan_id", "plan_period", (F.col("total_usd") * 0.8).alias("total_assets_usd"))
-    reported = D.plan_allocation(s, d).where("asset_class <> 'SMALL'").join(plans, ["plan_id", "plan_period"]).select("plan_id", "plan_period", "asset_class", (F.col("allocation_pct") * F.col("total_assets_usd")).alias("market_value_usd"))
-    return stress.coverage_of_assets(D.security_positions(s, d), plans, reported)
+    value = F.col("market_value_usd").cast("decimal(28,4)")
+    held = cut(D.security_positions(s, d, exact=True).groupBy("plan_id", "plan_period", "asset_class", "disclosure_state").agg(F.sum(value).alias("market_value_usd"), F.sum("net").alias("net")))  # the lines are read once for both sides
+    shares = held.groupBy("plan_id", "plan_period", "asset_class").agg(F.sum("net").alias("net")).select("plan_id", "plan_period", "asset_class", D.class_share().alias("allocation_pct"))
+    reported = shares.where("asset_class <> 'SMALL'").join(plans, ["plan_id", "plan_period"]).select("plan_id", "plan_period", "asset_class", (F.col("allocation_pct") * F.col("total_assets_usd")).alias("market_value_usd"))
+    return stress.coverage_of_assets(held, plans, reported)
 
 
 def contribution_totals(s: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from fiduciary.functions import scalars as S
 from fiduciary.operators import disclosures, funding, history, holdings, integrity, lineage, metrics, quality, readiness, records, statements, stress
 from fiduciary.plans import domain as D
-from fiduciary.plans import registry
+from fiduciary.plans import analysis, registry
 
 
 def values(df, *cols):
@@ -256,3 +256,9 @@ def test_many_orders_are_dealt_and_many_customers_not_broadcast(spark, monkeypat
     assert join in [x for line in plan.splitlines() if "c_custkey" in line for x in ("SortMergeJoin", "BroadcastHashJoin") if x in line]
     assert (many.rdd.getNumPartitions() > 4) == (join == "SortMergeJoin")
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_coverage_of_assets_reads_the_lines_once(spark, monkeypatch):
+    calls, lines = [], D.position_lines
+    monkeypatch.setattr(D, "position_lines", lambda *a, **k: calls.append(a) or lines(*a, **k))
+    assert analysis.asset_coverage(spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
