@@ -183,22 +183,25 @@ def peer_allocations(peers: DataFrame) -> DataFrame:
     return peers.select(F.col("ppd_id").alias("plan_id"), F.col("fy").cast("string").alias("plan_period"), "peer_group", F.explode("allocations").alias("asset_class", "allocation_pct"))
 
 
-def component_status(metrics: DataFrame, relations: DataFrame, warnings: DataFrame, documents: DataFrame) -> DataFrame:
+def component_status(metrics: DataFrame, relations: DataFrame, warnings: DataFrame, documents: DataFrame, tasks: int | None = None) -> DataFrame:
     """Status and count of every schema component of every document (document_id).
 
     Metrics have metric_family, relations manager_name and fund_name; all have
     ref. Each table is counted by document before the join, so no grid of rows
-    and components is made.
+    and components is made. With ``tasks`` the names of managers are dealt to
+    that many tasks instead of the session's number of partitions.
     """
     by, none = "document_id", F.lit(None).cast("string")
-    facts = metrics.select(by, F.lit("m").alias("_k"), "metric_family", none.alias("manager_name"), none.alias("fund_name"), "ref")
-    held = relations.select(by, F.lit("r").alias("_k"), none.alias("metric_family"), "manager_name", "fund_name", "ref")
-    told = warnings.select(by, F.lit("w").alias("_k"), none.alias("metric_family"), none.alias("manager_name"), none.alias("fund_name"), "ref")
+    facts = metrics.select(by, F.lit("m").alias("_k"), "metric_family", none.alias("fund_name"), "ref")
+    held = relations.select(by, F.lit("r").alias("_k"), none.alias("metric_family"), "fund_name", "ref")
+    told = warnings.select(by, F.lit("w").alias("_k"), none.alias("metric_family"), none.alias("fund_name"), "ref")
     family = lambda *names: F.count_if(F.col("metric_family").isin(*names))
     counts = facts.union(held).union(told).groupBy(by).agg(
-        F.count(F.lit(1)).alias("_all"), F.count_if(F.col("_k") == "m").alias("_m"), F.count_if(F.col("_k") == "r").alias("_r"), F.count_distinct(filled(F.col("ref"))).alias("_refs"), F.count_distinct(filled(F.col("manager_name"))).alias("_managers"),
+        F.count(F.lit(1)).alias("_all"), F.count_if(F.col("_k") == "m").alias("_m"), F.count_if(F.col("_k") == "r").alias("_r"), F.count_distinct(filled(F.col("ref"))).alias("_refs"),
         F.count_distinct(filled(F.col("fund_name"))).alias("_funds"), family("performance").alias("_perf"), family("fee").alias("_fee"), family("risk").alias("_risk"), family("consultant", "governance").alias("_gov"),
     )
+    named = relations.select(by, filled(F.col("manager_name")).alias("_manager"))  # blank ones stay until they are counted, so Spark deals the positions once for both counts
+    managers = (named.repartition(tasks, by, "_manager") if tasks else named).distinct().groupBy(by).agg(F.count("_manager").alias("_managers"))
     one = lambda c: F.least(F.coalesce(F.col(c), F.lit(0)), F.lit(1))
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     rules = {**{c: ("present", n(x)) for c, x in {"metric_observation": "_m", "evidence_reference": "_refs", "investment_exposure": "_r", "manager_entity": "_managers", "fund_vehicle_entity": "_funds", "plan_manager_fund_position": "_r", "fee_observation": "_fee", "risk_exposure_observation": "_risk"}.items()},
@@ -207,7 +210,7 @@ def component_status(metrics: DataFrame, relations: DataFrame, warnings: DataFra
     status = {c: F.when(k > 0, s).otherwise("not_disclosed") for c, (s, k) in rules.items()}
     status["performance_observation"] = F.when(n("_perf") > 0, "present").when(n("_m") > 0, "partial").otherwise("not_disclosed")
     rows = [F.struct(F.lit(c).alias("component_name"), status[c].alias("status"), (rules[c][1] if c in rules else n("_perf")).cast("long").alias("row_count")) for c in COMPONENTS]
-    out = documents.select(by).distinct().join(counts, by, "left").select(by, n("_refs").alias("n_refs"), F.inline(F.array(*rows)))
+    out = documents.select(by).distinct().join(counts, by, "left").join(managers, by, "left").select(by, n("_refs").alias("n_refs"), F.inline(F.array(*rows)))
     shown = F.col("status") != "not_disclosed"
     return out.withColumns({"confidence": F.when(F.col("status") == "present", 1.0).when(F.col("status") == "partial", 0.5), "n_refs": F.when(shown, F.col("n_refs")).otherwise(0).cast("long")})
 

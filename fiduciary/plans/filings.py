@@ -167,7 +167,7 @@ def component_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def components(s: SparkSession, d: str) -> DataFrame:
-    return staging.component_status(*component_inputs(s, d))
+    return staging.component_status(*component_inputs(s, d), tasks=D.tasks(s, D.line_count(s, d)))
 
 
 def wrong_components(s: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fiduciary.functions import scalars as S
-from fiduciary.operators import disclosures, funding, history, holdings, integrity, lineage, metrics, quality, readiness, records, statements, stress
+from fiduciary.operators import disclosures, funding, history, holdings, integrity, lineage, metrics, quality, readiness, records, staging, statements, stress
 from fiduciary.plans import domain as D
-from fiduciary.plans import analysis, registry
+from fiduciary.plans import analysis, filings, registry
 
 
 def values(df, *cols):
@@ -262,3 +262,22 @@ def test_coverage_of_assets_reads_the_lines_once(spark, monkeypatch):
     calls, lines = [], D.position_lines
     monkeypatch.setattr(D, "position_lines", lambda *a, **k: calls.append(a) or lines(*a, **k))
     assert analysis.asset_coverage(spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
+
+
+def test_managers_of_many_lines_are_counted_in_more_tasks(spark, monkeypatch):
+    few = filings.components(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(D, "LINES", 300)
+    many = filings.components(spark, "/root/testdata/sf0.001")
+    dealt = lambda df: [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line and "_manager#" in line]
+    assert len(dealt(many)) == 1 and not dealt(few)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_blank_managers_are_not_counted_and_equal_names_once(spark):
+    none = spark.createDataFrame([], "document_id string, metric_family string, ref string")
+    relations = spark.createDataFrame([("d", " m ", "f"), ("d", "m", "g"), ("d", "n", None), ("d", " ", "f"), ("d", None, "f"), (None, "x", "f"), ("b", "", "f")], "document_id string, manager_name string, fund_name string").withColumn("ref", F.lit("p.1"))
+    documents = spark.createDataFrame([("d",), ("b",), ("empty",)], "document_id string")
+    for tasks in (None, 3):
+        rows = {(r.document_id, r.component_name): (r.status, r.row_count) for r in staging.component_status(none, relations, none.select("document_id", "ref"), documents, tasks).collect()}
+        assert [rows[x, "manager_entity"] for x in ("d", "b", "empty")] == [("present", 2), ("not_disclosed", 0), ("not_disclosed", 0)]
+        assert [rows[x, "investment_exposure"][1] for x in ("d", "b", "empty")] == [5, 1, 0] and rows["d", "fund_vehicle_entity"][1] == 2
