@@ -5,6 +5,7 @@ from fiduciary.functions import scalars as S
 from fiduciary.operators import disclosures, funding, history, holdings, integrity, lineage, metrics, quality, readiness, records, staging, statements, stress
 from fiduciary.plans import domain as D
 from fiduciary.plans import analysis, filings, registry
+from fiduciary.plans import statements as plan_statements
 
 
 def values(df, *cols):
@@ -281,3 +282,13 @@ def test_blank_managers_are_not_counted_and_equal_names_once(spark):
         rows = {(r.document_id, r.component_name): (r.status, r.row_count) for r in staging.component_status(none, relations, none.select("document_id", "ref"), documents, tasks).collect()}
         assert [rows[x, "manager_entity"] for x in ("d", "b", "empty")] == [("present", 2), ("not_disclosed", 0), ("not_disclosed", 0)]
         assert [rows[x, "investment_exposure"][1] for x in ("d", "b", "empty")] == [5, 1, 0] and rows["d", "fund_vehicle_entity"][1] == 2
+
+
+@pytest.mark.parametrize("query", [lambda s, d: plan_statements.history(s, d)], ids=["b6_metric_history"])
+def test_queries_over_dealt_positions_give_the_same_rows(spark, monkeypatch, query):
+    few = query(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(D, "LINES", 300)
+    many = query(spark, "/root/testdata/sf0.001")
+    dealt = [line for line in many._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line and all(c in line for c in ("plan_id#", "plan_period#", "s_name#", "p_brand#"))]
+    assert dealt and all(line.endswith(", 20") for line in dealt)  # 6,000 lines
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
