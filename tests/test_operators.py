@@ -284,7 +284,7 @@ def test_blank_managers_are_not_counted_and_equal_names_once(spark):
         assert [rows[x, "investment_exposure"][1] for x in ("d", "b", "empty")] == [5, 1, 0] and rows["d", "fund_vehicle_entity"][1] == 2
 
 
-@pytest.mark.parametrize("query", [lambda s, d: plan_statements.history(s, d), lambda s, d: analysis.fees(s, d)], ids=["b6_metric_history", "a21_fee_effectiveness"])
+@pytest.mark.parametrize("query", [lambda s, d: plan_statements.history(s, d), lambda s, d: analysis.fees(s, d), lambda s, d: filings.staged(s, d)], ids=["b6_metric_history", "a21_fee_effectiveness", "e11_staged_facts"])
 def test_queries_over_dealt_positions_give_the_same_rows(spark, monkeypatch, query):
     few = query(spark, "/root/testdata/sf0.001")
     monkeypatch.setattr(D, "LINES", 300)
