@@ -15,6 +15,7 @@ from .oracle import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+BLOCK_ROWS = 20_000  # observations of a block of publication_stream, about
 STAGED = "fact_id string, plan_id string, metric_name string, normalized_value double, asserted_at string, source_document_id string, superseded_at string, restated boolean"
 
 
@@ -37,12 +38,15 @@ def arrivals(rows: DataFrame) -> list[DataFrame]:
 
 
 def publication_stream(s: SparkSession, d: str) -> DataFrame:
+    rows = observations(s, d)
+    blocks = max(64, rows.count() // BLOCK_ROWS)
+
     def run(stream: DataFrame, folder: str):
-        changes = publications.publication_changes(stream, late="30 days")
+        changes = publications.publication_changes(stream, late="30 days", blocks=blocks)
         return changes.writeStream.outputMode("append").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
 
     with publications.rocks(s):
-        folder = jobs.replay(arrivals(observations(s, d)), run)
+        folder = jobs.replay(arrivals(rows), run)
     rows = s.read.schema("system_id string, source_id string, published_at timestamp, batch int").parquet(f"{folder}/out")
     return rows.select(F.col("system_id").cast("long").alias("system_id"), "source_id", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
 

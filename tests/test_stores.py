@@ -1,12 +1,16 @@
 import datetime as dt
+import random
 from datetime import timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from fiduciary.operators import history
+from fiduciary.plans import stores
 from fiduciary.sources.store import FactStore, judged
 from fiduciary.streaming import jobs, publications
 
@@ -143,3 +147,73 @@ def test_waiting_rows_of_a_key_go_in_few_calls(spark):
     assert rows.calls + last.calls < 20  # one call a row or more before
     given = list(processor.handleExpiredTimer(("k", "s"), TimerValues(0, 9000), ExpiredTimerInfo(rows.timers[-1])))
     assert [x.published for x in given] == [1000 * i for i in range(1502, 2000, 2)] and not rows.rows
+
+
+def many(n, keys, seed):
+    """Observations of several keys, some of equal time, with explicit times of other months, null fingerprints and nulls for keys."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        key = rng.randrange(keys)
+        rows.append((key % 7 if key else None, f"s{key}", day(rng.randrange(120) / 4), i, day(rng.choice([-200, 1, 2, 40])) if rng.random() < 0.2 else None, None if rng.random() < 0.1 else f"f{rng.randrange(3)}"))
+    return sorted(rows, key=lambda r: r[2])
+
+
+def test_blocks_of_keys_give_what_the_whole_table_gives(spark):
+    rows = many(600, 40, 1)
+    parts = [[r for r in rows if at == min(2, int((r[2] - day(0)).days + r[3] % 5) // 10)] for at in range(3)]  # up to four days after their time
+    assert any(r[2] < day(10) for r in parts[1]) and any(r[2] < day(20) for r in parts[2])
+    parts = [parts[0] + parts[0][::3], parts[1] + parts[0][::2], [*parts[2], *parts[1][::2], *parts[0][:30], (9, "end", day(90), 9999, None, None)]]
+    whole = history.publication_events(spark.createDataFrame(rows, SEEN)).collect()
+    expected = sorted((r.system_id or 0, r.source_id, r.published_at) for r in whole)
+    for blocks in (1, 6):
+        found = streamed(spark, parts, blocks=blocks)
+        assert sorted((int(s or 0), x, at) for s, x, at in found) == expected
+
+
+def test_blocks_forget_silent_keys(spark):
+    parts = [[(1, "a", day(0), 1, None, "x"), (1, "b", day(8), 2, None, "x"), (7, "end", day(9), 3, None, None)], [(7, "end", day(30), 4, None, None)], [(1, "a", day(31), 5, None, "x"), (1, "b", day(31), 6, None, "x"), (7, "end", day(99), 7, None, None)]]
+    assert streamed(spark, parts, blocks=1) == [("1", "a", day(0)), ("1", "b", day(8))]
+    assert streamed(spark, parts, blocks=1, forget=timedelta(days=20)) == [("1", "a", day(0)), ("1", "a", day(31)), ("1", "b", day(8))]
+
+
+class Bytes(Counted):
+    """The state of a block, of one kind each, with the calls counted."""
+
+    def __init__(self, single=False):
+        super().__init__()
+        self.single = single
+
+    def get(self):
+        return self.value if self.single else list(self.rows)
+
+
+def test_a_block_of_many_keys_goes_in_few_calls():
+    processor, waiting, last, given = publications.PublicationBlocks(None), Bytes(), Bytes(single=True), Bytes()
+    processor.handle, processor.waiting, processor.last, processor.given = waiting, waiting, last, given
+    seen = pa.table({"block": [3] * 8000, "system_id": [f"k{i % 2000}" for i in range(8000)], "source_id": ["s"] * 8000, "at": [1000 * i for i in range(8000)], "input_seq": range(8000), "published": pa.nulls(8000, pa.int64()), "fingerprint": [f"f{i // 4000}" for i in range(8000)]})
+    given_out = []
+    for part, passed in ((seen[:5000], 4000), (seen[5000:], 9000), (seen[:100], 9000)):  # the last ones come too late
+        rows = [Row(rows=x.as_py()) for batch in publications.pack(iter(part.to_batches(max_chunksize=700))) for x in batch["rows"]]
+        assert len(rows) == 1
+        list(processor.handleInputRows((3,), iter(rows), TimerValues(0, passed)))
+        due = [at for at in sorted(set(waiting.timers)) if at <= passed]
+        waiting.timers[:] = [at for at in waiting.timers if at > passed]
+        out = [x for at in due for x in processor.handleExpiredTimer((3,), TimerValues(0, passed), ExpiredTimerInfo(at))]
+        lists = [r for batch in publications.unpack(iter([pa.record_batch({"rows": [x.rows for x in out]})])) for r in batch.to_pylist()] if out else []
+        given_out += [(r["system_id"], at) for r in lists for at in r["published"]]
+    assert sorted(given_out) == sorted((f"k{i % 2000}", 1000 * i) for i in [*range(2000), *range(4000, 6000)])
+    assert waiting.calls + last.calls + given.calls < 25 and not waiting.rows
+
+
+def test_states_of_the_query_are_fewer_than_its_keys(spark, monkeypatch):
+    queries, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *args, **how: queries.append(start(self, *args, **how)) or queries[-1])
+    data = "/root/testdata/sf0.01"
+    found = stores.publication_stream(spark, data)
+    keys = spark.read.parquet(f"{data}/events.parquet").select("user_id", "event_type").distinct().count()
+    put = [op["numRowsUpdated"] for q in queries for p in q.recentProgress for op in p["stateOperators"] if op["operatorName"].startswith("transformWithState")]
+    assert keys > 300 and put and max(put) < keys  # one of a key or more before
+    whole = history.publication_events(stores.observations(spark, data))
+    key = ["system_id", "source_id", "published_at"]
+    assert sorted(map(tuple, found.select(*key).collect())) == sorted(map(tuple, whole.select("system_id", "source_id", F.col("published_at").cast("timestamp_ntz")).collect()))
