@@ -187,6 +187,12 @@ class Bytes(Counted):
     def get(self):
         return self.value if self.single else list(self.rows)
 
+    def iterator(self):
+        return iter([(k, v) for k, v in self.map.items()])
+
+    def removeKey(self, key):
+        del self.map[key]
+
 
 def test_a_block_of_many_keys_goes_in_few_calls():
     processor, waiting, last, given = publications.PublicationBlocks(None), Bytes(), Bytes(single=True), Bytes()
@@ -206,6 +212,22 @@ def test_a_block_of_many_keys_goes_in_few_calls():
     assert waiting.calls + last.calls + given.calls < 25 and not waiting.rows
 
 
+def test_a_silent_key_is_forgotten_while_another_of_its_block_waits():
+    processor, waiting, last, given = publications.PublicationBlocks(10), Bytes(), Bytes(single=True), Bytes()
+    processor.handle, processor.waiting, processor.last, processor.given = waiting, waiting, last, given
+    seen = pa.table({"block": [0, 0, 0], "system_id": ["a", "b", "a"], "source_id": ["s"] * 3, "at": [0, 3000, 100_000], "input_seq": [1, 2, 3], "published": pa.nulls(3, pa.int64()), "fingerprint": ["x"] * 3})
+    rows = [Row(rows=x.as_py()) for batch in publications.pack(iter(seen.to_batches())) for x in batch["rows"]]
+    list(processor.handleInputRows((0,), iter(rows), TimerValues(0, 5)))
+    for passed in (5, 10, 13):
+        due = [at for at in sorted(set(waiting.timers)) if at <= passed]
+        assert due
+        for at in due:
+            list(processor.handleExpiredTimer((0,), TimerValues(0, passed), ExpiredTimerInfo(at)))
+            waiting.timers[:] = [x for x in waiting.timers if x != at]  # as Spark does after the call
+    assert publications.from_bytes([last.value[2]], publications.KNOWN)["system_id"].to_pylist() == ["a"]
+    assert 100 in waiting.timers and len(waiting.rows) == 1
+
+
 def test_states_of_the_query_are_fewer_than_its_keys(spark, monkeypatch):
     queries, start = [], DataStreamWriter.start
     monkeypatch.setattr(DataStreamWriter, "start", lambda self, *args, **how: queries.append(start(self, *args, **how)) or queries[-1])
